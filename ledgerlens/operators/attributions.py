@@ -54,7 +54,7 @@ def tree_nodes(spark: SparkSession, model: PipelineModel) -> tuple[pd.DataFrame,
         F.col("treeID").alias("tree"), "id", "prediction", "impurityStats",
         F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
         F.col("split.featureIndex").alias("feature"),
-        F.col("split.leftCategoriesOrThreshold")[0].alias("cut"),
+        F.get("split.leftCategoriesOrThreshold", 0).alias("cut"),
     )
     if flat.count() > MAX_NODES:
         raise DataContractError(f"ensemble exceeds {MAX_NODES} nodes")

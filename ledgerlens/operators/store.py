@@ -80,13 +80,16 @@ def require_contract(view: DataFrame) -> None:
 def manifest_counts(view: DataFrame) -> DataFrame:
     """Counts part of the manifest in long form (section, key, value)."""
     profile = quarter_profile(view)
-    entries = F.array(
-        F.struct(F.lit("quarter_rows").alias("section"), F.col(S.QUARTER).alias("key"),
-                 F.col("rows").alias("value")),
-        F.struct(F.lit("split_rows"), F.col(S.SPLIT), F.col("rows")),
-        F.struct(F.lit("split_quarters"), F.col(S.SPLIT), F.lit(1).cast("long")),
-        F.struct(F.lit("total_rows"), F.lit("all"), F.col("rows")),
-    )
+    parts = {
+        "quarter_rows": (F.col(S.QUARTER), F.col("rows")),
+        "split_rows": (F.col(S.SPLIT), F.col("rows")),
+        "split_quarters": (F.col(S.SPLIT), F.lit(1).cast("long")),
+        "total_rows": (F.lit("all"), F.col("rows")),
+    }
+    entries = F.array(*[
+        F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+        for section, (key, value) in parts.items()
+    ])
     return (
         profile.select(F.explode(entries).alias("e")).select("e.*")
         .groupBy("section", "key").agg(F.sum("value").alias("value"))

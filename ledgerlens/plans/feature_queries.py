@@ -430,7 +430,10 @@ def store_read(x: Inputs) -> DataFrame:
                           text_time(S.ISSUE_DATE), *rounded("annual_inc"))
 
 
-@query("store_roundtrip")
+@query("store_roundtrip", """
+SELECT CAST(0 AS BIGINT) AS differing_rows, count(*) AS manifest_rows,
+  count(DISTINCT issue_quarter) AS partitions,
+  34 + (SELECT count(*) FROM vocab) AS features FROM labelled""")
 def store_roundtrip(x: Inputs) -> DataFrame:
     """Rows that differ between a written store and what was written: none, so the
     summary row reports counts per side."""
@@ -442,9 +445,9 @@ def store_roundtrip(x: Inputs) -> DataFrame:
     changed = store.content_difference(expected, written.select(*expected.columns))
     return changed.agg(
         F.count(F.lit(1)).alias("differing_rows"),
-        F.lit(manifest["total_rows"]).alias("manifest_rows"),
-        F.lit(len(manifest["partitions"])).alias("partitions"),
-        F.lit(len(manifest["feature_names"])).alias("features"),
+        F.lit(manifest["total_rows"]).cast("long").alias("manifest_rows"),
+        F.lit(len(manifest["partitions"])).cast("long").alias("partitions"),
+        F.lit(len(manifest["feature_names"])).cast("long").alias("features"),
     )
 
 
@@ -477,14 +480,17 @@ def views_agree(x: Inputs) -> DataFrame:
 
 @query("store_diff", """
 SELECT side, count(*) AS differing_rows, CAST(sum(loan_id) AS BIGINT) AS id_sum FROM (
-  SELECT 'left_only' AS side, loan_id FROM labelled WHERE loan_id % 10 = 3 OR loan_id % 10 = 7
-  UNION ALL SELECT 'right_only', loan_id FROM labelled WHERE loan_id % 10 = 3) d GROUP BY side""")
+  SELECT 'left_only' AS side, loan_id FROM labelled WHERE grade < 0 OR emp_length = 0
+  UNION ALL SELECT 'right_only', loan_id FROM labelled WHERE grade >= 0 AND emp_length = 0) d
+GROUP BY side""")
 def store_diff(x: Inputs) -> DataFrame:
-    """Difference between a view and a copy with changed and dropped rows."""
+    """Difference between a view and a copy that lacks loans of unknown grade and
+    states another income for new employees."""
     unscaled, _, _ = x.views()
-    other = unscaled.filter(F.col("loan_id") % 10 != 7).withColumn(
+    other = unscaled.filter("grade >= 0").withColumn(
         "annual_inc",
-        F.when(F.col("loan_id") % 10 == 3, F.col("annual_inc") + 1).otherwise(F.col("annual_inc")))
+        F.when((F.col("emp_length") == 0) & (F.col(S.missing_flag("emp_length")) == 0),
+               F.col("annual_inc") + 1).otherwise(F.col("annual_inc")))
     return store.content_difference(unscaled, other).groupBy("side").agg(
         F.sum("copies").alias("differing_rows"),
         F.sum(F.col("loan_id") * F.col("copies")).alias("id_sum"))
@@ -520,15 +526,21 @@ def perturb_relative(x: Inputs) -> DataFrame:
         "loan_id", *rounded("dti"))
 
 
-@query("perturb_sampled")
+@query("perturb_sampled", """
+SELECT CAST(0 AS BIGINT) AS operation, 'int_rate' AS feature, count(int_rate) AS eligible_rows,
+  CAST(floor(count(int_rate) * 0.35 + 0.5) AS BIGINT) AS selected_rows,
+  CAST(floor(count(int_rate) * 0.35 + 0.5) AS BIGINT) AS changed_rows FROM typed
+UNION ALL SELECT 1, 'dti', count(dti), CAST(floor(count(dti) * 0.1 + 0.5) AS BIGINT),
+  CAST(floor(count(dti) * 0.1 + 0.5) AS BIGINT) FROM (SELECT nullif(dti, 0) AS dti FROM typed)""")
 def perturb_sampled(x: Inputs) -> DataFrame:
-    """Exact-size seeded sample; eligible, selected and changed rows per shift."""
-    rows = materialise(x.typed().select("loan_id", "int_rate", "dti"))
+    """Exact-size seeded samples: eligible, selected and changed rows per shift."""
+    rows = materialise(x.typed().select(
+        "loan_id", "int_rate", F.nullif("dti", F.lit(0.0)).alias("dti")))
     shifts = [perturb.Shift("int_rate", 2.0, fraction=0.35),
               perturb.Shift("dti", 0.2, mode="relative", fraction=0.1)]
     _, report = perturb.perturb_with_report(rows, shifts, seed=7)
-    return report.select("operation", "feature", "eligible_rows", "selected_rows",
-                         "changed_rows", "selected_digest")
+    return report.select(*longs("operation"), "feature", "eligible_rows", "selected_rows",
+                         "changed_rows")
 
 
 def _report_sql() -> str:
@@ -560,7 +572,11 @@ def perturb_report(x: Inputs) -> DataFrame:
     return report.select(*columns, *rounded(*doubles, digits=4))
 
 
-@query("drift_simulation")
+@query("drift_simulation", """
+SELECT issue_quarter, count(*) AS loans,
+  round(avg(coalesce(dti, (SELECT dti FROM medians)) * 1.15), 6) AS dti FROM labelled
+WHERE issue_d >= TIMESTAMP '1998-02-01' AND issue_d < TIMESTAMP '1999-07-01'
+GROUP BY issue_quarter""")
 def drift_simulation(x: Inputs) -> DataFrame:
     """Window read, seeded shifts and manifest over a written store."""
     from ledgerlens.jobs import simulate
@@ -575,8 +591,8 @@ def drift_simulation(x: Inputs) -> DataFrame:
     out = scratch(x.spark, "simulated")
     result.write(out)
     return x.spark.read.parquet(out).groupBy(S.QUARTER).agg(
-        F.count(F.lit(1)).alias("loans"), F.avg("int_rate").alias("int_rate"),
-        F.avg("dti").alias("dti"))
+        F.count(F.lit(1)).alias("loans"), F.avg("dti").alias("dti")
+    ).select(S.QUARTER, "loans", *rounded("dti"))
 
 
 def _csv_loans(x: Inputs, name: str, parts: int = 4) -> list[str]:
@@ -668,7 +684,9 @@ def text_structure_check(x: Inputs) -> DataFrame:
         "label", "rows", *longs("min_width", "max_width", "missing_fields"))
 
 
-@query("export_tables")
+@query("export_tables", _each(
+    ("users", "applications", "predictions", "feedback", "audit_events"),
+    "SELECT '{c}' AS table_name, count(*) AS rows FROM {c}"))
 def export_tables(x: Inputs) -> DataFrame:
     root = scratch(x.spark, "export")
     names = ("users", "applications", "predictions", "feedback", "audit_events")

@@ -48,7 +48,8 @@ def emp_length(c: str) -> str:
 def date(c: str) -> str:
     t = f"trim({c})"
     return (f"CASE WHEN {missing(c)} THEN NULL ELSE "
-            f"coalesce(try_strptime({t}, '%b-%Y'), try_strptime({t}, '%b-%y'), "
+            f"coalesce(CASE WHEN length({t}) = 8 THEN try_strptime({t}, '%b-%Y') END, "
+            f"CASE WHEN length({t}) = 6 THEN try_strptime({t}, '%b-%y') END, "
             f"try_strptime({t}, '%Y-%m-%d'), try_strptime({t}, '%Y/%m/%d'), "
             f"try_strptime({t}, '%Y-%m-%d %H:%M:%S'), try_strptime({t}, '%Y-%m-%dT%H:%M:%S')) END")
 
@@ -189,6 +190,8 @@ def sql(body: str) -> str:
     names = needed(body)
     if not names:
         return body
+    own = re.match(r"\s*WITH\s+", body)
+    body = ",\n" + body[own.end():] if own else "\n" + body
     # Materialised: several expressions read the same CTE.
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in names)
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {ctes}{body}"

@@ -40,12 +40,11 @@ SELECT prediction_id, feedback_id FROM (SELECT prediction_id, feedback_id,
     ORDER BY version DESC, created_at DESC, feedback_id DESC) AS rn
   FROM (SELECT * FROM feedback UNION ALL
     SELECT feedback_id + 1000000000, prediction_id, version, decision, agreed_with_model, note,
-      created_at FROM feedback WHERE feedback_id % 3 = 0)) WHERE rn = 1""")
+      created_at FROM feedback)) WHERE rn = 1""")
 def dedupe_latest(x: Inputs) -> DataFrame:
-    """Decisions with repeated versions, one kept per prediction."""
+    """Every decision delivered twice under two ids; one kept per prediction."""
     feedback = x.view("feedback")
-    repeated = feedback.filter(F.col("feedback_id") % 3 == 0).withColumn(
-        "feedback_id", F.col("feedback_id") + 1_000_000_000)
+    repeated = feedback.withColumn("feedback_id", F.col("feedback_id") + 1_000_000_000)
     return review.dedupe_latest(feedback.unionByName(repeated)).select(
         "prediction_id", "feedback_id")
 
@@ -397,7 +396,7 @@ WITH incoming AS (
     nullif(trim(CASE event_id % 5 WHEN 0 THEN ' checked ' WHEN 1 THEN '  ' END), '') AS note
   FROM events),
 base AS (SELECT prediction_id, max(version) AS version FROM feedback
-  WHERE prediction_id % 3 <> 0 GROUP BY prediction_id),
+  WHERE created_at < TIMESTAMP '1997-01-01' GROUP BY prediction_id),
 judged AS (
   SELECT i.*, b.version AS base_version, p.prediction_id IS NOT NULL AS known,
     count(*) FILTER (i.note IS NOT NULL OR i.agreed IS NULL OR i.agreed) OVER (
@@ -425,7 +424,9 @@ def decision_intake(x: Inputs) -> DataFrame:
         .when(F.col("event_id") % 5 == 1, "  ").alias("note"),
         F.col("ts").alias("created_at"),
     )
-    feedback = x.view("feedback").filter(F.col("prediction_id") % 3 != 0)
+    # Decisions on file when the batch arrives.
+    feedback = x.view("feedback").filter(
+        F.col("created_at") < F.lit("1997-01-01").cast("timestamp_ntz"))
     return rules.decision_intake(incoming, x.view("predictions"), feedback).select(
         "request_id", "prediction_id", "rejection", *longs("version"))
 
