@@ -1,9 +1,14 @@
 """Text-to-value column expressions for raw loan fields.
 
-Each parser returns null both for missing and for unparsable text;
-:func:`unparsable` tells the two apart so that a job can count bad values in one
-aggregate and raise with examples. All parsing is guarded ``try_cast``: no
-formatter exceptions, nothing leaves code generation.
+Every parser has two layers. :func:`present` strips a field and nulls missing
+tokens; the ``*_from`` functions read such text. Callers that parse many columns
+project the texts first, so Spark evaluates each cleaning once instead of copying
+it into every branch that mentions it. The ``parse_*`` functions do both at once.
+
+Parsers return null both for missing and for unparsable text; :func:`unparsable`
+tells the two apart so that a job can count bad values in one aggregate and raise
+with examples. All reading is guarded ``try_cast``: no formatter exceptions, and
+nothing leaves code generation.
 """
 
 from __future__ import annotations
@@ -16,11 +21,15 @@ from pyspark.sql import functions as F
 from ledgerlens import schema as S
 
 WHITESPACE = " \t\n\r\f\v"
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_CHARACTERS = "0123456789+-.eE"
 MONTH_NUMBERS = {
     "jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun": "06",
     "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12",
 }
+ISO_SHAPE = (
+    r"^\d{4}(-\d{1,2}-\d{1,2}|/\d{1,2}/\d{1,2}|"
+    r"-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2})$"
+)
 
 
 def as_column(value: Column | str) -> Column:
@@ -48,15 +57,6 @@ def present(value: Column | str) -> Column:
     return F.when(~F.lower(text).isin(*S.MISSING_TEXT), text)
 
 
-def _money_text(value: Column | str) -> Column:
-    return strip(F.regexp_replace(present(value), r"[,$]", ""))
-
-
-def _number(text: Column) -> Column:
-    parsed = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return finite_or_null(parsed)
-
-
 def finite_or_null(value: Column | str) -> Column:
     """NaN and both infinities become null."""
     column = as_column(value)
@@ -65,55 +65,88 @@ def finite_or_null(value: Column | str) -> Column:
     )
 
 
-def parse_number(value: Column | str) -> Column:
-    return _number(_money_text(value))
+def plain_number(text: Column) -> Column:
+    """A number spelled with digits, signs, point and exponent only. The cast alone
+    would also take ``12d``, ``Infinity`` or ``nan``. May overflow to infinity."""
+    return F.when(F.translate(text, NUMBER_CHARACTERS, "") == "", text.try_cast("double"))
 
 
-def parse_percent(value: Column | str) -> Column:
-    return _number(strip(F.regexp_replace(_money_text(value), r"\s*%$", "")))
+def without_money_signs(text: Column | str) -> Column:
+    return F.btrim(F.translate(as_column(text), ",$", ""), F.lit(WHITESPACE))
 
 
-def parse_term(value: Column | str) -> Column:
+def number_from(text: Column | str) -> Column:
+    return plain_number(without_money_signs(text))
+
+
+def percent_from(text: Column | str) -> Column:
+    """One trailing percent sign is dropped."""
+    bare = without_money_signs(text)
+    shorter = F.btrim(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(WHITESPACE))
+    return F.when(F.endswith(bare, F.lit("%")), plain_number(shorter)).otherwise(
+        plain_number(bare)
+    )
+
+
+def term_from(text: Column | str) -> Column:
     months = F.regexp_extract(
-        _money_text(value), r"^([0-9]+(?:\.0+)?)\s*(?:months?)?$", 1
+        without_money_signs(text), r"^([0-9]+(?:\.0+)?)\s*(?:months?)?$", 1
     )
-    return F.when(months != "", months.try_cast("double"))
+    return months.try_cast("double")
 
 
-def parse_emp_length(value: Column | str) -> Column:
-    text = F.regexp_replace(F.lower(_money_text(value)), r"\s+", " ")
+def emp_length_text(text: Column | str) -> Column:
+    """Lower-cased with single spaces: what :func:`emp_length_from` reads."""
+    return F.regexp_replace(F.lower(without_money_signs(text)), r"\s+", " ")
+
+
+def emp_length_from(normalised: Column | str) -> Column:
+    text = as_column(normalised)
     years = F.regexp_extract(text, r"^([0-9]+(?:\.0+)?)\+?\s*years?$", 1)
     return (
         F.when(text.rlike(r"^(?:<|less than)\s*1\s*year$"), F.lit(0.0))
-        .when(years != "", years.try_cast("double"))
-        .otherwise(_number(text))
+        .otherwise(F.coalesce(years.try_cast("double"), plain_number(text)))
     )
 
 
-def parse_date(value: Column | str) -> Column:
-    """Loan dates: ``Mon-YYYY``, ``Mon-YY``, ISO or slashed dates, ISO date-times.
+def date_from(text: Column | str) -> Column:
+    """``Mon-YYYY``, ``Mon-YY``, ISO or slashed dates, ISO date-times.
 
-    Two-digit years follow the POSIX pivot: 69-99 are 19xx, 00-68 are 20xx.
+    Two-digit years follow the POSIX pivot: 69-99 are 19xx, 00-68 are 20xx. Only
+    whole shapes are read, and the cast rejects days that do not exist.
     """
-    text = present(value)
+    column = as_column(text)
     month = F.try_element_at(
         F.create_map(*[F.lit(x) for pair in MONTH_NUMBERS.items() for x in pair]),
-        F.lower(F.substring(text, 1, 3)),
-    )
-    digits = F.regexp_extract(text, r"^[A-Za-z]{3}-(\d{4}|\d{2})$", 1)
-    year = (
-        F.when(F.length(digits) == 4, digits)
-        .when(digits >= "69", F.concat(F.lit("19"), digits))
-        .otherwise(F.concat(F.lit("20"), digits))
-    )
-    iso = F.regexp_replace(F.regexp_replace(text, "/", "-"), "T", " ")
-    iso_shape = (
-        r"^\d{4}(-\d{1,2}-\d{1,2}|/\d{1,2}/\d{1,2}|"
-        r"-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2})$"
+        F.lower(F.substring(column, 1, 3)),
     )
+    digits = F.substring(column, 5, 4)
+    century = F.when(F.length(column) == 8, F.lit("")).when(
+        digits >= "69", F.lit("19")).otherwise(F.lit("20"))
+    by_month = F.length(column).isin(6, 8) & (F.substring(column, 4, 1) == "-")
     return F.when(
-        digits != "", F.concat(year, F.lit("-"), month, F.lit("-01")).try_cast("timestamp")
-    ).when(text.rlike(iso_shape), iso.try_cast("timestamp"))
+        by_month, F.concat(century, digits, F.lit("-"), month, F.lit("-01")).try_cast("timestamp")
+    ).when(column.rlike(ISO_SHAPE), F.translate(column, "/T", "- ").try_cast("timestamp"))
+
+
+def parse_number(value: Column | str) -> Column:
+    return finite_or_null(number_from(present(value)))
+
+
+def parse_percent(value: Column | str) -> Column:
+    return finite_or_null(percent_from(present(value)))
+
+
+def parse_term(value: Column | str) -> Column:
+    return term_from(present(value))
+
+
+def parse_emp_length(value: Column | str) -> Column:
+    return finite_or_null(emp_length_from(emp_length_text(present(value))))
+
+
+def parse_date(value: Column | str) -> Column:
+    return date_from(present(value))
 
 
 def unparsable(value: Column | str, parser: Callable[[Column | str], Column]) -> Column:
@@ -121,12 +154,16 @@ def unparsable(value: Column | str, parser: Callable[[Column | str], Column]) ->
     return present(value).isNotNull() & parser(value).isNull()
 
 
-def normalise_category(value: Column | str, column: str) -> Column:
+def category_from(text: Column | str, column: str) -> Column:
     case = {"purpose": F.lower, "home_ownership": F.upper}.get(column)
-    text = present(value)
+    shown = as_column(text)
     if case is not None:
-        text = F.regexp_replace(case(text), r"\s+", "_")
-    return F.coalesce(text, F.lit(S.MISSING_CATEGORY))
+        shown = F.regexp_replace(case(shown), r"\s+", "_")
+    return F.coalesce(shown, F.lit(S.MISSING_CATEGORY))
+
+
+def normalise_category(value: Column | str, column: str) -> Column:
+    return category_from(present(value), column)
 
 
 def grade_ordinal(value: Column | str) -> Column:
@@ -151,3 +188,11 @@ PARSERS: dict[str, Callable[[Column | str], Column]] = {
     "term": parse_term,
     "emp_length": parse_emp_length,
 }
+# The second layer alone, for columns that hold present text already. Employment
+# length is read from its normalised text.
+READERS: dict[str, Callable[[Column | str], Column]] = {
+    **{name: number_from for name in S.MONEY_AND_COUNTS},
+    **{name: percent_from for name in S.PERCENTS},
+    "term": term_from,
+    "emp_length": emp_length_from,
+}

@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--validation-fraction", type=float)
     b.add_argument("--shift-fraction", type=float)
     b.add_argument("--seed", type=int)
-    b.add_argument("--single-line", action="store_true", help="no quoted newlines: split files")
+    b.add_argument("--single-line", action="store_true", help="no quoted newlines: skip the check for them")
     b.add_argument("--overwrite", action="store_true")
 
     s = commands.add_parser("simulate-drift", help="slice by time and shift columns")
@@ -106,7 +106,7 @@ def _build(spark: SparkSession, args: argparse.Namespace) -> dict:
             args.validation_fraction, fractions.get("validation_fraction", 0.2)),
         shift_fraction=pick(args.shift_fraction, fractions.get("shift_fraction")),
         seed=pick(args.seed, config.get("random_seed", 20260926)),
-        overwrite=args.overwrite, multi_line=not args.single_line,
+        overwrite=args.overwrite, multi_line=False if args.single_line else None,
     )
     return {k: manifest[k] for k in ("row_counts", "total_rows", "partitions")}
 

@@ -24,7 +24,7 @@ def with_loan_id(raw: DataFrame) -> DataFrame:
 def build(
     spark: SparkSession, paths: Sequence[str], root: str, *, train_fraction: float = 0.6,
     validation_fraction: float = 0.2, shift_fraction: float | None = None,
-    overwrite: bool = False, multi_line: bool = True, seed: int = 20260926,
+    overwrite: bool = False, multi_line: bool | None = None, seed: int = 20260926,
 ) -> dict:
     """Scan, resolve, split by quarter, fit on train, write both views.
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlens.errors import DataContractError
 from ledgerlens.operators import drift
 from ledgerlens.operators.ranking import numbered
+from ledgerlens.operators.review import fold_rows
 
 DELTA = 0.002
 BLOCK = 32
@@ -215,14 +216,13 @@ def replay_state(
     """
     recent = replay_window(predictions.select("prediction_id", "created_at", "score"), limit)
     state = detect(recent.withColumn("model_version", F.lit("all")), delta=delta).select(
-        F.lit(1).alias("one"),
         F.col("score_stream_count").alias("replayed"),
         F.col("latest_score").alias("replayed_score"),
         F.col("adwin_change_detected").alias("replayed_change"),
     )
     latest = snapshots.orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc()).limit(1)
-    saved = drift.read_snapshots(latest).withColumn("one", F.lit(1))
-    both = state.join(saved, "one", "full_outer")
+    saved = drift.read_snapshots(latest).drop("snapshot_id", "created_at", "snapshot")
+    both = fold_rows([state, saved])
     replayed = F.coalesce("replayed", F.lit(0))
     changed = F.coalesce("replayed_change", F.lit(False)) | F.coalesce(
         "adwin_change_detected", F.lit(False)

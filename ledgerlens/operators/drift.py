@@ -37,7 +37,7 @@ def as_number(df: DataFrame, column: str) -> Column:
         number = F.col(column).cast("double")
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         text = parse.strip(column)
-        number = F.when(text.rlike(parse.NUMBER), text.try_cast("double"))
+        number = parse.plain_number(text)
     else:
         return F.lit(None).cast("double")
     return F.when(~F.isnan(number), number)

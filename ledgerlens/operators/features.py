@@ -17,22 +17,38 @@ from ledgerlens.operators import outcomes
 from ledgerlens.operators.ranking import TASK_ROWS, exact_percentiles
 
 
+def present_texts(df: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """Every parsed field as present text: the first projection of the parse. Spark
+    keeps it apart from the next one, because that reads each text more than once."""
+    texts = [
+        F.col(c) if c in S.ORDINALS else parse.present(c).alias(c) for c in S.PREDICTORS
+    ]
+    stripped = df.select(*kept, *texts)
+    return stripped.withColumn("emp_length", parse.emp_length_text("emp_length"))
+
+
 def type_columns(df: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """Parse every raw field and derive ratios, history, quarter and categories.
 
-    One narrow projection: dates first, then numbers, then what depends on them.
+    Three narrow projections: clean texts, then values, then what depends on them.
     """
     kept = [c for c in (S.LOAN_ID, S.TARGET, *keep) if c in df.columns]
-    typed = df.select(
+    typed = present_texts(df, kept).select(
         *kept,
-        parse.parse_date(S.ISSUE_DATE).alias(S.ISSUE_DATE),
-        parse.parse_date(S.EARLIEST_CREDIT).alias("_earliest"),
-        *[parser(name).alias(name) for name, parser in parse.PARSERS.items()],
+        parse.date_from(S.ISSUE_DATE).alias(S.ISSUE_DATE),
+        parse.date_from(S.EARLIEST_CREDIT).alias("_earliest"),
+        *[reader(name).alias(name) for name, reader in parse.READERS.items()],
         parse.grade_ordinal("grade").alias("grade"),
         parse.sub_grade_ordinal("sub_grade").alias("sub_grade"),
-        *[parse.normalise_category(c, c).alias(c) for c in S.CATEGORIES],
+        *[parse.category_from(c, c).alias(c) for c in S.CATEGORIES],
     )
-    return typed.select(
+    # The digits-only reading yields no NaN, so one comparison removes overflow.
+    infinity = F.lit(float("inf"))
+    finite = typed.select(*[
+        F.nullif(F.col(c), infinity).alias(c) if c in S.RAW_NUMERIC else F.col(c)
+        for c in typed.columns
+    ])
+    return finite.select(
         *kept,
         S.ISSUE_DATE,
         derive.quarter_label(S.ISSUE_DATE).alias(S.QUARTER),
@@ -50,12 +66,18 @@ def type_columns(df: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
 
 def bad_value_counts(df: DataFrame) -> DataFrame:
     """One row: unparsable values per field, plus rows without an issue date."""
-    checks = {name: parse.unparsable(name, parser) for name, parser in parse.PARSERS.items()}
-    for name in (S.ISSUE_DATE, S.EARLIEST_CREDIT):
-        checks[name] = parse.unparsable(name, parse.parse_date)
-    return df.agg(
-        *[F.count_if(check).alias(name) for name, check in checks.items()],
-        F.count_if(parse.is_missing(S.ISSUE_DATE)).alias("issue_d_missing"),
+    texts = present_texts(df)
+    readers = {**parse.READERS, S.ISSUE_DATE: parse.date_from, S.EARLIEST_CREDIT: parse.date_from}
+
+    def bad(name: str) -> Column:
+        value = readers[name](name)
+        if name in parse.READERS:
+            value = F.nullif(value, F.lit(float("inf")))
+        return F.col(name).isNotNull() & value.isNull()
+
+    return texts.agg(
+        *[F.count_if(bad(name)).alias(name) for name in readers],
+        F.count_if(F.col(S.ISSUE_DATE).isNull()).alias("issue_d_missing"),
     )
 
 

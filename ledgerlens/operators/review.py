@@ -111,9 +111,8 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int =
 
 
 def with_total(listing: DataFrame, paged: DataFrame) -> DataFrame:
-    """Attach the unpaged row count. The page holds at most a few hundred rows."""
-    total = listing.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    return paged.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    """Attach the unpaged row count: one number, counted before the page is cut."""
+    return paged.withColumn("total", F.lit(listing.count()).cast("long"))
 
 
 def filter_applications(
@@ -252,18 +251,14 @@ def access_counts(
         "role", F.lit(True).alias("reads_all")
     )
     per_owner = records.groupBy(F.col(owner).alias("user_id")).agg(F.count(F.lit(1)).alias("own"))
-    total = per_owner.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("total")).withColumn(
-        "_one", F.lit(1)
-    )
+    total = F.lit(records.count()).cast("long")
     return (
         users.join(F.broadcast(everyone), "role", "left")
         .join(per_owner, "user_id", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
         .select(
             "user_id", "role",
             F.coalesce("reads_all", F.lit(False)).alias("reads_all"),
-            F.when(F.col("reads_all"), F.col("total"))
+            F.when(F.col("reads_all"), total)
             .otherwise(F.coalesce("own", F.lit(0))).alias("visible_records"),
         )
     )
@@ -308,7 +303,7 @@ def dashboard_summary(
 ) -> DataFrame:
     """One row of portfolio figures. Drift status and open tickets ignore the owner.
 
-    Every part is a single aggregate row; they meet on a constant key.
+    Every part is a single aggregate row; their union folds into one row.
     """
     owned = applications if owner_id is None else applications.filter(
         F.col("created_by_id") == F.lit(owner_id)
@@ -337,14 +332,19 @@ def dashboard_summary(
         ),
         tickets.agg(F.count_if(F.col("status") == "open").alias("open_tickets")),
     ]
-    whole = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        whole = whole.join(part.withColumn("_one", F.lit(1)), "_one")
-    return whole.drop("_one").withColumn(
+    return fold_rows(parts).withColumn(
         "pending", F.greatest(F.col("scored") - F.col("decided"), F.lit(0))
     )
 
 
+def fold_rows(parts: Sequence[DataFrame]) -> DataFrame:
+    """Single-row frames with different columns side by side, without a join."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.agg(*[F.first(c, ignorenulls=True).alias(c) for c in whole.columns])
+
+
 def score_histogram(applications: DataFrame, predictions: DataFrame) -> DataFrame:
     """Ten score bins over latest predictions; a score of one joins the last bin."""
     return (
@@ -404,16 +404,13 @@ def redact(metadata: Column | str) -> Column:
 def gate_tickets(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Ticket requests need a persisted drift alert; the latest one is linked."""
     alert = snapshots.filter(F.col("status") == "drift_detected").agg(
-        F.max_by("snapshot_id", F.struct("created_at", "snapshot_id"))
-        .alias("monitoring_snapshot_id")
-    ).withColumn("_one", F.lit(1))
-    return (
-        requests.withColumn("_one", F.lit(1)).join(F.broadcast(alert), "_one", "left").drop("_one")
-        .withColumn(
-            "rejection",
-            F.when(F.col("monitoring_snapshot_id").isNull(),
-                   "A persisted drift-detected monitoring snapshot is required"),
-        )
+        F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("latest")
+    ).first()["latest"]
+    kind = snapshots.schema["snapshot_id"].dataType
+    return requests.withColumn("monitoring_snapshot_id", F.lit(alert).cast(kind)).withColumn(
+        "rejection",
+        F.when(F.col("monitoring_snapshot_id").isNull(),
+               "A persisted drift-detected monitoring snapshot is required"),
     )
 
 

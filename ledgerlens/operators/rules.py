@@ -59,99 +59,117 @@ def _violation(broken: Column, field: str, message: str) -> Column:
     return F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
 
 
-def _plain_number(text: Column) -> Column:
-    return F.when(text.rlike(parse.NUMBER), text.try_cast("double"))
-
-
-def _serving_date(column: str) -> Column:
-    """Serving dates go through the loan date parser; day precision."""
-    return parse.parse_date(column).cast("date")
-
-
 def _outside(number: Column, low: float, high: float) -> Column:
     return number.isNull() | (number < low) | (number > high)
 
 
-def application_violations() -> Column:
-    """All rule violations of one application row, in field order."""
+def _rule_inputs(df: DataFrame) -> DataFrame:
+    """Cleaned texts, then numbers and dates, under ``_t_`` and ``_n_`` names. Two
+    projections, so that no rule re-evaluates a cleaning."""
+    texts = df.select(
+        *df.columns,
+        *[parse.strip(c).alias(f"_t_{c}") for c in (*RANGES, "revol_util", "int_rate")],
+        F.lower(parse.strip("term")).alias("_t_term"),
+        F.lower(parse.strip("emp_length")).alias("_t_emp_length"),
+        F.upper(parse.strip("grade")).alias("_t_grade"),
+        F.upper(parse.strip("sub_grade")).alias("_t_sub_grade"),
+        F.replace(F.lower(parse.strip("purpose")), F.lit(" "), F.lit("_")).alias("_t_purpose"),
+        F.replace(F.upper(parse.strip("home_ownership")), F.lit(" "), F.lit("_"))
+        .alias("_t_home_ownership"),
+        F.lower(parse.strip(S.EARLIEST_CREDIT)).alias("_t_earliest"),
+        parse.present(S.ISSUE_DATE).alias("_p_issued"),
+        parse.present(S.EARLIEST_CREDIT).alias("_p_earliest"),
+    )
+    percent = {
+        c: parse.strip(F.regexp_replace(f"_t_{c}", r"%$", "")) for c in ("revol_util", "int_rate")
+    }
+    years = F.regexp_replace(F.replace("_t_emp_length", F.lit("+"), F.lit("")), r" years?$", "")
+    return texts.select(
+        *texts.columns,
+        *[parse.plain_number(F.col(f"_t_{c}")).alias(f"_n_{c}") for c in RANGES],
+        *[parse.plain_number(text).alias(f"_n_{c}") for c, text in percent.items()],
+        parse.plain_number(parse.strip(years)).alias("_n_emp_length"),
+        # Serving dates have day precision.
+        parse.date_from("_p_issued").cast("date").alias("_d_issued"),
+        parse.date_from("_p_earliest").cast("date").alias("_d_earliest"),
+    )
+
+
+def _violations() -> Column:
     rules: list[Column] = []
     for name, (low, high) in RANGES.items():
-        text = parse.strip(name)
-        number = _plain_number(text)
-        broken = text.isNotNull() & _outside(number, low, high)
+        number = F.col(f"_n_{name}")
+        broken = F.col(f"_t_{name}").isNotNull() & _outside(number, low, high)
         if name == "loan_amnt":  # an amount of zero is no loan
             broken = broken | F.coalesce(number == 0, F.lit(False))
         rules.append(_violation(broken, name, MESSAGES["number"]))
 
     for name, high in (("revol_util", 1_000), ("int_rate", 100)):
-        text = parse.strip(name)
-        number = _plain_number(parse.strip(F.regexp_replace(text, r"%$", "")))
-        rules.append(_violation(text.isNotNull() & _outside(number, 0, high), name, MESSAGES[name]))
+        broken = F.col(f"_t_{name}").isNotNull() & _outside(F.col(f"_n_{name}"), 0, high)
+        rules.append(_violation(broken, name, MESSAGES[name]))
 
-    term = F.lower(parse.strip("term"))
-    rules.append(_violation(term.isNotNull() & ~term.isin(*TERMS), "term", MESSAGES["term"]))
+    rules.append(_violation(~F.col("_t_term").isin(*TERMS), "term", MESSAGES["term"]))
 
-    text = F.lower(parse.strip("emp_length"))
+    text, years = F.col("_t_emp_length"), F.col("_n_emp_length")
     stated = text.isNotNull() & ~text.isin(*NO_EMPLOYMENT, *UNDER_ONE_YEAR)
-    years = _plain_number(parse.strip(F.regexp_replace(
-        F.regexp_replace(text, r"\+", ""), r" years?$", "")))
     rules.append(_violation(stated & years.isNull(), "emp_length", MESSAGES["emp_length_text"]))
     rules.append(_violation(
         stated & years.isNotNull() & _outside(years, 0, 100),
         "emp_length", MESSAGES["emp_length_range"]))
 
-    grade, sub_grade = F.upper(parse.strip("grade")), F.upper(parse.strip("sub_grade"))
-    rules.append(_violation(
-        grade.isNotNull() & ~grade.rlike(f"^[{S.GRADES}]$"), "grade", MESSAGES["grade"]))
+    grade, sub_grade = F.col("_t_grade"), F.col("_t_sub_grade")
+    rules.append(_violation(~grade.rlike(f"^[{S.GRADES}]$"), "grade", MESSAGES["grade"]))
     rules.append(_violation(
-        sub_grade.isNotNull() & ~sub_grade.rlike(f"^[{S.GRADES}][1-5]$"),
-        "sub_grade", MESSAGES["sub_grade"]))
-
-    purpose = F.replace(F.lower(parse.strip("purpose")), F.lit(" "), F.lit("_"))
-    home = F.replace(F.upper(parse.strip("home_ownership")), F.lit(" "), F.lit("_"))
+        ~sub_grade.rlike(f"^[{S.GRADES}][1-5]$"), "sub_grade", MESSAGES["sub_grade"]))
     rules.append(_violation(
-        purpose.isNotNull() & ~purpose.isin(*S.PURPOSES), "purpose", MESSAGES["purpose"]))
+        ~F.col("_t_purpose").isin(*S.PURPOSES), "purpose", MESSAGES["purpose"]))
     rules.append(_violation(
-        home.isNotNull() & ~home.isin(*S.HOME_OWNERSHIP),
+        ~F.col("_t_home_ownership").isin(*S.HOME_OWNERSHIP),
         "home_ownership", MESSAGES["home_ownership"]))
 
-    issued, earliest = _serving_date("issue_d"), _serving_date("earliest_cr_line")
-    earliest_text = F.lower(parse.strip("earliest_cr_line"))
+    issued, earliest = F.col("_d_issued"), F.col("_d_earliest")
     rules.append(_violation(issued.isNull(), "issue_d", MESSAGES["issue_d"]))
     rules.append(_violation(
-        earliest_text.isNotNull() & ~earliest_text.isin(*NO_EMPLOYMENT) & earliest.isNull(),
+        ~F.col("_t_earliest").isin(*NO_EMPLOYMENT) & earliest.isNull(),
         "earliest_cr_line", MESSAGES["earliest_cr_line"]))
+    rules.append(_violation(earliest > issued, "earliest_cr_line", MESSAGES["date_order"]))
     rules.append(_violation(
-        F.coalesce(earliest > issued, F.lit(False)), "earliest_cr_line", MESSAGES["date_order"]))
-    rules.append(_violation(
-        F.coalesce((F.length(grade) > 0) & (F.length(sub_grade) > 0)
-                   & (grade != F.substring(sub_grade, 1, 1)), F.lit(False)),
+        (F.length(grade) > 0) & (F.length(sub_grade) > 0)
+        & (grade != F.substring(sub_grade, 1, 1)),
         "sub_grade", MESSAGES["grade_order"]))
     return F.array_compact(F.array(*rules))
 
 
-def application_warnings() -> Column:
-    """Soft warnings: unusual, but accepted."""
-    dti = _plain_number(parse.strip("dti"))
-    warnings = [F.when(dti > 100, F.struct(F.lit("dti").alias("field"),
-                                           F.lit(WARNINGS["dti"]).alias("message")))]
+def _warnings() -> Column:
+    warnings = [F.when(F.col("_n_dti") > 100, F.struct(
+        F.lit("dti").alias("field"), F.lit(WARNINGS["dti"]).alias("message")))]
     for name in ("int_rate", "revol_util"):
-        text = parse.strip(name)
+        text = F.col(f"_t_{name}")
         odd = (F.length(text) > 0) & ~text.rlike(PERCENT_SHAPE)
-        warnings.append(F.when(odd, F.struct(F.lit(name).alias("field"),
-                                             F.lit(WARNINGS[name]).alias("message"))))
+        warnings.append(F.when(odd, F.struct(
+            F.lit(name).alias("field"), F.lit(WARNINGS[name]).alias("message"))))
     return F.array_compact(F.array(*warnings))
 
 
 def check_applications(df: DataFrame) -> DataFrame:
-    return df.withColumn("violations", application_violations()).withColumn(
-        "warnings", application_warnings()
+    """Add ``violations``, in rule order, and ``warnings``: unusual but accepted."""
+    return _rule_inputs(df).select(
+        *df.columns, _violations().alias("violations"), _warnings().alias("warnings")
+    )
+
+
+def soft_warnings(df: DataFrame) -> DataFrame:
+    """Only the warnings; needs ``dti``, ``int_rate`` and ``revol_util``."""
+    texts = df.select(
+        *df.columns, parse.plain_number(parse.strip("dti")).alias("_n_dti"),
+        *[parse.strip(c).alias(f"_t_{c}") for c in ("int_rate", "revol_util")],
     )
+    return texts.select(*df.columns, _warnings().alias("warnings"))
 
 
 def violation_counts(df: DataFrame) -> DataFrame:
     return (
-        df.select(F.explode(application_violations()).alias("v"))
+        check_applications(df).select(F.explode("violations").alias("v"))
         .groupBy(F.col("v.field").alias("field"), F.col("v.message").alias("message"))
         .agg(F.count(F.lit(1)).alias("violations"))
     )
@@ -159,7 +177,7 @@ def violation_counts(df: DataFrame) -> DataFrame:
 
 def warning_counts(df: DataFrame) -> DataFrame:
     return (
-        df.select(F.explode(application_warnings()).alias("w"))
+        soft_warnings(df).select(F.explode("warnings").alias("w"))
         .groupBy(F.col("w.field").alias("field"))
         .agg(F.count(F.lit(1)).alias("warnings"))
     )

@@ -95,11 +95,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core. Parsing loans
+    is CPU-bound, so a small file should not run on one core; a large table has more
+    splits than that and is left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bind one view; Catalyst prunes the columns a query does not touch."""
     frames = {
         base: table(spark, sf_dir, base) for base in TABLES if f" {base}" in VIEWS[name]
     }
+    if name == "loans_raw":
+        frames["orders"] = spread(frames["orders"])
     text = VIEWS[name]
     for base, frame in frames.items():
         frame.createOrReplaceTempView(base)

@@ -14,10 +14,25 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Wide parsing projections compile to one method that the JVM would refuse to
+    # optimise; past its limit of 8000 bytes Spark then splits them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 
+# Settings a running session can still take.
+RUNTIME_DEFAULTS = {
+    key: SESSION_DEFAULTS[key]
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
+}
+
+
+def apply_runtime_defaults(spark: SparkSession) -> None:
+    for key, value in RUNTIME_DEFAULTS.items():
+        spark.conf.set(key, value)
+
+
 def local_session(cores: int = 8, app: str = "ledgerlens", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -49,12 +64,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application so that all of
+    an application's intermediate tables can be dropped with one folder."""
+    base = shared_dir(spark).rstrip("/")
+    return f"{base}/ledgerlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
 
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there.
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder, so a lost executor
-    cannot change values that a later step reads twice."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Cuts lineage, so losing an executor cannot change values that later steps read
+    again, and being Parquet, later passes read only the columns they need.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

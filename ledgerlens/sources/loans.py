@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ from ledgerlens.operators import outcomes
 
 HEADER_LINES = 100
 EXTRA = "_extra"
+PROBES = 8
 
 
 @dataclass(frozen=True)
@@ -86,28 +89,61 @@ def _preamble_lines(spark: SparkSession, layout: CsvLayout) -> list[str]:
     return [next(iter(next(csv.reader([r[0].lstrip("﻿")]), [""])), "").strip() for r in lines]
 
 
+def find_layouts(
+    spark: SparkSession, paths: Sequence[str], *, require_target: bool = True
+) -> list[CsvLayout]:
+    """Probe all files, several at a time; a probe reads only a file's first lines."""
+    def probe(path: str) -> CsvLayout:
+        return find_layout(spark, path, require_target=require_target)
+
+    with ThreadPoolExecutor(PROBES) as pool:
+        return list(pool.map(probe, sorted(paths)))
+
+
+def files_with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Files in which some line holds an odd number of quotes. Only there can a
+    record span lines; all other files split safely at line ends."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rows = (
+        spark.read.text(list(paths)).filter(quotes % 2 == 1)
+        .select(local_path(F.col("_metadata.file_path")).alias("path")).distinct().collect()
+    )
+    return {row["path"] for row in rows}
+
+
+def local_path(path: Column) -> Column:
+    """File paths without the local scheme, as users write them."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def scan_loans(
     spark: SparkSession, paths: Sequence[str], *, require_target: bool = True,
-    multi_line: bool = True, with_source: bool = False, keep: Sequence[str] = (),
+    multi_line: bool | None = None, with_source: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Read loan CSVs through the allow-list; text columns, missing tokens nulled.
 
-    ``multi_line`` keeps quoted newlines intact but makes each file one task; turn
-    it off for files known to have none, so that large files split. Files with one
-    header share one scan. Over-long rows are an error (:func:`require_sound`).
+    Reading quoted newlines makes a file one task, so by default (None) a splittable
+    pass first finds the files that need it; True or False skips that pass. Files
+    with one header share one scan. Over-long rows are an error
+    (:func:`require_sound`).
     """
     if not paths:
         raise DataContractError("at least one CSV source is required")
     if len(set(paths)) != len(paths):
         raise DataContractError("duplicate CSV sources")
-    layouts = [find_layout(spark, p, require_target=require_target) for p in sorted(paths)]
-    groups: dict[tuple[str, ...], list[CsvLayout]] = {}
+    layouts = find_layouts(spark, paths, require_target=require_target)
+    if multi_line is None:
+        spanning = files_with_open_quotes(spark, paths)
+    else:
+        spanning = set(paths) if multi_line else set()
+    groups: dict[tuple[tuple[str, ...], bool], list[CsvLayout]] = {}
     for layout in layouts:
-        groups.setdefault(layout.header, []).append(layout)
+        spans = re.sub("^file:/+", "/", layout.path) in spanning
+        groups.setdefault((layout.header, spans), []).append(layout)
     allowed = sorted(S.ALLOWED)
     scans = []
-    for header, members in groups.items():
-        rows = _scan(spark, members, multi_line)
+    for (header, spans), members in groups.items():
+        rows = _scan(spark, members, spans)
         columns: list[Column] = [F.col(c) for c in keep if c in header]
         columns += [parse.file_nulls(c).alias(c) for c in allowed if c in header]
         columns.append(F.col(EXTRA).isNotNull().alias(EXTRA))
@@ -132,23 +168,20 @@ def require_sound(scan: DataFrame) -> DataFrame:
 
 def source_inventory(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
     """Per file: bytes, digest, rows read, header rows skipped, ignored columns."""
-    layouts = [find_layout(spark, p) for p in sorted(paths)]
-    rows = scan_loans(spark, paths, with_source=True, **options).groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("rows_read")
-    )
+    layouts = find_layouts(spark, paths)
+    rows = scan_loans(spark, paths, with_source=True, **options).groupBy(
+        local_path(F.col("source_file")).alias("file")
+    ).agg(F.count(F.lit(1)).alias("rows_read"))
     files = spark.read.format("binaryFile").load(list(paths)).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        local_path(F.col("path")).alias("file"),
         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
     )
-    named = rows.select(
-        F.element_at(F.split("source_file", "/"), -1).alias("file"), "rows_read"
-    )
     facts = spark.createDataFrame(
-        [(p.path.rsplit("/", 1)[-1], p.header_line, len(set(p.header) & set(S.ALLOWED)),
+        [(re.sub("^file:/+", "/", p.path), p.header_line, len(set(p.header) & set(S.ALLOWED)),
           ",".join(p.ignored)) for p in layouts],
         "file string, header_rows_skipped int, columns_loaded int, ignored_columns string",
     )
-    return files.join(named, "file", "left").join(facts, "file")
+    return files.join(rows, "file", "left").join(facts, "file")
 
 
 def read_cohort(

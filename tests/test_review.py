@@ -21,7 +21,7 @@ SAMPLE = {
 def broken_fields(spark, **changes):
     row = {**SAMPLE, **changes}
     frame = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row))
-    found = frame.select(rules.application_violations().alias("v")).first()["v"]
+    found = rules.check_applications(frame).first()["violations"]
     return [v["field"] for v in found]
 
 
@@ -49,7 +49,7 @@ def test_application_rules(spark, changes, expected):
 def test_warnings(spark):
     frame = spark.createDataFrame(
         [("150", "11.2%", "about half")], "dti string, int_rate string, revol_util string")
-    found = frame.select(rules.application_warnings().alias("w")).first()["w"]
+    found = rules.soft_warnings(frame).first()["warnings"]
     assert [w["field"] for w in found] == ["dti", "revol_util"]
 
 

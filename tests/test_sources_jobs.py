@@ -38,7 +38,7 @@ def test_preamble_bom_gzip_and_order(spark, tmp_path, csv_text):
     layout = loans.find_layout(spark, plain)
     assert layout.header_line == 1
     assert layout.ignored == ["last_pymnt_d", "recoveries", "total_pymnt"]
-    facts = {r["file"]: r for r in loans.source_inventory(spark, paths).collect()}
+    facts = {r["file"].split("/")[-1]: r for r in loans.source_inventory(spark, paths).collect()}
     assert facts["b.csv"]["rows_read"] == 4 and facts["b.csv"]["header_rows_skipped"] == 1
     assert facts["a.csv"]["sha256"] == hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()
 
@@ -48,6 +48,7 @@ def test_quoted_newlines_and_short_rows(spark, tmp_path, csv_text):
     short = ",".join(csv_text[2].split(",")[:5])
     path = write(tmp_path / "a.csv", [csv_text[0], quoted, short])
     rows = {r["loan_id"]: r for r in loans.allowed_loans(spark, [path], keep=("loan_id",)).collect()}
+    assert loans.files_with_open_quotes(spark, [path]) == {path}
     assert rows["0"]["purpose"] == "debt\nconsolidation"
     assert rows["1"]["issue_d"] is None and len(rows) == 2
 
