@@ -92,7 +92,7 @@ def term_from(text: Column | str) -> Column:
     months = F.regexp_extract(
         without_money_signs(text), r"^([0-9]+(?:\.0+)?)\s*(?:months?)?$", 1
     )
-    return months.try_cast("double")
+    return F.when(months != "", months.try_cast("double"))
 
 
 def emp_length_text(text: Column | str) -> Column:
@@ -105,7 +105,8 @@ def emp_length_from(normalised: Column | str) -> Column:
     years = F.regexp_extract(text, r"^([0-9]+(?:\.0+)?)\+?\s*years?$", 1)
     return (
         F.when(text.rlike(r"^(?:<|less than)\s*1\s*year$"), F.lit(0.0))
-        .otherwise(F.coalesce(years.try_cast("double"), plain_number(text)))
+        .when(years != "", years.try_cast("double"))
+        .otherwise(plain_number(text))
     )
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,6 +157,19 @@ class Preprocessor:
         known = (S.LOAN_ID, S.ISSUE_DATE, S.QUARTER, S.SPLIT, S.TARGET)
         return [c for c in known if c in df.columns]
 
+    def matches(self, other: Preprocessor) -> bool:
+        """Equal, except that means and scales may differ in their last digits: the
+        order in which a cluster adds doubles is not fixed. Medians are exact."""
+        def close(a: dict[str, float], b: dict[str, float]) -> bool:
+            return a.keys() == b.keys() and all(
+                math.isclose(a[k], b[k], rel_tol=1e-9, abs_tol=1e-9) for k in a
+            )
+
+        return (
+            replace(self, means={}, scales={}) == replace(other, means={}, scales={})
+            and close(self.means, other.means) and close(self.scales, other.scales)
+        )
+
     def to_json(self) -> str:
         payload = {**asdict(self), "feature_names": self.feature_names,
                    "feature_schema_sha256": self.schema_digest}

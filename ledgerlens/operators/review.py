@@ -147,15 +147,20 @@ def filter_predictions(
     if wanted not in ("pending", "decided", *S.DECISIONS):
         raise DataContractError("decision_status must be pending, decided or a decision")
     if wanted == "pending":  # no decision at all: an anti join, no versions needed
-        return listed.join(feedback.select("prediction_id"), "prediction_id", "left_anti")
+        return listed.join(decided_ids(feedback), "prediction_id", "left_anti")
     if wanted == "decided":
-        return listed.join(feedback.select("prediction_id"), "prediction_id", "left_semi")
+        return listed.join(decided_ids(feedback), "prediction_id", "left_semi")
     current = current_decisions(
         feedback.select("prediction_id", "version", "created_at", "decision")
     ).filter(F.col("decision") == wanted)
     return listed.join(current.select("prediction_id"), "prediction_id", "left_semi")
 
 
+def decided_ids(feedback: DataFrame) -> DataFrame:
+    """Predictions with a decision; distinct first, so copies shrink before a join."""
+    return feedback.select("prediction_id").distinct()
+
+
 def mark_current(feedback: DataFrame) -> DataFrame:
     """``is_current``: no higher version exists. A map-side combined maximum joined
     back; adaptive execution splits a hot prediction in that join."""
@@ -269,15 +274,21 @@ def decision_history(
 ) -> DataFrame:
     """Review bundles as rows: each application with its latest prediction, and one
     row per decision on it (version order, current one marked). Applications
-    without prediction or decision keep one row with nulls."""
+    without prediction or decision keep one row with nulls.
+
+    An outer join could not split a prediction that holds very many decisions, so
+    decided applications come from an inner join and the others from an anti join.
+    """
     latest = latest_predictions(predictions).select(
         "application_id", "prediction_id", "score", "risk_flag"
     )
     history = mark_current(feedback.select(
         "prediction_id", "feedback_id", "version", "decision", "agreed_with_model"))
-    return applications.select("application_id", "external_reference").join(
+    scored = applications.select("application_id", "external_reference").join(
         latest, "application_id", "left"
-    ).join(history, "prediction_id", "left")
+    )
+    undecided = scored.join(decided_ids(feedback), "prediction_id", "left_anti")
+    return history.join(scored, "prediction_id").unionByName(undecided, allowMissingColumns=True)
 
 
 def review_bundle(

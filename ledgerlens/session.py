@@ -49,13 +49,16 @@ def local_session(cores: int = 8, app: str = "ledgerlens", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in an unconfigured local
+    session, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
         if current is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if current is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
         current = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(current)

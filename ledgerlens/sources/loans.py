@@ -35,10 +35,13 @@ class CsvLayout:
         return sorted(set(self.header) & set(S.POST_ORIGINATION))
 
 
-def find_layout(spark: SparkSession, path: str, *, require_target: bool = True) -> CsvLayout:
+def find_layout(
+    spark: SparkSession, path: str, *, require_target: bool = True,
+    required: Sequence[str] | None = None, first_lines: int = HEADER_LINES,
+) -> CsvLayout:
     """Probe the first lines of one file (gzip and BOM are handled by the source)."""
-    required = set(S.ALLOWED if require_target else S.PREDICTORS)
-    lines = [r[0] for r in spark.read.text(path).limit(HEADER_LINES).collect()]
+    required = set(required or (S.ALLOWED if require_target else S.PREDICTORS))
+    lines = [r[0] for r in spark.read.text(path).limit(first_lines).collect()]
     for number, line in enumerate(lines):
         fields = tuple(f.strip() for f in next(csv.reader([line.lstrip("﻿")]), []))
         if required <= set(fields):
@@ -89,6 +92,17 @@ def _preamble_lines(spark: SparkSession, layout: CsvLayout) -> list[str]:
     return [next(iter(next(csv.reader([r[0].lstrip("﻿")]), [""])), "").strip() for r in lines]
 
 
+def require_same_header(spark: SparkSession, archive: str, extracted: str) -> int:
+    """An archive and its extracted file must name the same columns; their number."""
+    headers = [
+        set(find_layout(spark, path, required=(S.ISSUE_DATE, S.STATUS), first_lines=10).header)
+        for path in (archive, extracted)
+    ]
+    if headers[0] != headers[1]:
+        raise DataContractError("archive and extracted headers differ")
+    return len(headers[0])
+
+
 def find_layouts(
     spark: SparkSession, paths: Sequence[str], *, require_target: bool = True
 ) -> list[CsvLayout]:

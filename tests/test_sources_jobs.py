@@ -43,6 +43,23 @@ def test_preamble_bom_gzip_and_order(spark, tmp_path, csv_text):
     assert facts["a.csv"]["sha256"] == hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()
 
 
+def test_archive_header_matches(spark, tmp_path, csv_text):
+    plain = write(tmp_path / "x.csv", ["a preamble"] + csv_text)
+    zipped = tmp_path / "x.csv.gz"
+    zipped.write_bytes(gzip.compress("\n".join(csv_text).encode()))
+    assert loans.require_same_header(spark, str(zipped), plain) == len(csv_text[0].split(","))
+    other = write(tmp_path / "y.csv", [csv_text[0] + ",more"])
+    with pytest.raises(DataContractError, match="differ"):
+        loans.require_same_header(spark, str(zipped), other)
+
+
+def test_report_sink(spark, tmp_path):
+    frame = spark.createDataFrame([("2018Q2", 2), ("2018Q1", 1)], "issue_quarter string, loans int")
+    inventory.write_report(frame, str(tmp_path / "report"), ["issue_quarter"])
+    text, = (p.read_text() for p in (tmp_path / "report").glob("*.csv"))
+    assert text.split() == ["issue_quarter,loans", "2018Q1,1", "2018Q2,2"]
+
+
 def test_quoted_newlines_and_short_rows(spark, tmp_path, csv_text):
     quoted = csv_text[1].replace("debt_consolidation", '"debt\nconsolidation"')
     short = ",".join(csv_text[2].split(",")[:5])

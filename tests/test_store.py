@@ -67,6 +67,10 @@ def test_store_refuses_overwrite_and_compares(spark, written, tmp_path):
     third = str(tmp_path / "third")
     store.write_store(frame, fitted, third, overwrite=True)
     assert store.compare_stores(spark, again, third)["status"] == "passed"
+    scaled = store.read_store(spark, again, "scaled")
+    assert store.rows_apart(scaled, scaled.withColumn("dti", F.col("dti") + 1e-12)).first()[0] == 0
+    assert store.rows_apart(scaled, scaled.withColumn("dti", F.col("dti") + 1e-3)).first()[0] == 8
+    assert store.rows_apart(scaled, scaled.filter("loan_id > 2")).first()[0] == 3
     store.write_store(frame.withColumn("dti", F.col("dti") + 1), fitted, third, overwrite=True)
     with pytest.raises(DataContractError, match="rows differ"):
         store.compare_stores(spark, again, third)
