@@ -42,7 +42,8 @@ def build(
         typed, train=train_fraction, validation=validation_fraction, shift=shift_fraction)
     labelled = plan.apply(typed)
     train = labelled.filter(F.col(S.SPLIT) == "train")
-    preprocessor = features.fit(train)
+    preprocessor = features.fit(
+        train, row_bound=plan.train_rows, quarters=plan.by_split["train"])
     statuses = outcomes.status_inventory(raw).orderBy("status").limit(1000).collect()
     return store.write_store(
         labelled, preprocessor, root, overwrite=overwrite, raw=resolved.drop(S.TARGET),

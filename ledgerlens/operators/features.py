@@ -254,20 +254,24 @@ def scaler_aggregates(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return features.agg(F.count(F.lit(1)).alias("rows"), *columns)
 
 
-def fit(train: DataFrame, *, row_bound: int | None = None) -> Preprocessor:
+def fit(
+    train: DataFrame, *, row_bound: int | None = None, quarters: Sequence[str] | None = None
+) -> Preprocessor:
     """Fit on typed training rows: medians and vocabulary, then the scaler over
-    the imputed features (it must see what it will later scale)."""
+    the imputed features (it must see what it will later scale). A split plan knows
+    the row bound and the quarters; without one they are looked up."""
     partial = Preprocessor(fit_medians(train, row_bound=row_bound), fit_vocabulary(train))
     names = partial.feature_names
     row = scaler_aggregates(
         train.select(S.QUARTER, *partial.feature_columns()), names
     ).first()
-    quarters = [r[0] for r in train.select(S.QUARTER).distinct().orderBy(S.QUARTER).collect()]
+    if quarters is None:
+        quarters = [r[0] for r in train.select(S.QUARTER).distinct().orderBy(S.QUARTER).collect()]
     return Preprocessor(
         medians=partial.medians,
         vocabulary=partial.vocabulary,
         means={n: row[f"mean_{n}"] for n in names},
         scales={n: row[f"scale_{n}"] for n in names},
         training_rows=row["rows"],
-        training_quarters=quarters,
+        training_quarters=list(quarters),
     )

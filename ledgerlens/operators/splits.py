@@ -44,6 +44,11 @@ class TemporalSplit:
     quarters: tuple[str, ...]
     n_train: int
     n_validation: int
+    loans: tuple[int, ...] = ()
+
+    @property
+    def train_rows(self) -> int | None:
+        return sum(self.loans[: self.n_train]) if self.loans else None
 
     @property
     def by_split(self) -> dict[str, tuple[str, ...]]:
@@ -73,11 +78,13 @@ def plan_split(
     shift: float | None = None,
 ) -> TemporalSplit:
     check_fractions(train, validation, shift)
-    rows = typed.select(S.QUARTER).distinct().orderBy(S.QUARTER).collect()
-    quarters = tuple(r[0] for r in rows)
+    counted = typed.groupBy(S.QUARTER).agg(F.count(F.lit(1)).alias("loans"))
+    rows = counted.orderBy(S.QUARTER).collect()
+    quarters = tuple(r[S.QUARTER] for r in rows)
     if None in quarters:
         raise DataContractError(f"{S.ISSUE_DATE!r} is required for every retained row")
-    return TemporalSplit(quarters, *quarter_counts(len(quarters), train, validation))
+    sizes = quarter_counts(len(quarters), train, validation)
+    return TemporalSplit(quarters, *sizes, tuple(r["loans"] for r in rows))
 
 
 def quarter_table(typed: DataFrame, *, train: float = 0.6, validation: float = 0.2) -> DataFrame:

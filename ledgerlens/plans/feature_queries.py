@@ -202,7 +202,7 @@ def temporal_split(x: Inputs) -> DataFrame:
     S.NUMERIC, "SELECT '{c}' AS feature, round({c}, 6) AS median FROM medians"))
 def train_medians(x: Inputs) -> DataFrame:
     train = x.split(stored=True).filter(F.col(S.SPLIT) == "train")
-    found = features.fit_medians(train)
+    found = features.fit_medians(train, row_bound=x.plan.train_rows)
     return x.spark.createDataFrame(
         [(c, round(v, 6)) for c, v in found.items()], "feature string, median double")
 
@@ -217,7 +217,8 @@ def train_vocab(x: Inputs) -> DataFrame:
 def train_scaler(x: Inputs) -> DataFrame:
     train = x.split(stored=True).filter(F.col(S.SPLIT) == "train")
     partial = features.Preprocessor(
-        features.fit_medians(train), features.fit_vocabulary(train))
+        features.fit_medians(train, row_bound=x.plan.train_rows),
+        features.fit_vocabulary(train))
     names = partial.feature_names
     row = features.scaler_aggregates(train.select(*partial.feature_columns()), names)
     entries = F.array(*[
@@ -233,7 +234,8 @@ def train_scaler(x: Inputs) -> DataFrame:
     + " FROM labelled")
 def impute(x: Inputs) -> DataFrame:
     labelled = x.split(stored=True)
-    medians = features.fit_medians(labelled.filter(F.col(S.SPLIT) == "train"))
+    medians = features.fit_medians(
+        labelled.filter(F.col(S.SPLIT) == "train"), row_bound=x.plan.train_rows)
     return labelled.select(
         "loan_id", *[features.impute(c, medians[c]).alias(c) for c in S.NUMERIC]
     ).select("loan_id", *rounded(*S.NUMERIC))
@@ -618,9 +620,17 @@ def scan_loans(x: Inputs) -> DataFrame:
         F.count_if(F.col("loan_status") == "Current").alias("current_loans"))
 
 
-@query("source_inventory")
+@query("source_inventory", """
+SELECT CAST(4 AS BIGINT) AS files, count(*) AS rows_read, CAST(4 AS BIGINT) AS digests,
+  CAST(20 AS BIGINT) AS columns_loaded, 'recoveries' AS ignored_columns FROM loans_raw""")
 def source_inventory(x: Inputs) -> DataFrame:
-    return loans.source_inventory(x.spark, _csv_loans(x, "inventory"))
+    """Inventory of the loans written as four CSV files, summed up."""
+    listed = loans.source_inventory(x.spark, _csv_loans(x, "inventory"))
+    return listed.groupBy("ignored_columns").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("rows_read").alias("rows_read"),
+        F.count_distinct("sha256").alias("digests"),
+        F.max("columns_loaded").cast("long").alias("columns_loaded"),
+    )
 
 
 @query("file_inventory")
@@ -646,7 +656,9 @@ def cohort_read(x: Inputs) -> DataFrame:
     ).select("source", "loans", *rounded("dti", digits=4))
 
 
-@query("acquisition_audit")
+@query("acquisition_audit", """
+SELECT 'region.parquet' AS source_id, 'archive: size mismatch' AS problem
+UNION ALL SELECT 'nation.parquet', 'duplicate source_id'""")
 def acquisition_audit(x: Inputs) -> DataFrame:
     """Audit of the given tables' files against a manifest derived from them, with
     one wrong size and one duplicate id to be found."""

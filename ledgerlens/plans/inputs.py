@@ -20,6 +20,7 @@ COHORT_CUT = "1999-01-01"
 class Inputs:
     spark: SparkSession
     sf_dir: str
+    plan: splits.TemporalSplit | None = None
 
     def view(self, name: str) -> DataFrame:
         return binding.view(self.spark, self.sf_dir, name)
@@ -39,11 +40,14 @@ class Inputs:
         typed = self.typed()
         if stored:
             typed = materialise(typed)
-        return splits.plan_split(typed).apply(typed)
+        self.plan = splits.plan_split(typed)
+        return self.plan.apply(typed)
 
     def fitted(self) -> tuple[DataFrame, Preprocessor]:
         labelled = self.split(stored=True)
-        return labelled, features.fit(labelled.filter(F.col(S.SPLIT) == "train"))
+        return labelled, features.fit(
+            labelled.filter(F.col(S.SPLIT) == "train"),
+            row_bound=self.plan.train_rows, quarters=self.plan.by_split["train"])
 
     def views(self) -> tuple[DataFrame, DataFrame, Preprocessor]:
         labelled, preprocessor = self.fitted()
