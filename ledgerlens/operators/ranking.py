@@ -21,6 +21,7 @@ from ledgerlens.session import materialise
 # One task may comfortably sort this many narrow rows.
 TASK_ROWS = 1_000_000
 RANGES = 256
+STEP = 16
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -67,20 +68,28 @@ def running_totals(
     if range_keys:
         fields = [df.schema[k] for k in range_keys]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        cuts = {
+            tuple(row[k] for k in range_keys): sorted(set(map(float, row["_bounds"])))
+            for row in bounds
+        }
         table = df.sparkSession.createDataFrame(
-            [
-                tuple(row[k] for k in range_keys) + (sorted(set(map(float, row["_bounds"]))),)
-                for row in bounds
-            ],
-            schema + ", _bounds array<double>",
+            [(*key, values, values[STEP - 1::STEP]) for key, values in cuts.items()],
+            schema + ", _bounds array<double>, _coarse array<double>",
         )
         # One row per range key, ``ranges`` numbers each: bounded, so broadcast.
         placed = df.join(F.broadcast(table), list(range_keys))
     else:
-        cuts = sorted(set(map(float, bounds[0]["_bounds"])))
-        placed = df.withColumn("_bounds", F.array(*[F.lit(c) for c in cuts]))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double")))
-    placed = placed.withColumn("_range", -below if descending else below).drop("_bounds")
+        values = sorted(set(map(float, bounds[0]["_bounds"])))
+        placed = df.withColumn("_bounds", F.lit(values).cast("array<double>")).withColumn(
+            "_coarse", F.lit(values[STEP - 1::STEP]).cast("array<double>"))
+    # Two short searches instead of one over all bounds: whole steps below the value
+    # first, then inside the step that holds it.
+    target = F.col(value).cast("double")
+    steps = placed.withColumn("_steps", F.size(F.filter("_coarse", lambda b: b < target)) * STEP)
+    inside_step = F.slice("_bounds", F.col("_steps") + 1, F.lit(STEP))
+    below = F.col("_steps") + F.size(F.filter(inside_step, lambda b: b < target))
+    placed = steps.withColumn("_range", -below if descending else below).drop(
+        "_bounds", "_coarse", "_steps")
 
     totals = placed.groupBy(*keys, "_range").agg(
         *[F.sum(source).alias(f"_t_{name}") for source, name in sums.items()]
