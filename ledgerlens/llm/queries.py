@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, langid, pii
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,15 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     path = tokenizer_file("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_spans")
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data found in every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
