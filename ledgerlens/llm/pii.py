@@ -41,6 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
 
@@ -68,8 +69,9 @@ def plain_spans(text: str) -> list[Span]:
     found: list[Span] = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return found
-    found += [("ip", *m.span()) for m in _IP.finditer(text)
-              if all(_part(p) <= 255 for p in m.group().split("."))]
+    if _DOTTED.search(text):
+        found += [("ip", *m.span()) for m in _IP.finditer(text)
+                  if all(_part(p) <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -105,8 +107,9 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Digits in a row, most of them spelled, before a passage is read as a number.
+#: Spelled digits in a row, and different ones among them, for a passage to be a number.
 LEAST_SPELLED = 4
+LEAST_DIFFERENT = 2
 
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _ONE = rf"(?:{_WORDS}|[0-9])"
@@ -116,7 +119,7 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(rf"(?i)(?P<word>{_WORDS})|(?P<digit>[0-9])|(?P<plus>plus|\+)"
                            r"|(?P<dot>dot|point|punkt|punto)")
 _BRACKET = re.compile(
-    r"(?i)\s*[\[({<]\s*(?P<sign>at|ät|arroba|arobase|dot|point|punkt|punto|\.|@)\s*[\])}>]\s*")
+    r"(?i)[\[({<]\s*+(?P<sign>at|ät|arroba|arobase|dot|point|punkt|punto|\.|@)\s*+[\])}>]\s*+")
 # Endings that make words around "at" and "dot" an address, and words that
 # follow an ordinary "at".
 _ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|us|de|at|ch|fr|es|it|example|test|invalid"
@@ -127,7 +130,6 @@ _WORDED = re.compile(
     rf"{_HOST}(?:(?: (?:dot|punkt|punto) |\.){_HOST})*(?: (?:dot|punkt|punto) )(?:{_ENDINGS})(?!\w)")
 _WORDED_SIGN = re.compile(r"(?i) (?P<dot>dot|punkt|punto) | (?P<at>at|arroba|arobase|@) ")
 _AT_DOT = re.compile(rf" (?i:dot|punkt|punto) (?i:{_ENDINGS})\b")
-_NUMBER_WORD = re.compile(rf"(?i:{_WORDS})[ ,-]{{1,2}}(?i:{_WORDS})[ ,-]")
 _ODD = re.compile("[­ɐ-￿]")
 
 
@@ -179,13 +181,15 @@ def _look_alikes(t: Traced) -> Traced:
 
 
 def _spelled(t: Traced) -> Traced:
-    if not _NUMBER_WORD.search(t.text):
+    seen = t.text.lower().replace("-", " ").replace(",", " ").split()
+    if len(DIGIT_WORDS.keys() & set(seen)) < LEAST_DIFFERENT:
         return t
     edits = []
     for m in _SPELLED.finditer(t.text):
         parts = [(p.lastgroup, p.span(), p.group().lower())
                  for p in _SPELLED_PART.finditer(t.text, *m.span())]
-        if sum(kind == "word" for kind, _, _ in parts) < LEAST_SPELLED:
+        named = [word for kind, _, word in parts if kind == "word"]
+        if len(named) < LEAST_SPELLED or len(set(named)) < LEAST_DIFFERENT:
             continue
         edge = m.start()
         for kind, (_, b), word in parts:
@@ -199,7 +203,10 @@ def _signs(t: Traced) -> Traced:
     edits = []
     for m in _BRACKET.finditer(t.text):
         at = m["sign"].lower() in ("at", "ät", "arroba", "arobase", "@")
-        edits.append((*m.span(), "@" if at else "."))
+        edge, least = m.start(), edits[-1][1] if edits else 0
+        while edge > least and t.text[edge - 1].isspace():
+            edge -= 1
+        edits.append((edge, m.end(), "@" if at else "."))
     t = t.rewrite(edits)
     if not _AT_DOT.search(t.text):
         return t

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, langid, pii
+from ledgerlens.llm import bpe, html, langid, pii
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data found in every document."""
     return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
