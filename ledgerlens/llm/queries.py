@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html, langid, pii
+from ledgerlens.llm import bpe, chat, html, langid, pii, quality
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,94 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_quality_rules", f"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+grams AS (
+  SELECT doc_id, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i, w FROM split
+  WHERE len(w) >= {quality.WINDOW}),
+keyed AS (SELECT doc_id, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') AS g FROM grams),
+twice AS (SELECT doc_id, i FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {quality.WINDOW})) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT s.doc_id, s.source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM split s LEFT JOIN covered c USING (doc_id)),
+f AS (
+  SELECT *, n_words < {quality.LEAST_WORDS} AS short,
+         100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS repeats,
+         n_symbols > {quality.MOST_SYMBOLS} * n_words AS symbols,
+         n_dup_lines > {quality.MOST_DUP_LINES} * n_lines AS lines FROM m),
+hosts AS (
+  SELECT source, r.rule, count(*) AS n, count(*) FILTER (r.failed) AS k
+  FROM f, unnest([{{'rule': 'short', 'failed': short}}, {{'rule': 'repeats', 'failed': repeats}},
+                  {{'rule': 'symbols', 'failed': symbols}}, {{'rule': 'lines', 'failed': lines}}]) u(r)
+  WHERE source IS NOT NULL GROUP BY ALL),
+moments AS (
+  SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS var FROM hosts GROUP BY rule),
+prior AS (
+  SELECT rule, mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1
+    ELSE {quality.PRIOR_WEIGHT[1]} END, {quality.PRIOR_WEIGHT[0]}), {quality.PRIOR_WEIGHT[1]}) AS weight
+  FROM moments),
+verdict AS (
+  SELECT source, bool_or((k + mean * weight) / (n + weight) > {quality.HOST_LIMIT}) AS failed
+  FROM hosts JOIN prior USING (rule) GROUP BY source)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+       n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, short OR repeats AS base_failed,
+       NOT (short OR repeats) AND NOT coalesce(v.failed, false) AS kept
+FROM f LEFT JOIN verdict v USING (source)
+""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition rules of every document, with its host's verdict."""
+    return quality.apply_rules(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts look like a template's own marks.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(text: str) -> str:
+    """SQL for the escaped form of a text: backslashes doubled, control strings broken."""
+    sql = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in chat.CONTROL:
+        sql = f"replace({sql}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return sql
+
+
+@query("op7_chat_format", f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                  FILTER (role = 'assistant'), '') AS loss,
+         sum(length({_escaped_sql("text")}) + length(role)
+             + {len(chat.TURN) + len(chat.END) + 2}) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256,
+       length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM whole
+""")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every conversation, read back from its transcript."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"))
+    events = chat.from_messages(rows.unionByName(control))
+    return chat.digests(chat.render(chat.fold(events)))
