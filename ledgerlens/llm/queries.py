@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, html, langid, pii, quality
+from ledgerlens.llm import bpe, chat, decontaminate, html, langid, pii, quality, tokens
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL_TEXT).alias("text"))
     events = chat.from_messages(rows.unionByName(control))
     return chat.digests(chat.render(chat.fold(events)))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with its place and the words that agree."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and best score of every document under a unigram vocabulary."""
+    pieces = tokens.read_pieces(tokenizer_file("piece_bpe_32k.model"))
+    return tokens.count(table(spark, sf_dir, "documents"), pieces)
