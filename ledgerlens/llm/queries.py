@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, html, langid, pii, quality, tokens
+from ledgerlens.llm import bpe, chat, decontaminate, html, jaccard, langid, pii, quality, tokens
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and best score of every document under a unigram vocabulary."""
     pieces = tokens.read_pieces(tokenizer_file("piece_bpe_32k.model"))
     return tokens.count(table(spark, sf_dir, "documents"), pieces)
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
