@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, html, jaccard, langid, pii, quality, tokens
+from ledgerlens.llm import bpe, chat, decontaminate, html, jaccard, langid, pii, quality, repeats, tokens
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op4_repeated_bytes")
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without strings that occur elsewhere."""
+    return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
