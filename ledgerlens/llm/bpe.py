@@ -273,10 +273,11 @@ def decode(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     return out if keep_ids else out.drop("ids")
 
 
-def digests(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of the query from encoded rows."""
+def digests(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token count and digests of ids and decoded text, from encoded rows."""
     return decode(encoded, tokenizer, id_col=id_col).select(
-        id_col,
+        id_col, *keep,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

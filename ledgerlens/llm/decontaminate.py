@@ -150,6 +150,8 @@ def _verify(spark, source: DataFrame, tests: DataFrame, placed: DataFrame) -> Da
 
 
 def remove(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item, with all their columns; null ids are kept apart."""
-    found = find(docs, items, id_col=id_col).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")
+    """The documents that hold no item, with all their columns."""
+    found = materialise(find(docs, items, id_col=id_col).select(
+        F.col(id_col).alias("__found")).distinct(), "found")
+    return docs.join(held_by_size(found, found.count(), MOST_BROADCAST),
+                     F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")

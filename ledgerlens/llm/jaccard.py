@@ -460,9 +460,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, with all columns; null ids are kept.
-    Of rows with one id all are kept or none."""
-    kept = join(docs, id_col=id_col, text_col=text_col)
-    gone = kept.filter(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One document of each component, with all columns: the one whose id names it. Of rows
+    that repeat an id one stays; rows with a null id stay."""
+    found = materialise(join(docs, id_col=id_col, text_col=text_col), "components")
+    found = found.filter(F.col(id_col).isNotNull())
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(
+        F.col(id_col).alias("__id")).distinct()
+    kept = docs.join(held_by_size(gone, gone.count(), MOST_BROADCAST),
+                     F.col(id_col) == F.col("__id"), "left_anti")
+    again = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("m")).filter(
+        "m > 1").select("__id")
+    repeated = again.count()
+    if not repeated:
+        return kept
+    again = held_by_size(again, repeated, MOST_BROADCAST)
+    same = F.col(id_col) == F.col("__id")
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates([id_col]))
