@@ -50,6 +50,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def held_by_size(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint behind a check: only where the counted ``rows`` stay within ``most``.
     Larger sides are left to a shuffled join."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import bounded_batches, held_by_size, map_batches, texts_of
+from ledgerlens.llm.common import bounded_batches, fresh, held_by_size, map_batches, texts_of
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import mix, shingle_set
 from ledgerlens.session import materialise
@@ -464,16 +464,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     that repeat an id one stays; rows with a null id stay."""
     found = materialise(join(docs, id_col=id_col, text_col=text_col), "components")
     found = found.filter(F.col(id_col).isNotNull())
+    name = fresh(docs, "__id")
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(held_by_size(gone, gone.count(), MOST_BROADCAST),
-                     F.col(id_col) == F.col("__id"), "left_anti")
-    again = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("m")).filter(
-        "m > 1").select("__id")
+        F.col(id_col).alias(name)).distinct()
+    same = F.col(id_col) == F.col(name)
+    kept = docs.join(held_by_size(gone, gone.count(), MOST_BROADCAST), same, "left_anti")
+    again = found.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("m")).filter(
+        "m > 1").select(name)
     repeated = again.count()
     if not repeated:
         return kept
     again = held_by_size(again, repeated, MOST_BROADCAST)
-    same = F.col(id_col) == F.col("__id")
     return kept.join(again, same, "left_anti").unionByName(
         kept.join(again, same, "left_semi").dropDuplicates([id_col]))

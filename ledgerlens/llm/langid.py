@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import map_batches, texts_of
+from ledgerlens.llm.common import fresh, map_batches, texts_of
 
 #: Labelled texts per language that training expects to use; the rest only get predictions.
 FIT_DOCS = 3_000
@@ -56,11 +56,11 @@ def _letters() -> np.ndarray:
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, each ended by a blank, with non-letters as
+    """Lower-case code points of all texts, each between blanks, with non-letters as
     blanks; and where each text starts."""
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
+    points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
     return np.where(_letters()[points], points, 32).astype(np.uint64), starts
 
 
@@ -117,7 +117,7 @@ class Filters:
             grams, counts = _grams(points[lo:lo + CHUNK + 2])
             at = np.flatnonzero(counts)
             grams = grams[at]
-            owner = np.searchsorted(starts, at + lo, "right") - 1
+            owner = np.searchsorted(starts, at + lo + 1, "right") - 1
             total += np.bincount(owner, minlength=len(texts))
             slots = [_slots(grams, h) for h in range(HASHES)]
             for word in range(len(self.table)):
@@ -184,32 +184,35 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for r in ranked.collect()})
 
 
-def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id",
-            text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ..., lang_pred, score) for every row. The filters' size is set by parameters
-    and the number of languages, not by the data."""
+def predict(docs: DataFrame, filters: Filters, *, text_col: str = "text",
+            carry: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns, language and score for every row. The filters' size is set by
+    parameters and the number of languages, not by the data."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    kept = list(dict.fromkeys([id_col, *carry]))
-    rows = docs.select(*kept, F.col(text_col).alias("__text"))
+    source = fresh(docs, "__text")
+    kept = list(dict.fromkeys(carry))
+    rows = docs.select(*kept, F.col(text_col).alias(source))
 
     def make():
         def work(batch: pa.RecordBatch):
-            found = shared.value.predict(texts_of(batch, "__text"))
+            found = shared.value.predict(texts_of(batch, source))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept),
                  pa.array([x for x, _ in found], pa.string()),
                  pa.array([s for _, s in found], pa.float64())],
-                [*kept, "lang_pred", "score"])
+                [*kept, *names])
 
         return work
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return map_batches(rows, make, f"{shape}, lang_pred string, score double")
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema]
+    return map_batches(rows, make, ", ".join(
+        [*shape, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score): fit on the labelled part, predict every row."""
     filters = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = predict(docs, filters, id_col=id_col, text_col=text_col)
+    found = predict(docs, filters, text_col=text_col, carry=(id_col,))
     return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
