@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, jaccard, langid, pii
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import fresh, table
 from ledgerlens.session import materialise
 
 #: A text counts as a language from this share of its trigrams in that language's filter.
@@ -28,11 +28,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.fit(docs), carry=tuple(docs.columns))
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    found = langid.predict(docs, langid.fit(docs), carry=tuple(docs.columns), names=(lang, score))
+    known = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.filter(known).select(
-        *[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c)
-          for c in docs.columns])
+        *[F.coalesce("lang", lang).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
