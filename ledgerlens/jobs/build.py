@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens import schema as S
 from ledgerlens.operators import features, outcomes, splits, store
@@ -14,11 +15,17 @@ from ledgerlens.sources import loans
 
 
 def with_loan_id(raw: DataFrame) -> DataFrame:
-    """Files without an id column get one from file and position in the scan. The
-    checkpoint pins it: scans may be split differently when tasks are re-run."""
+    """Files without an id column get one from each row's content, and from its number
+    among equal rows: the same rows get the same ids, however files are named or split."""
     if S.LOAN_ID in raw.columns:
         return raw
-    return materialise(raw.withColumn(S.LOAN_ID, F.monotonically_increasing_id()))
+    content = F.xxhash64(*[F.col(c) for c in sorted(raw.columns)])
+    equal = Window.partitionBy("_content").orderBy(*sorted(raw.columns))
+    numbered = raw.withColumn("_content", content).withColumn(
+        "_number", F.row_number().over(equal))
+    return numbered.withColumn(S.LOAN_ID, F.when(F.col("_number") == 1, F.col("_content"))
+                               .otherwise(F.xxhash64("_content", "_number"))
+                               ).drop("_content", "_number")
 
 
 def build(
@@ -28,14 +35,14 @@ def build(
 ) -> dict:
     """Scan, resolve, split by quarter, fit on train, write both views.
 
-    The CSV is parsed once: typed resolved rows go to the shared folder, and the
-    fit, the dictionary and the write read those.
+    The CSV is parsed once, after one pass for quotes: its rows go to the shared folder, and
+    checks, ids and typed rows start from there.
     """
-    scanned = loans.require_sound(
-        loans.scan_loans(spark, paths, multi_line=multi_line, keep=(S.LOAN_ID,)))
+    scanned = loans.require_sound(materialise(
+        loans.scan_loans(spark, paths, multi_line=multi_line, keep=(S.LOAN_ID,)), "scanned"))
     raw = outcomes.select_allowed(with_loan_id(scanned))
     outcomes.require_resolved(raw)
-    resolved = materialise(outcomes.resolve(raw))
+    resolved = outcomes.resolve(raw)
     features.require_parsable(resolved)
     typed = materialise(features.type_columns(resolved))
     plan = splits.plan_split(
@@ -44,13 +51,16 @@ def build(
     train = labelled.filter(F.col(S.SPLIT) == "train")
     preprocessor = features.fit(
         train, row_bound=plan.train_rows, quarters=plan.by_split["train"])
-    statuses = outcomes.status_inventory(raw).orderBy("status").limit(1000).collect()
+    # A dirty status column has any number of values: the inventory is a table of its own.
+    statuses = materialise(outcomes.status_inventory(raw), "statuses")
+    statuses.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(
+        f"{root}/status_inventory")
     return store.write_store(
         labelled, preprocessor, root, overwrite=overwrite, raw=resolved.drop(S.TARGET),
         extra={
             "random_seed": seed,
             "split": {k: list(v) for k, v in plan.by_split.items()},
-            "status_counts": {r["status"]: r["loans"] for r in statuses},
+            "statuses": statuses.count(),
             "sources": sorted(p.rsplit("/", 1)[-1] for p in paths),
         },
     )

@@ -7,6 +7,7 @@ import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,40 @@ EXTRA = "_extra"
 PROBES = 8
 
 
+def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files behind paths, folders and globs, as the qualified URIs that
+    ``_metadata.file_path`` reports, sorted."""
+    if not paths:
+        raise DataContractError("at least one CSV source is required")
+    found = [re.sub("^file:/+", "file:///", uri)
+             for path in paths for uri in spark.read.text(path).inputFiles()]
+    if not found:
+        raise DataContractError(f"no files in {list(paths)}")
+    if len(set(found)) != len(found):
+        raise DataContractError("duplicate CSV sources")
+    return sorted(found)
+
+
+def file_uri() -> Column:
+    """The file that a row was read from, as in :func:`input_files`."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
+
+
+def as_path(uri: str) -> str:
+    """A file's URI as a path that readers take literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def shown(uri: str) -> str:
+    """A file as users write it: local files without their scheme."""
+    return unquote(urlparse(uri).path if uri.startswith("file:") else uri)
+
+
 @dataclass(frozen=True)
 class CsvLayout:
     """Where one file's header is and what it says."""
 
-    path: str
+    uri: str
     header_line: int
     header: tuple[str, ...]
 
@@ -40,16 +70,24 @@ def find_layout(
     required: Sequence[str] | None = None, first_lines: int = HEADER_LINES,
 ) -> CsvLayout:
     """Probe the first lines of one file (gzip and BOM are handled by the source)."""
-    required = set(required or (S.ALLOWED if require_target else S.PREDICTORS))
-    lines = [r[0] for r in spark.read.text(path).limit(first_lines).collect()]
+    uri, = input_files(spark, [path])
+    return _probe(spark, uri, set(required or _required(require_target)), first_lines)
+
+
+def _required(require_target: bool) -> Sequence[str]:
+    return S.ALLOWED if require_target else S.PREDICTORS
+
+
+def _probe(spark: SparkSession, uri: str, required: set[str], first_lines: int) -> CsvLayout:
+    lines = [r[0] for r in spark.read.text(as_path(uri)).limit(first_lines).collect()]
     for number, line in enumerate(lines):
         fields = tuple(f.strip() for f in next(csv.reader([line.lstrip("﻿")]), []))
         if required <= set(fields):
             repeated = sorted({f for f in fields if fields.count(f) > 1})
             if repeated:
-                raise DataContractError(f"duplicate column names in {path}: {repeated}")
-            return CsvLayout(path, number, fields)
-    raise DataContractError(f"no header with the required columns in {path}")
+                raise DataContractError(f"duplicate column names in {shown(uri)}: {repeated}")
+            return CsvLayout(uri, number, fields)
+    raise DataContractError(f"no header with the required columns in {shown(uri)}")
 
 
 def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], multi_line: bool) -> DataFrame:
@@ -62,7 +100,9 @@ def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], multi_line: bool) -
         .option("header", False)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .csv([layout.path for layout in layouts])
+        .option("columnNameOfCorruptRecord", EXTRA)
+        .option("columnPruning", False)
+        .csv([as_path(layout.uri) for layout in layouts])
     )
     is_header = F.lit(True)
     for name in header:
@@ -76,10 +116,10 @@ def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], multi_line: bool) -
         line for layout in layouts for line in _preamble_lines(spark, layout)
     })
     if preambles:
-        # A preamble record carries one field; everything after it is null.
+        # A preamble record carries one field; everything after it is absent or empty.
         rest_empty = F.lit(True)
         for name in header[1:]:
-            rest_empty = rest_empty & F.col(name).isNull()
+            rest_empty = rest_empty & (F.coalesce(F.col(name), F.lit("")) == "")
         known = F.trim(F.col(header[0])).isin(*preambles) & rest_empty
         rows = rows.filter(~F.coalesce(known, F.lit(False)))
     return rows
@@ -88,7 +128,7 @@ def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], multi_line: bool) -
 def _preamble_lines(spark: SparkSession, layout: CsvLayout) -> list[str]:
     if not layout.header_line:
         return []
-    lines = spark.read.text(layout.path).limit(layout.header_line).collect()
+    lines = spark.read.text(as_path(layout.uri)).limit(layout.header_line).collect()
     return [next(iter(next(csv.reader([r[0].lstrip("﻿")]), [""])), "").strip() for r in lines]
 
 
@@ -107,27 +147,24 @@ def find_layouts(
     spark: SparkSession, paths: Sequence[str], *, require_target: bool = True
 ) -> list[CsvLayout]:
     """Probe all files, several at a time; a probe reads only a file's first lines."""
-    def probe(path: str) -> CsvLayout:
-        return find_layout(spark, path, require_target=require_target)
+    required = set(_required(require_target))
+
+    def probe(uri: str) -> CsvLayout:
+        return _probe(spark, uri, required, HEADER_LINES)
 
     with ThreadPoolExecutor(PROBES) as pool:
-        return list(pool.map(probe, sorted(paths)))
+        return list(pool.map(probe, input_files(spark, paths)))
 
 
 def files_with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files in which some line holds an odd number of quotes. Only there can a
-    record span lines; all other files split safely at line ends."""
+    """Files (as URIs) in which some line holds an odd number of quotes. Only there can
+    a record span lines; all other files split safely at line ends."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     rows = (
         spark.read.text(list(paths)).filter(quotes % 2 == 1)
-        .select(local_path(F.col("_metadata.file_path")).alias("path")).distinct().collect()
+        .select(file_uri().alias("uri")).distinct().collect()
     )
-    return {row["path"] for row in rows}
-
-
-def local_path(path: Column) -> Column:
-    """File paths without the local scheme, as users write them."""
-    return F.regexp_replace(path, r"^file:/+", "/")
+    return {row["uri"] for row in rows}
 
 
 def scan_loans(
@@ -135,34 +172,31 @@ def scan_loans(
     multi_line: bool | None = None, with_source: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Read loan CSVs through the allow-list; text columns, missing tokens nulled.
+    A path may be relative, a folder or a glob.
 
     Reading quoted newlines makes a file one task, so by default (None) a splittable
     pass first finds the files that need it; True or False skips that pass. Files
     with one header share one scan. Over-long rows are an error
     (:func:`require_sound`).
     """
-    if not paths:
-        raise DataContractError("at least one CSV source is required")
-    if len(set(paths)) != len(paths):
-        raise DataContractError("duplicate CSV sources")
     layouts = find_layouts(spark, paths, require_target=require_target)
     if multi_line is None:
         spanning = files_with_open_quotes(spark, paths)
     else:
-        spanning = set(paths) if multi_line else set()
+        spanning = {layout.uri for layout in layouts} if multi_line else set()
     groups: dict[tuple[tuple[str, ...], bool], list[CsvLayout]] = {}
     for layout in layouts:
-        spans = re.sub("^file:/+", "/", layout.path) in spanning
-        groups.setdefault((layout.header, spans), []).append(layout)
+        groups.setdefault((layout.header, layout.uri in spanning), []).append(layout)
     allowed = sorted(S.ALLOWED)
     scans = []
     for (header, spans), members in groups.items():
         rows = _scan(spark, members, spans)
-        columns: list[Column] = [F.col(c) for c in keep if c in header]
+        columns: list[Column] = [F.nullif(F.col(c), F.lit("")).alias(c)
+                                 for c in keep if c in header]
         columns += [parse.file_nulls(c).alias(c) for c in allowed if c in header]
-        columns.append(F.col(EXTRA).isNotNull().alias(EXTRA))
+        columns.append(_over_long(len(header)).alias(EXTRA))
         if with_source:
-            columns.append(F.col("_metadata.file_path").alias("source_file"))
+            columns.append(file_uri().alias("source_file"))
         scans.append(rows.select(*columns))
     combined = scans[0]
     for other in scans[1:]:
@@ -170,6 +204,13 @@ def scan_loans(
     return combined
 
 
+def _over_long(width: int) -> Column:
+    """Whether a row has more cells than the header, empty ones included. The reader keeps
+    the text of every row of another width; only commas outside quotes part cells."""
+    bare = F.regexp_replace(F.col(EXTRA), r'"(?:[^"]|"")*+"', "")
+    return F.coalesce(F.regexp_count(bare, F.lit(",")) >= width, F.lit(False))
+
+
 def require_sound(scan: DataFrame) -> DataFrame:
     """Refuse empty scans and rows with more fields than the header has."""
     row = scan.agg(F.count(F.lit(1)).alias("rows"), F.count_if(EXTRA).alias("long")).first()
@@ -184,18 +225,21 @@ def source_inventory(spark: SparkSession, paths: Sequence[str], **options) -> Da
     """Per file: bytes, digest, rows read, header rows skipped, ignored columns."""
     layouts = find_layouts(spark, paths)
     rows = scan_loans(spark, paths, with_source=True, **options).groupBy(
-        local_path(F.col("source_file")).alias("file")
-    ).agg(F.count(F.lit(1)).alias("rows_read"))
-    files = spark.read.format("binaryFile").load(list(paths)).select(
-        local_path(F.col("path")).alias("file"),
+        F.col("source_file").alias("uri")).agg(F.count(F.lit(1)).alias("rows_read"))
+    files = spark.read.format("binaryFile").load([as_path(x.uri) for x in layouts]).select(
+        file_uri().alias("uri"),
         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
     )
     facts = spark.createDataFrame(
-        [(re.sub("^file:/+", "/", p.path), p.header_line, len(set(p.header) & set(S.ALLOWED)),
-          ",".join(p.ignored)) for p in layouts],
-        "file string, header_rows_skipped int, columns_loaded int, ignored_columns string",
+        [(x.uri, shown(x.uri), x.header_line, len(set(x.header) & set(S.ALLOWED)),
+          ",".join(x.ignored)) for x in layouts],
+        "uri string, file string, header_rows_skipped int, columns_loaded int, "
+        "ignored_columns string",
     )
-    return files.join(rows, "file", "left").join(facts, "file")
+    # From the facts outwards: a file that another read misses shows up with nulls.
+    found = facts.join(files, "uri", "left").join(rows, "uri", "left")
+    return found.select("file", "bytes", "sha256", F.coalesce("rows_read", F.lit(0)).alias(
+        "rows_read"), "header_rows_skipped", "columns_loaded", "ignored_columns")
 
 
 def read_cohort(

@@ -3,12 +3,14 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 
 from ledgerlens import schema as S
 from ledgerlens.errors import DataContractError
 from ledgerlens.jobs import __main__ as cli
+from ledgerlens.jobs import build
 from ledgerlens.operators import models, store
 from ledgerlens.sources import inventory, loans
 
@@ -65,15 +67,49 @@ def test_quoted_newlines_and_short_rows(spark, tmp_path, csv_text):
     short = ",".join(csv_text[2].split(",")[:5])
     path = write(tmp_path / "a.csv", [csv_text[0], quoted, short])
     rows = {r["loan_id"]: r for r in loans.allowed_loans(spark, [path], keep=("loan_id",)).collect()}
-    assert loans.files_with_open_quotes(spark, [path]) == {path}
+    assert loans.files_with_open_quotes(spark, [path]) == set(loans.input_files(spark, [path]))
     assert rows["0"]["purpose"] == "debt\nconsolidation"
     assert rows["1"]["issue_d"] is None and len(rows) == 2
 
 
+def test_every_way_to_name_a_file(spark, tmp_path, csv_text):
+    folder = tmp_path / "sp ace [1] 100%"
+    folder.mkdir()
+    quoted = csv_text[1].replace("debt_consolidation", '"debt\nconsolidation"')
+    path = write(folder / "a b.csv", ["a preamble,,", csv_text[0], quoted, csv_text[2]])
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    write(plain / "a.csv", ["a preamble,,", csv_text[0], quoted, csv_text[2]])
+    escaped = path.replace("[", "\\[").replace("]", "\\]")
+    relative = os.path.relpath(plain / "a.csv")
+    for named in ([relative], [str(plain / "a.csv")], [str(plain)], [str(plain / "*.csv")], [escaped],
+                  [f"file://{plain}/a.csv"]):
+        rows = loans.allowed_loans(spark, named, keep=("loan_id",)).collect()
+        assert sorted(r["loan_id"] for r in rows) == ["0", "1"], named
+        assert {r["purpose"] for r in rows} >= {"debt\nconsolidation"}
+        fact, = loans.source_inventory(spark, named).collect()
+        assert fact["rows_read"] == 2 and fact["bytes"] > 0, named
+
+
+def test_loan_ids_do_not_depend_on_the_split(spark, tmp_path, csv_text):
+    lines = [line.split(",", 1)[1] for line in csv_text]
+    path = write(tmp_path / "noid.csv", [*lines, *lines[1:] * 30])
+    found = []
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = build.with_loan_id(loans.scan_loans(spark, [path])).collect()
+        found.append(sorted((r["loan_id"], r["dti"]) for r in rows))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({i for i, _ in found[0]}) == len(found[0])
+
+
 def test_scan_errors(spark, tmp_path, csv_text):
     long = write(tmp_path / "long.csv", [csv_text[0], csv_text[1] + ",one,two"])
     with pytest.raises(DataContractError, match="more fields"):
         loans.allowed_loans(spark, [long])
+    blank = write(tmp_path / "blank.csv", [csv_text[0], csv_text[1] + ","])
+    with pytest.raises(DataContractError, match="more fields"):
+        loans.allowed_loans(spark, [blank])
     headless = write(tmp_path / "none.csv", ["a,b", "1,2"])
     with pytest.raises(DataContractError, match="no header"):
         loans.scan_loans(spark, [headless])
@@ -197,5 +233,7 @@ def test_command_line_end_to_end(spark, tmp_path, csv_text):
     cur = write(tmp_path / "cur.csv", ["dti"] + [str(100 + i) for i in range(30)])
     checked = run("drift-check", ref, cur, "--output", str(tmp_path / "snapshots"))
     assert (checked["status"], checked["feature_drift_count"]) == ("drift_detected", 1)
-    assert store.read_manifest(spark, root)["pipeline_metadata"]["status_counts"]["current"] == 4
+    statuses = dict(spark.read.parquet(f"{root}/status_inventory").collect())
+    assert statuses["current"] == 4
+    assert store.read_manifest(spark, root)["pipeline_metadata"]["statuses"] == len(statuses)
     assert S.QUARTER in store.read_store(spark, root).columns
