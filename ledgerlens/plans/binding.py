@@ -46,8 +46,8 @@ LEFT JOIN (SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS
 """,
     "applications": """
 SELECT c_custkey AS application_id, c_name AS external_reference, c_nationkey AS created_by_id,
-  min(o_orderdate) AS created_at
-FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_custkey % 10 < 9 GROUP BY c_custkey, c_name, c_nationkey
+  coalesce(min(o_orderdate), TIMESTAMP '1992-01-01') AS created_at
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_nationkey
 """,
     "predictions": """
 SELECT o_orderkey AS prediction_id, o_custkey AS application_id, c_nationkey AS requested_by_id,
@@ -55,7 +55,7 @@ SELECT o_orderkey AS prediction_id, o_custkey AS application_id, c_nationkey AS
   CAST(CAST(floor(o_totalprice) AS BIGINT) % 1001 AS DOUBLE) / CAST(1000 AS DOUBLE) >= CAST(0.5093 AS DOUBLE) AS risk_flag,
   CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 0 END AS target,
   o_orderdate AS created_at
-FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 <> 0
+FROM orders JOIN customer ON c_custkey = o_custkey
 """,
     "feedback": """
 SELECT l_orderkey * 1000 + version AS feedback_id, l_orderkey AS prediction_id, CAST(version AS INT) AS version,
@@ -95,21 +95,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core. Parsing loans
-    is CPU-bound, so a small file should not run on one core; a large table has more
-    splits than that and is left alone, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Bind one view; Catalyst prunes the columns a query does not touch."""
     frames = {
         base: table(spark, sf_dir, base) for base in TABLES if f" {base}" in VIEWS[name]
     }
-    if name == "loans_raw":
-        frames["orders"] = spread(frames["orders"])
     text = VIEWS[name]
     for base, frame in frames.items():
         frame.createOrReplaceTempView(base)
