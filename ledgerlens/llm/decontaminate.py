@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import held_by_size, words
+from ledgerlens.llm.common import fresh, held_by_size, words
 from ledgerlens.session import materialise
 
 #: Masks by window length: 1 is compared, 0 ignored. Each has seven words.
@@ -45,25 +45,20 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(lower), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES))))
 
 
-def seeds(hashes: Column, mask: str) -> Column:
-    """The mask's seed at each position of an array of word hashes."""
-    places = [k for k, c in enumerate(mask) if c == "1"]
+def seed(hashes: Column, at: Column, mask: str) -> Column:
+    """The mask's seed at a place of an array of word hashes."""
+    return F.xxhash64(F.lit(int(mask, 2)), *[
+        F.get(hashes, at + k) for k, c in enumerate(mask) if c == "1"])
 
-    def at(i: Column) -> Column:
-        return F.xxhash64(F.lit(int(mask, 2)), *[F.get(hashes, i + k) for k in places])
 
-    return F.when(F.size(hashes) >= len(mask), F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - len(mask)), at)
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _seed_rows(hashed: DataFrame, id_col: str, masks: tuple[str, ...]) -> DataFrame:
-    """(id, mask, pos, seed) of every position."""
-    listed = hashed.select(id_col, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("mask"), seeds(F.col("h"), m).alias("s"))
-        for k, m in enumerate(masks)])).alias("m"))
-    return listed.select(id_col, F.col("m.mask").alias("mask"),
-                         F.posexplode("m.s").alias("pos", "seed"))
+def _seed_rows(hashed: DataFrame, keep: tuple[str, ...], masks: tuple[str, ...]) -> DataFrame:
+    """(keep..., pos, seed) for each place and mask. Places become rows first, so that seeds
+    are computed by generated code, a few array reads each; the array itself is not copied."""
+    span = min(len(m) for m in masks)
+    places = hashed.filter(F.size("h") >= span).select(
+        *keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("pos"))
+    return places.select(*keep, "pos", F.explode(F.array(*[
+        seed(F.col("h"), F.col("pos"), m) for m in masks])).alias("seed"))
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -77,26 +72,20 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
         F.col(item_col).alias("item"), word_hashes(F.coalesce(item_text, F.lit(""))).alias("h"))
         .filter(F.size("h") >= LEAST_WORDS), "items")
     longest = max(len(m) for m in MASKS)
-    masks = (*MASKS, SHORT_MASK)
-    long = _seed_rows(tests.filter(F.size("h") >= longest), "item", MASKS)
-    short = _seed_rows(tests.filter(F.size("h") < longest), "item", masks).filter(
-        F.col("mask") == len(MASKS))
+    long = _seed_rows(tests.filter(F.size("h") >= longest), ("item",), MASKS)
+    short = _seed_rows(tests.filter(F.size("h") < longest), ("item",), (SHORT_MASK,))
     # Equal items share their seeds; a seed names the items and places it comes from.
     wanted = materialise(
         long.unionByName(short).groupBy("seed").agg(
             F.collect_set(F.struct("item", "pos")).alias("of")), "seeds")
     n_seeds = wanted.agg(F.sum(F.size("of"))).first()[0] or 0
-    used = masks if not short.isEmpty() else MASKS
+    used = MASKS if short.isEmpty() else (*MASKS, SHORT_MASK)
 
     source = docs.select(F.col(id_col).alias("id"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hashed = source.select("id", F.xxhash64("t").alias("key"), word_hashes(F.col("t")).alias("h"))
     hits = (
-        hashed.filter(F.size("h") >= LEAST_WORDS)
-        .select("id", "key", F.posexplode(F.flatten(F.array(*[
-            F.transform(seeds(F.col("h"), m), lambda s, i: F.struct(
-                i.alias("pos"), s.alias("seed"))) for m in used]))).alias("n", "s"))
-        .select("id", "key", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
+        _seed_rows(hashed, ("id", "key"), used)
         .join(held_by_size(wanted, n_seeds, MOST_BROADCAST), "seed")
         .select("id", "key", "pos", F.explode("of").alias("o"))
         .select("id", "key", F.col("o.item").alias("item"),
@@ -151,7 +140,8 @@ def _verify(spark, source: DataFrame, tests: DataFrame, placed: DataFrame) -> Da
 
 def remove(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    name = fresh(docs, "__found")
     found = materialise(find(docs, items, id_col=id_col).select(
-        F.col(id_col).alias("__found")).distinct(), "found")
+        F.col(id_col).alias(name)).distinct(), "found")
     return docs.join(held_by_size(found, found.count(), MOST_BROADCAST),
-                     F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")
+                     F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
