@@ -107,11 +107,17 @@ def test_exact_p_values(n, m):
 def test_p_value_limits():
     assert drift.ks_p_value(1.0, 3, 3) == pytest.approx(0.1)
     assert drift.ks_p_value(0.0, 5, 7) == 1.0
-    exact, limit = drift.ks_p_value(0.03, 9000, 9000), drift._limit_p(0.03, 4500)
-    assert exact == pytest.approx(limit, rel=0.05)
-    # Both forms of the limit distribution meet.
-    assert drift._limit_p(1.1799, 1) == pytest.approx(drift._limit_p(1.1801, 1), abs=1e-3)
-    assert drift._limit_p(1.3580986, 1) == pytest.approx(0.05, abs=1e-6)
+
+
+@pytest.mark.parametrize("n, m, gap", [
+    (10_001, 40, 0.22), (20_000, 50, 0.2), (9_000, 9_000, 0.03), (12_000, 8_000, 0.008)])
+def test_p_value_series_meets_the_exact_count(n, m, gap, monkeypatch):
+    exact = drift._exact_p(gap, n, m)
+    monkeypatch.setattr(drift, "EXACT_LIMIT", 0)
+    assert drift.ks_p_value(gap, n, m) == pytest.approx(exact, rel=0.01)
+    # Both forms of the distribution meet.
+    assert drift._series_p(1.1799e-3, 1e6) == pytest.approx(
+        drift._series_p(1.1801e-3, 1e6), abs=1e-3)
 
 
 @pytest.mark.parametrize("task_rows", [1_000_000, 3])
