@@ -1,10 +1,10 @@
 """ADWIN change detection over ordered score streams (Bifet and Gavalda, 2007).
 
-Scores are grouped into blocks of 32 consecutive observations, the usual checking
-interval of the detector, and each block is the smallest bucket of the exponential
-histogram. Blocks are plain aggregates, so Spark forms them in parallel; only the
-32 times smaller block sequence is walked in order, in constant memory. The stream
-operator uses the same detector, so batch and stream agree score for score.
+The smallest bucket of the exponential histogram is one score; the window is checked for a
+cut every 32 scores, the usual interval of the detector. Scores are placed and packed into
+ordered arrays of 32 in parallel, and one task per model walks its arrays in order, in
+constant memory. A walk can start from a stored state, so a detector may be primed, and the
+stream operator goes on where its last trigger ended: batch and stream agree score for score.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ class Detector:
 
     delta: float = DELTA
     buckets: list[tuple[int, float, float]] = field(default_factory=list)
+    observed: int = 0
     detections: int = 0
     changed: bool = False
 
@@ -50,14 +51,16 @@ class Detector:
         width = self.width
         return sum(n * mean for n, mean, _ in self.buckets) / width if width else None
 
-    def add_block(self, n: int, mean: float, squares: float) -> bool:
-        """Take one block; True when older data no longer fits the newer."""
-        self.buckets.insert(0, (n, mean, squares))
+    def add(self, score: float) -> bool:
+        """Take one score; True when older data no longer fits the newer."""
+        self.buckets.insert(0, (1, score, 0.0))
         self._compress()
+        self.observed += 1
         self.changed = False
-        while self._cut():
-            self.buckets.pop()
-            self.changed = True
+        if self.observed % BLOCK == 0:
+            while self._cut():
+                self.buckets.pop()
+                self.changed = True
         self.detections += self.changed
         return self.changed
 
@@ -120,16 +123,13 @@ def score_blocks(
     scores: DataFrame, key: str = "model_version", order: Sequence[str] = ("created_at", "prediction_id"),
     score: str = "score",
 ) -> DataFrame:
-    """(key, block, n, mean, squares, latest_score): blocks of 32 scores in order."""
+    """(key, block, scores): up to 32 scores in order, each with its first order value."""
     placed = numbered(
         scores.select(key, *order, F.col(score).cast("double").alias("score")), [key], order
     )
+    entry = F.struct("position", "score", F.col(order[0]).cast("timestamp").alias("at"))
     return placed.groupBy(key, F.floor((F.col("position") - 1) / BLOCK).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("score").alias("mean"),
-        (F.var_pop("score") * F.count(F.lit(1))).alias("squares"),
-        F.max_by("score", "position").alias("latest_score"),
-    )
+        F.sort_array(F.collect_list(entry)).alias("scores"))
 
 
 STATE_COLUMNS = (
@@ -137,62 +137,105 @@ STATE_COLUMNS = (
     "detections bigint, last_change_at bigint, adwin_change_detected boolean, "
     "bucket_counts array<bigint>, bucket_means array<double>, bucket_squares array<double>"
 )
+STATE = [c.split()[0] for c in STATE_COLUMNS.split(", ")]
 
 
-def detect(
+def walk(
     scores: DataFrame, key: str = "model_version",
     order: Sequence[str] = ("created_at", "prediction_id"), *, score: str = "score",
-    delta: float = DELTA,
+    delta: float = DELTA, initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Final detector state per key after all scores, taken in order.
+    """(key, state..., at, fresh, final): the detector's state at each detected change and,
+    marked ``final``, after all scores of a key; ``fresh`` counts the scores taken here.
 
-    The walk over a key's blocks is sequential by nature (every cut depends on all
-    earlier ones); rows stream through in order, so memory is one detector per task.
+    ``initial`` has states to start from, as this function returns them. The walk over
+    a key's scores is sequential by nature (every cut depends on all earlier ones);
+    rows stream through in order, so memory is one detector per task.
     """
     Detector(delta)
     blocks = score_blocks(valid_scores(scores, score), key, order, score)
-    ordered = blocks.repartition(F.col(key)).sortWithinPartitions(key, "block")
     kind = blocks.schema[key].dataType.simpleString()
+    if initial is not None:
+        stored = initial.select(
+            F.col(key).cast(kind).alias(key), F.lit(-1).cast("long").alias("block"), *STATE)
+        blocks = blocks.unionByName(stored, allowMissingColumns=True)
+    else:
+        blocks = blocks.select("*", *[
+            F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0])
+            for c in STATE_COLUMNS.split(", ")])
+    ordered = blocks.repartition(F.col(key)).sortWithinPartitions(key, "block")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, detector, seen, latest, last_change = None, Detector(delta), 0, None, None
-        started = False
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, walker = None, None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                name = getattr(row, key)
-                if started and name != current:
-                    yield _state_row(key, current, detector, seen, latest, last_change)
-                if not started or name != current:
-                    current, detector, started = name, Detector(delta), True
-                    seen, latest, last_change = 0, None, None
-                seen += int(row.n)
-                latest = float(row.latest_score)
-                if row.n == BLOCK:
-                    if detector.add_block(BLOCK, float(row.mean), float(row.squares)):
-                        last_change = seen
-                else:  # an unfinished block is counted, not yet judged
-                    detector.changed = False
-        if started:
-            yield _state_row(key, current, detector, seen, latest, last_change)
-
-    return ordered.mapInPandas(walk, f"`{key}` {kind}, {STATE_COLUMNS}")
-
-
-def _state_row(key, name, detector: Detector, seen, latest, last_change) -> pd.DataFrame:
-    counts, means, squares = detector.to_arrays()
-    return pd.DataFrame({
-        key: [name],
-        "score_stream_count": [seen],
-        "latest_score": [latest],
-        "window_width": [detector.width],
-        "window_mean": [detector.mean],
-        "detections": [detector.detections],
-        "last_change_at": pd.array([last_change], dtype="Int64"),
-        "adwin_change_detected": [detector.changed],
-        "bucket_counts": [counts],
-        "bucket_means": [means],
-        "bucket_squares": [squares],
-    })
+            for row in batch.to_dict("records"):
+                if walker is None or row[key] != current:
+                    if walker is not None:
+                        yield walker.row(True)
+                    current, walker = row[key], _Walker(key, row[key], delta)
+                yield from walker.take(row)
+        if walker is not None:
+            yield walker.row(True)
+
+    return ordered.mapInPandas(
+        run, f"`{key}` {kind}, {STATE_COLUMNS}, at timestamp, fresh bigint, final boolean")
+
+
+class _Walker:
+    """One key's detector and counts."""
+
+    def __init__(self, key: str, name, delta: float):
+        self.key, self.name, self.detector = key, name, Detector(delta)
+        self.seen, self.fresh, self.latest, self.change, self.at = 0, 0, None, None, None
+
+    def take(self, row: dict) -> Iterator[pd.DataFrame]:
+        if row["block"] < 0:
+            self.seen, self.latest = int(row["score_stream_count"]), row["latest_score"]
+            change = row["last_change_at"]
+            self.change = None if pd.isna(change) else int(change)
+            self.detector.buckets = list(zip(
+                map(int, row["bucket_counts"]), map(float, row["bucket_means"]),
+                map(float, row["bucket_squares"])))
+            self.detector.observed = self.seen
+            self.detector.detections = int(row["detections"])
+            self.detector.changed = bool(row["adwin_change_detected"])
+            return
+        for entry in row["scores"]:
+            self.seen += 1
+            self.fresh += 1
+            self.latest, self.at = float(entry["score"]), entry["at"]
+            if self.detector.add(self.latest):
+                self.change = self.seen
+                yield self.row(False)
+
+    def row(self, final: bool) -> pd.DataFrame:
+        counts, means, squares = self.detector.to_arrays()
+        return pd.DataFrame({
+            self.key: [self.name],
+            "score_stream_count": [self.seen],
+            "latest_score": [self.latest],
+            "window_width": [self.detector.width],
+            "window_mean": [self.detector.mean],
+            "detections": [self.detector.detections],
+            "last_change_at": pd.array([self.change], dtype="Int64"),
+            "adwin_change_detected": [self.detector.changed],
+            "bucket_counts": [counts],
+            "bucket_means": [means],
+            "bucket_squares": [squares],
+            "at": pd.to_datetime([self.at]),
+            "fresh": [self.fresh],
+            "final": [final],
+        })
+
+
+def detect(
+    scores: DataFrame, key: str = "model_version",
+    order: Sequence[str] = ("created_at", "prediction_id"), *, score: str = "score",
+    delta: float = DELTA, initial: DataFrame | None = None,
+) -> DataFrame:
+    """Final detector state per key after all scores, taken in order."""
+    return walk(scores, key, order, score=score, delta=delta, initial=initial).filter(
+        "final").drop("at", "fresh", "final")
 
 
 def replay_window(
@@ -205,18 +248,21 @@ def replay_window(
 
 def replay_state(
     predictions: DataFrame, snapshots: DataFrame, *, limit: int = REPLAY_LIMIT,
-    delta: float = DELTA,
+    delta: float = DELTA, primed: DataFrame | None = None,
 ) -> DataFrame:
     """Rebuild monitoring state from the newest scores and merge the latest
     persisted snapshot: counts take the maximum, alerts combine with or, a latest
     score is only borrowed when nothing was replayed.
 
     ``snapshots``: snapshot_id, created_at, snapshot (JSON). Both inputs shrink to
-    at most ``limit`` rows and one row before anything is combined.
+    at most ``limit`` rows and one row before anything is combined. ``primed``: a stored
+    detector state of one row to start from; its scores do not count as replayed.
     """
     recent = replay_window(predictions.select("prediction_id", "created_at", "score"), limit)
-    state = detect(recent.withColumn("model_version", F.lit("all")), delta=delta).select(
-        F.col("score_stream_count").alias("replayed"),
+    start = primed.withColumn("model_version", F.lit("all")) if primed is not None else None
+    state = walk(recent.withColumn("model_version", F.lit("all")), delta=delta,
+                 initial=start).filter("final AND fresh > 0").select(
+        F.col("fresh").alias("replayed"),
         F.col("latest_score").alias("replayed_score"),
         F.col("adwin_change_detected").alias("replayed_change"),
     )

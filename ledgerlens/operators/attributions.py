@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
-from ledgerlens.errors import DataContractError
 from ledgerlens.functions import derive
 from ledgerlens.session import scratch
 
 TOP = 5
-MAX_NODES = 5_000_000
+#: Path features up to which a leaf's values are tabulated by pattern.
+TABLE_FEATURES = 10
 ATTRIBUTION = "struct<feature:string,contribution:double,feature_value:double>"
 
 
@@ -56,8 +56,6 @@ def tree_nodes(spark: SparkSession, model: PipelineModel) -> tuple[pd.DataFrame,
         F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", 0).alias("cut"),
     )
-    if flat.count() > MAX_NODES:
-        raise DataContractError(f"ensemble exceeds {MAX_NODES} nodes")
     return flat.orderBy("tree", "id").toPandas(), list(trees.treeWeights)
 
 
@@ -94,60 +92,92 @@ def _leaf_paths(nodes: pd.DataFrame, weights: Sequence[float], kind: str) -> lis
     return paths
 
 
-def _shapley(matrix: np.ndarray, paths: list[tuple]) -> tuple[np.ndarray, float]:
-    """Path-dependent Shapley values of all rows, leaf by leaf.
+def _game(on: np.ndarray, shares: Sequence[float]) -> np.ndarray:
+    """Shapley values, per unit of leaf value, of rows of 0/1 presences in one leaf.
 
     In a leaf's game a present feature contributes 1 or 0 (row on the path or
     not), an absent one its training share. With d features, the coalitions of
     each size are the coefficients of prod(share + present * t); dividing one
     factor out is avoided by multiplying the others.
     """
-    phi = np.zeros_like(matrix)
-    base = 0.0
+    d = len(shares)
+    order = np.cumprod([1.0, *[k / (d - k) for k in range(1, d)]]) / d
+    out = np.empty_like(on)
+    for j in range(d):
+        poly = [np.ones(len(on))]
+        for k in range(d):
+            if k == j:
+                continue
+            grown = [c * shares[k] for c in poly] + [np.zeros(len(on))]
+            for size, c in enumerate(poly):
+                grown[size + 1] = grown[size + 1] + c * on[:, k]
+            poly = grown
+        out[:, j] = (on[:, j] - shares[j]) * sum(w * c for w, c in zip(order, poly))
+    return out
+
+
+def _tables(paths: list[tuple]) -> list[np.ndarray | None]:
+    """Each leaf's values for every pattern of presences, where these are few."""
+    tables: list[np.ndarray | None] = []
     for leaf_value, path in paths:
         d = len(path)
-        shares = [p[3] for p in path]
-        base += leaf_value * float(np.prod(shares)) if d else leaf_value
-        if not d:
+        if not 0 < d <= TABLE_FEATURES:
+            tables.append(None)
+            continue
+        patterns = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+        tables.append(leaf_value * _game(patterns, [p[3] for p in path]))
+    return tables
+
+
+def _shapley(
+    matrix: np.ndarray, paths: list[tuple], tables: list[np.ndarray | None] | None = None,
+) -> tuple[np.ndarray, float]:
+    """Path-dependent Shapley values of all rows, leaf by leaf. A row's values in a
+    leaf depend only on which path conditions it meets, so they are looked up."""
+    phi = np.zeros((matrix.shape[1], len(matrix)))
+    columns = np.ascontiguousarray(matrix.T)
+    base = 0.0
+    for (leaf_value, path), table in zip(paths, tables or _tables(paths)):
+        base += leaf_value * float(np.prod([p[3] for p in path])) if path else leaf_value
+        if not path:
             continue
-        on = [
-            ((matrix[:, f] > lo) & (matrix[:, f] <= hi)).astype(float) for f, lo, hi, _ in path
-        ]
-        order = np.cumprod([1.0, *[k / (d - k) for k in range(1, d)]]) / d
+        on = [(columns[f] > lo) & (columns[f] <= hi) for f, lo, hi, _ in path]
+        if table is None:
+            values = leaf_value * _game(
+                np.stack(on, axis=1).astype(float), [p[3] for p in path])
+        else:
+            pattern = np.zeros(len(matrix), np.int64)
+            for k, met in enumerate(on):
+                pattern |= met.astype(np.int64) << k
+            values = table[pattern]
         for j, (feature, *_rest) in enumerate(path):
-            poly = [np.ones(len(matrix))]
-            for k in range(d):
-                if k == j:
-                    continue
-                grown = [c * shares[k] for c in poly] + [np.zeros(len(matrix))]
-                for size, c in enumerate(poly):
-                    grown[size + 1] = grown[size + 1] + c * on[k]
-                poly = grown
-            total = sum(w * c for w, c in zip(order, poly))
-            phi[:, feature] += leaf_value * (on[j] - shares[j]) * total
-    return phi, base
+            phi[feature] += values[:, j]
+    return np.ascontiguousarray(phi.T), base
 
 
 def tree_attributions(
     unscaled: DataFrame, model: PipelineModel, features: Sequence[str], *,
     keep: Sequence[str] = (S.LOAN_ID,),
 ) -> DataFrame:
-    """Path-dependent tree Shapley values of each row's margin (boosted trees) or
-    mean class-1 probability (forest): ``keep`` columns, ``base_value`` and
+    """Path-dependent tree Shapley values of each row's log-odds (boosted trees) or
+    mean class-1 probability (forest, a share from 0 to 1): ``keep`` columns, ``base_value`` and
     ``attributions`` in feature order. The node table is the only thing shipped to
     tasks; rows stream through in Arrow batches."""
     spark = unscaled.sparkSession
     kind = "regression" if type(model.stages[-1]).__name__.startswith("GBT") else "gini"
     nodes, weights = tree_nodes(spark, model)
-    if kind != "regression":  # a forest averages its trees
+    if kind == "regression":  # the library's margin is half the log-odds
+        weights = [2.0 * w for w in weights]
+    else:  # a forest averages its trees
         weights = [1.0 / len(weights)] * len(weights)
     shipped = spark.sparkContext.broadcast(_leaf_paths(nodes, weights, kind))
     names, kept = list(features), list(keep)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = _tables(shipped.value)
         for batch in batches:
             matrix = batch[names].to_numpy(dtype=float)
-            phi, base = _shapley(matrix, shipped.value)
+            phi, base = _shapley(matrix, shipped.value, tables)
             out = batch[kept].copy()
             out["base_value"] = base
             out["contributions"] = list(phi)

@@ -193,26 +193,34 @@ def _training_view(x: Inputs, family: str) -> tuple[DataFrame, models.Preprocess
     return view, preprocessor
 
 
-# Fewer and shallower trees than the library's defaults keep registered queries short.
-_SMALL = {
-    "boosted_trees": {"maxIter": 8, "maxDepth": 4},
-    "random_forest": {"numTrees": 10, "maxDepth": 4},
-    "logistic_regression": {"maxIter": 100},
-}
+# One fit per application, tables and family, with the library's settings: several queries
+# look at the same model.
+_FITS: dict[tuple[str, str, str], tuple[models.Preprocessor, models.PipelineModel]] = {}
 
 
 def _trained(x: Inputs, family: str):
-    view, preprocessor = _training_view(x, family)
-    train = view.filter(F.col(S.SPLIT) == "train")
-    model = models.fit_family(family, train, preprocessor.feature_names, _SMALL[family])
+    key = (x.spark.sparkContext.applicationId, x.sf_dir, family)
+    if key not in _FITS:
+        view, preprocessor = _training_view(x, family)
+        train = materialise(view.filter(F.col(S.SPLIT) == "train").select(
+            S.TARGET, *preprocessor.feature_names), "train")
+        _FITS[key] = (preprocessor, models.fit_family(family, train, preprocessor.feature_names))
+        return view, *_FITS[key]
+    preprocessor, model = _FITS[key]
+    view = preprocessor.transform(x.split())
+    if models.FAMILIES[family].view == "scaled":
+        view = preprocessor.scale(view)
     return view, preprocessor, model
 
 
-def _quality(x: Inputs, family: str) -> DataFrame:
+def _scored(x: Inputs, family: str) -> DataFrame:
     view, _, model = _trained(x, family)
-    scored = materialise(
+    return materialise(
         models.positive_probability(model, view).select(S.SPLIT, S.TARGET, "score"))
-    return metrics.evaluate(scored, 0.5, by=[S.SPLIT])
+
+
+def _quality(x: Inputs, family: str) -> DataFrame:
+    return metrics.evaluate(_scored(x, family), 0.5, by=[S.SPLIT])
 
 
 @query("train_gbt")
@@ -234,7 +242,7 @@ def train_lr(x: Inputs) -> DataFrame:
 def temporal_cv(x: Inputs) -> DataFrame:
     view, preprocessor = _training_view(x, "logistic_regression")
     config = models.TrainingConfig(
-        candidates={"logistic_regression": ({"C": 1.0, "maxIter": 50}, {"C": 0.01, "maxIter": 50})})
+        candidates={"logistic_regression": ({"C": 1.0}, {"C": 0.01})})
     return models.cross_validate(
         "logistic_regression", view.filter(F.col(S.SPLIT) == "train"),
         preprocessor.feature_names, config=config)
@@ -243,8 +251,7 @@ def temporal_cv(x: Inputs) -> DataFrame:
 @query("train_evaluate")
 def train_evaluate(x: Inputs) -> DataFrame:
     view, preprocessor = _training_view(x, "logistic_regression")
-    config = models.TrainingConfig(
-        cv_folds=2, candidates={"logistic_regression": ({"maxIter": 50},)})
+    config = models.TrainingConfig()
     found = models.train_and_evaluate(
         "logistic_regression", view, preprocessor.feature_names, config=config)
     columns = ("row_count", "true_positive", "true_negative", "false_positive", "false_negative",
@@ -258,11 +265,14 @@ def train_evaluate(x: Inputs) -> DataFrame:
 
 
 def _bundle(x: Inputs, family: str = "boosted_trees") -> models.ScoringModel:
+    """The fitted model with the threshold that is best on validation."""
     _, preprocessor, model = _trained(x, family)
+    validation = _scored(x, family).filter(F.col(S.SPLIT) == "validation")
+    threshold = metrics.f1_threshold(validation).first()["threshold"]
     version = models.model_version(
-        preprocessor.schema_digest, models.SEED, preprocessor.training_quarters, _SMALL[family])
+        preprocessor.schema_digest, models.SEED, preprocessor.training_quarters, {})
     return models.ScoringModel(
-        preprocessor, model, 0.5, version, models.FAMILIES[family].view)
+        preprocessor, model, threshold, version, models.FAMILIES[family].view)
 
 
 @query("score_batch")
@@ -310,7 +320,7 @@ def stream_adwin(x: Inputs) -> DataFrame:
     stream = x.spark.readStream.schema(scores.schema).option(
         "maxFilesPerTrigger", 2).parquet(source)
     score_stream.run_monitor(stream, sink, scratch(x.spark, "monitor")).awaitTermination()
-    return x.spark.read.parquet(sink)
+    return x.spark.read.parquet(sink).drop("batch")
 
 
 @query("stream_scoring")

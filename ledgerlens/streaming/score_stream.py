@@ -2,94 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens.operators import adwin, drift
 from ledgerlens.operators.models import ScoringModel, score_raw
 
-STATE_SCHEMA = (
-    "seen bigint, detections bigint, changed boolean, counts array<bigint>, "
-    "means array<double>, squares array<double>, pending array<double>"
-)
-SNAPSHOT_SCHEMA = (
-    "model_version string, score_stream_count bigint, latest_score double, "
-    "adwin_change_detected boolean, detections bigint, updated_at timestamp"
-)
 
-
-def _observe(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Fold one trigger's scores of one model into its detector.
-
-    A trigger's rows of one model are sorted in memory; the source's files or
-    offsets per trigger bound them. State is O(log n) buckets and at most 31
-    scores waiting for their block.
+def run_monitor(
+    scores: DataFrame, sink: str, checkpoint: str, *, primed: DataFrame | None = None,
+    feature_drift_count: int = 0, **trigger: Any,
+) -> StreamingQuery:
+    """Snapshots from a score stream (prediction_id, model_version, score, created_at):
+    one at each detected change and one per model and trigger, appended to a Parquet
+    table. Drains what is there by default.
+
+    Each trigger's scores are packed in order by native aggregates and walked from the
+    states that the trigger before has stored beside the checkpoint; ``primed`` has the
+    states before the first, as training writes them. A trigger that is run again starts
+    from the same states and overwrites its own output. ``feature_drift_count`` is the
+    result of the last feature check, which stays in force until the next.
     """
-    detector, seen, pending = adwin.Detector(), 0, []
-    if state.exists:
-        seen, detections, changed, counts, means, squares, pending = state.get
-        detector = adwin.Detector(
-            buckets=list(zip(map(int, counts), means, squares)),
-            detections=int(detections), changed=bool(changed),
-        )
-        pending = list(pending)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "prediction_id"], kind="stable")
-    snapshots = []
-    for score, at in zip(rows["score"].tolist(), rows["created_at"].tolist()):
-        seen += 1
-        pending.append(score)
-        detector.changed = False
-        if len(pending) == adwin.BLOCK:
-            block = pd.Series(pending)
-            mean = float(block.mean())
-            detector.add_block(adwin.BLOCK, mean, float(((block - mean) ** 2).sum()))
-            pending = []
-        if detector.changed:
-            snapshots.append((key[0], seen, score, True, detector.detections, at))
-    last = (key[0], seen, float(rows["score"].iloc[-1]), detector.changed,
-            detector.detections, rows["created_at"].iloc[-1])
-    if not detector.changed:
-        snapshots.append(last)
-    state.update((seen, detector.detections, detector.changed, *detector.to_arrays(), pending))
-    yield pd.DataFrame(snapshots, columns=[
-        "model_version", "score_stream_count", "latest_score", "adwin_change_detected",
-        "detections", "updated_at",
-    ])
-
-
-def monitor_scores(scores: DataFrame) -> DataFrame:
-    """Snapshots from a score stream (prediction_id, model_version, score,
-    created_at): one at each detected change and one per model and trigger. State
-    is keyed by model, so models scale out and state survives in the checkpoint."""
-    return (
-        adwin.valid_scores(scores)
-        .select("model_version", "prediction_id", "score", F.col("created_at").cast("timestamp"))
-        .groupBy("model_version")
-        .applyInPandasWithState(
-            _observe, SNAPSHOT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-        )
-        .withColumn(
-            "status",
+    spark = scores.sparkSession
+
+    def stored(batch_id: int) -> str:
+        return f"{checkpoint}-states/batch={batch_id}"
+
+    def observe(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(stored(batch_id - 1)) if batch_id else primed
+        events = adwin.walk(batch, initial=before).persist()
+        events.filter("final").drop("at", "fresh", "final").write.mode("overwrite").parquet(
+            stored(batch_id))
+        shown = events.filter("fresh > 0 AND NOT (final AND adwin_change_detected)")
+        shown.select(
+            "model_version", "score_stream_count", "latest_score", "adwin_change_detected",
+            "detections", F.col("at").alias("updated_at"),
             drift.drift_status(
-                F.col("adwin_change_detected"), F.lit(0), F.col("score_stream_count")
-            ),
-        )
-    )
+                F.col("adwin_change_detected"), F.lit(feature_drift_count),
+                F.col("score_stream_count")).alias("status"),
+        ).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        events.unpersist()
 
-
-def run_monitor(scores: DataFrame, sink: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
-    """Append snapshots to a Parquet table; defaults to draining what is there."""
     return (
-        monitor_scores(scores).writeStream.format("parquet").outputMode("append")
-        .option("path", sink).option("checkpointLocation", checkpoint)
+        scores.writeStream.foreachBatch(observe)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

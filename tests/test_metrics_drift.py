@@ -180,7 +180,7 @@ def test_adwin_finds_a_step_and_not_a_plateau(spark):
     df = stream(spark, flat, "flat").unionByName(stream(spark, step, "step"))
     rows = {r["model_version"]: r for r in adwin.detect(df.repartition(5)).collect()}
     assert rows["flat"]["detections"] == 0 and rows["flat"]["score_stream_count"] == 1500
-    assert rows["flat"]["window_width"] == 1500 // 32 * 32
+    assert rows["flat"]["window_width"] == 1500
     assert rows["step"]["detections"] >= 1
     assert rows["step"]["window_mean"] == pytest.approx(0.7, abs=0.05)
     assert rows["step"]["latest_score"] == pytest.approx(step[-1])
@@ -190,11 +190,10 @@ def test_adwin_detects_soon_after_a_step():
     rng = np.random.default_rng(5)
     detector, found = adwin.Detector(), None
     scores = np.concatenate([rng.normal(0.2, 0.05, 640), rng.normal(0.6, 0.05, 640)])
-    for block in range(40):
-        part = scores[block * 32: block * 32 + 32]
-        if detector.add_block(32, part.mean(), part.var() * 32) and found is None:
-            found = block
-    assert 20 <= found <= 22
+    for at, score in enumerate(scores):
+        if detector.add(score) and found is None:
+            found = at
+    assert 640 <= found <= 640 + 64
     assert len(detector.buckets) < 40
     with pytest.raises(DataContractError):
         adwin.Detector(delta=1.5)
@@ -203,8 +202,8 @@ def test_adwin_detects_soon_after_a_step():
 def test_histogram_keeps_totals():
     detector = adwin.Detector(delta=1e-12)
     values = np.random.default_rng(1).random(32 * 50)
-    for part in values.reshape(50, 32):
-        detector.add_block(32, part.mean(), part.var() * 32)
+    for value in values:
+        detector.add(value)
     assert detector.width == len(values)
     assert detector.mean == pytest.approx(values.mean())
     squares = sum(b[2] for b in detector.buckets) + sum(
@@ -212,6 +211,22 @@ def test_histogram_keeps_totals():
     assert squares == pytest.approx(values.var() * len(values))
 
 
+def test_a_short_stream_can_alarm_and_a_primed_one_sooner(spark):
+    short = stream(spark, [0.1] * 40 + [0.9] * 40)
+    assert adwin.detect(short).first()["detections"] >= 1
+    primed = adwin.detect(stream(spark, [0.1] * 200))
+    later = stream(spark, [0.9] * 24)
+    assert adwin.detect(later).first()["detections"] == 0
+    row = adwin.detect(later, initial=primed).first()
+    assert row["detections"] == 1 and row["score_stream_count"] == 224
+    whole = adwin.detect(stream(spark, [0.1] * 200 + [0.9] * 24)).first()
+    assert row.asDict() == whole.asDict()
+    replayed = adwin.replay_state(
+        later.drop("model_version"), spark.createDataFrame(
+            [], "snapshot_id int, snapshot string, created_at timestamp"), primed=primed).first()
+    assert replayed["score_stream_count"] == 24 and replayed["status"] == "drift_detected"
+
+
 def test_replay_merges_snapshot(spark):
     predictions = stream(spark, [0.2, 0.8]).drop("model_version")
     good = {"feature": "dti", "statistic": 0.5, "p_value": 0.001, "drift_detected": True,
