@@ -160,7 +160,7 @@ FROM (SELECT score, count(*) FILTER (target = 1) AS positives,
 SELECT 'score' AS feature, score AS value, created_at < TIMESTAMP '1999-01-01' AS is_reference
 FROM predictions
 UNION ALL SELECT 'o_totalprice', o_totalprice, o_orderdate < TIMESTAMP '1999-01-01'
-FROM orders WHERE o_orderkey % 5 <> 0
+FROM orders
 UNION ALL SELECT 'prediction_id', prediction_id, created_at < TIMESTAMP '1999-01-01'
 FROM predictions""",
     "snapshot_entries": """
