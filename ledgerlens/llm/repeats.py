@@ -6,16 +6,15 @@ the next digit and drops groups with a single member, most significant digit fir
 
 1. The first digit of a window is its *anchor*: the least hash among the short grams inside
    it, leftmost on ties. Equal windows have equal anchors at equal places. Neighbouring
-   windows mostly share one anchor, so a run of windows is one row: its anchor's hash, a
-   hash of all bytes that the run covers, and its place.
-2. Runs with equal anchor and equal bytes are repeated as a whole. Runs whose anchor occurs
-   once are dropped.
-3. What is left, mostly at the edges of repeated passages, is split window by window: the
-   last digit is the hash of the window's own bytes together with its anchor. One run of
-   each repeated kind with that anchor takes part as a witness.
+   windows mostly share one anchor, so a run of windows is one row.
+2. Runs left open are cut into blocks of neighbouring windows at fixed places from the anchor;
+   the next digit is the hash of the bytes that all windows of a block contain.
+3. Blocks left open are cut into windows; the last digit is the hash of the window itself.
 
-Groups of equal windows are exactly the repeated strings. All their bytes are removed.
-Windows are compared by two independent 64-bit hashes.
+At each pass, rows alike in all bytes that they cover are repeated as a whole and settled;
+rows whose digit occurs once are dropped; the rest is left open for the next pass, with one
+settled row of each kind as a witness. Groups of equal windows are exactly the repeated
+strings. All their bytes are removed. Windows are compared by two 64-bit hashes.
 
 Cases: null and empty texts have no bytes; texts shorter than ``DEPTH`` lose nothing;
 overlapping strings and repeats within one document count; repeated rows are documents that
@@ -29,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import held_by_size, map_batches, texts_of
 from ledgerlens.llm.shingles import mix, prefix_sums, substring_hashes
@@ -39,7 +39,9 @@ DEPTH = 200
 GRAM = 64
 #: Bytes of a text handled at once; the next piece overlaps by ``DEPTH - 1``.
 PIECE = 1 << 20
-#: Rows of spans that may be broadcast: one per document with a span.
+#: Neighbouring windows in a block.
+BLOCK = 8
+#: Rows that may be broadcast: an open row or a document's spans, some 30 bytes each.
 MOST_BROADCAST = 1_000_000
 
 _PLACE = np.uint64((1 << 24) - 1)
@@ -83,71 +85,99 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _rows(texts: list[str]):
-    """For all texts, the runs' (text number, offset, first, last, anchor place, anchor hash,
-    piece sums)."""
-    for k, text in enumerate(texts):
+def _batch(doc: pa.Array, parts: list[tuple], names: list[str]):
+    """One batch from parts (text number, columns...)."""
+    if parts:
+        owner, *columns = (np.concatenate(c) for c in zip(*parts))
+        yield pa.RecordBatch.from_arrays(
+            [doc.take(pa.array(owner)), *(pa.array(c.view(np.int64)) for c in columns)],
+            ["doc", *names])
+
+
+def _fresh(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Texts that the task has not seen: copies are settled as whole texts."""
+    keep = []
+    for k, doc in enumerate(batch.column("doc").to_pylist()):
+        doc = (doc["h"], doc["n"])
+        if doc not in seen:
+            seen.add(doc)
+            keep.append(k)
+    return batch.take(pa.array(keep, pa.int64()))
+
+
+def _runs():
+    """First pass: (doc, digit, whole, first, last, place of the anchor)."""
+    seen: set = set()
+
+    def work(batch: pa.RecordBatch):
+        batch, parts = _fresh(batch, seen), []
+        for k, text in enumerate(texts_of(batch)):
+            data = _bytes(text)
+            for lo, piece in pieces(data):
+                first, last, at, gram, sums = window_runs(piece)
+                # The place of the anchor inside the run is part of what must agree.
+                whole = mix(substring_hashes(sums, first, last + DEPTH) * _SECOND
+                            + (at - first).astype(np.uint64))
+                parts.append((np.full(len(first), k), gram, whole, first + lo, last + lo, at + lo))
+        yield from _batch(batch.column("doc"), parts, COLUMNS)
+
+    return work
+
+
+def _opened(batch: pa.RecordBatch):
+    """For each text's pieces with open rows: (text number, piece's start, its prefix sums,
+    and the rows' first, last and anchor places inside the piece)."""
+    lists = batch.column("open").to_pylist()
+    for k, text in enumerate(texts_of(batch)):
+        rows = np.array([(r["first"], r["last"], r["at"]) for r in lists[k]], np.int64)
         data = _bytes(text)
-        if len(data) < DEPTH:
-            continue
         for lo, piece in pieces(data):
-            yield (k, lo, *window_runs(piece))
+            mine = rows[(rows[:, 0] >= lo) & (rows[:, 0] < lo + PIECE)]
+            if len(mine):
+                yield (k, lo, prefix_sums(piece), *(mine - lo).T)
 
 
-def _runs():
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers from low to high, row by row, and their rows."""
+    sizes = high - low + 1
+    row = np.repeat(np.arange(len(low)), sizes)
+    return low[row] + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), row
+
+
+def _blocks():
+    """Second pass, on open runs."""
+    seen: set = set()
+
     def work(batch: pa.RecordBatch):
-        out = [[] for _ in range(6)]
-        for k, lo, first, last, at, gram, sums in _rows(texts_of(batch)):
-            ends = last + DEPTH
-            whole = substring_hashes(sums, first, ends)
-            # The place of the anchor inside the run is part of what must agree.
-            whole = mix(whole * _SECOND + (at - first).astype(np.uint64))
-            for column, values in zip(out, (
-                    np.full(len(first), k), gram.view(np.int64), whole.view(np.int64),
-                    first + lo, last + lo)):
-                column.append(values)
-        if out[0]:
-            owner, gram, whole, first, last = (np.concatenate(c) for c in out[:5])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(owner)), pa.array(gram), pa.array(whole),
-                 pa.array(first), pa.array(last)], ["doc", "gram", "whole", "first", "last"])
+        batch, parts = _fresh(batch, seen), []
+        for k, lo, sums, first, last, at in _opened(batch):
+            # A window's offset is the distance from its start to its anchor.
+            block, row = _spread((at - last) // BLOCK, (at - first) // BLOCK)
+            a = np.maximum(first[row], at[row] - BLOCK * block - (BLOCK - 1))
+            b = np.minimum(last[row], at[row] - BLOCK * block)
+            core = at[row] - BLOCK * block
+            digit = mix(substring_hashes(sums, core, core + DEPTH - BLOCK + 1) * _SECOND
+                        + block.astype(np.uint64))
+            whole = mix(substring_hashes(sums, a, b + DEPTH) * _SECOND
+                        + (at[row] - a).astype(np.uint64))
+            parts.append((np.full(len(a), k), digit, whole, a + lo, b + lo, at[row] + lo))
+        yield from _batch(batch.column("doc"), parts, COLUMNS)
 
     return work
 
 
 def _windows():
-    """Windows of the runs left open: (doc, start, gram, own). Copies of a text hold only
-    witnesses, so one copy per task is enough."""
+    """Third pass, on open blocks; a row is one window, alike only if its digit is."""
     seen: set = set()
 
     def work(batch: pa.RecordBatch):
-        out = [[] for _ in range(4)]
-        docs = [(d["h"], d["n"]) for d in batch.column("doc").to_pylist()]
-        fresh = []
-        for k, doc in enumerate(docs):
-            if doc not in seen:
-                seen.add(doc)
-                fresh.append(k)
-        batch = batch.take(pa.array(fresh, pa.int64()))
-        opened = batch.column("firsts").to_pylist()
-        for k, lo, first, last, at, gram, sums in _rows(texts_of(batch)):
-            wanted = np.isin(first + lo, np.asarray(opened[k], np.int64))
-            if not wanted.any():
-                continue
-            first, last, gram = first[wanted], last[wanted], gram[wanted]
-            sizes = last - first + 1
-            starts = np.repeat(first, sizes) + (
-                np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            own = mix(substring_hashes(sums, starts, starts + DEPTH) * _SECOND)
-            for column, values in zip(out, (
-                    np.full(len(starts), k), starts + lo, np.repeat(gram, sizes).view(np.int64),
-                    own.view(np.int64))):
-                column.append(values)
-        if out[0]:
-            owner, start, gram, own = (np.concatenate(c) for c in out)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(owner)), pa.array(start), pa.array(gram),
-                 pa.array(own)], ["doc", "start", "gram", "own"])
+        batch, parts = _fresh(batch, seen), []
+        for k, lo, sums, first, last, at in _opened(batch):
+            start, _ = _spread(first, last)
+            own = substring_hashes(sums, start, start + DEPTH)
+            half = substring_hashes(sums, start, start + DEPTH // 2)
+            parts.append((np.full(len(start), k), own, half, start + lo, start + lo, start + lo))
+        yield from _batch(batch.column("doc"), parts, COLUMNS)
 
     return work
 
@@ -160,6 +190,39 @@ def _merge(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[begins], b[np.append(begins[1:], len(a)) - 1]
 
 
+COLUMNS = ["digit", "whole", "first", "last", "at"]
+DOC = "struct<h:bigint,n:int>"
+PASS = f"doc {DOC}, " + ", ".join(f"{c} bigint" for c in COLUMNS)
+
+
+def _sift(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) rows of a pass. One shuffle, by digit, serves all windows below."""
+    digit = Window.partitionBy("digit")
+    alike = Window.partitionBy("digit", "whole")
+    met = rows.repartition("digit").withColumn("all", F.count("*").over(digit)).filter(
+        "all > 1").dropDuplicates(["digit", "whole", "doc", "first"])
+    marked = met.withColumns({
+        "all": F.count("*").over(digit), "m": F.count("*").over(alike)}).filter("all > 1")
+    marked = marked.withColumns({
+        "some_open": F.min("m").over(digit) == 1,
+        "rank": F.row_number().over(alike.orderBy("doc", "first"))})
+    sifted = materialise(marked.select(
+        "doc", "first", "last", "at", (F.col("m") > 1).alias("settled"),
+        ((F.col("m") == 1) | (F.col("some_open") & (F.col("rank") == 1))).alias("open")), name)
+    return (sifted.filter("settled").select("doc", "first", "last"),
+            sifted.filter("open").select("doc", "first", "last", "at"))
+
+
+def _next_pass(rows: DataFrame, opened: DataFrame, make) -> DataFrame:
+    """Rows of the next pass from the texts that have open rows."""
+    listed = materialise(opened.groupBy(F.col("doc").alias("d")).agg(
+        F.collect_list(F.struct("first", "last", "at")).alias("open")), "open")
+    weight = listed.agg(F.sum(F.size("open") + 1)).first()[0] or 0
+    few = held_by_size(listed, weight, MOST_BROADCAST)
+    chosen = rows.join(few, F.col("doc") == F.col("d")).select("doc", "text", "open")
+    return map_batches(chosen, make, PASS)
+
+
 def spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(doc, spans): for each text that has any, its repeated byte ranges, as pairs of little-
     endian 64-bit integers. ``doc`` is a hash of the text and its length: equal texts are
@@ -168,37 +231,15 @@ def spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         F.octet_length("text") >= DEPTH).select(
         F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).alias("doc"),
         "text")
-    doc_type = "struct<h:bigint,n:int>"
-    runs = materialise(map_batches(
-        rows, _runs, f"doc {doc_type}, gram bigint, whole bigint, first bigint, last bigint"),
-        "runs")
-    counted = runs.groupBy("gram", "whole").agg(
-        F.count("*").alias("m"), F.min(F.struct("doc", "first")).alias("witness"))
-    # Per anchor: how often it occurs, whatever its surroundings, and runs not settled by it.
-    anchors = counted.groupBy("gram").agg(
-        F.sum("m").alias("all"), F.count_if(F.col("m") == 1).alias("open")).filter("all > 1")
-    known = materialise(counted.join(anchors, "gram").select(
-        "gram", "whole", (F.col("m") > 1).alias("settled"),
-        F.when((F.col("m") > 1) & (F.col("open") > 0), F.col("witness")).alias("witness")),
-        "groups")
-    placed = materialise(runs.join(known.drop("witness"), ["gram", "whole"]).select(
-        "doc", "first", "last", "settled"), "placed")
-    settled = placed.filter("settled").select("doc", "first", "last")
-    opened = placed.filter(~F.col("settled")).select("doc", "first").unionByName(
-        known.filter(F.col("witness").isNotNull()).select("witness.doc", "witness.first")
-    ).groupBy("doc").agg(F.collect_set("first").alias("firsts"))
-    opened = materialise(opened, "opened")
-    few = held_by_size(opened.withColumnRenamed("doc", "d"), _weight(opened), MOST_BROADCAST)
-    again = map_batches(
-        rows.join(few, F.col("doc") == F.col("d")).select("doc", "text", "firsts"), _windows,
-        f"doc {doc_type}, start bigint, gram bigint, own bigint")
-    windows = materialise(again, "windows")
-    twice = windows.groupBy("gram", "own").agg(F.count("*").alias("m")).filter("m > 1")
-    found = windows.join(twice, ["gram", "own"]).select(
-        "doc", F.col("start").alias("first"), F.col("start").alias("last"))
-    ranges = settled.unionByName(found).distinct()
-    listed = ranges.groupBy("doc").agg(
-        F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    copied = rows.groupBy("doc").agg(F.count("*").alias("m")).filter("m > 1").select(
+        "doc", F.lit(0).cast("long").alias("first"),
+        (F.col("doc.n") - DEPTH).cast("long").alias("last"))
+    settled, opened = _sift(map_batches(rows, _runs, PASS), "runs")
+    more, opened = _sift(_next_pass(rows, opened, _blocks), "blocks")
+    last, _ = _sift(_next_pass(rows, opened, _windows), "windows")
+    ranges = copied.unionByName(settled).unionByName(more).unionByName(last)
+    listed = ranges.groupBy("doc").agg(F.collect_list("first").alias("first"),
+                                       F.collect_list("last").alias("last"))
 
     def merge():
         def work(batch: pa.RecordBatch):
@@ -211,12 +252,7 @@ def spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
         return work
 
-    return map_batches(listed, merge, f"doc {doc_type}, spans binary")
-
-
-def _weight(opened: DataFrame) -> int:
-    """Rows that a table of lists is worth for a broadcast."""
-    return int(opened.agg(F.sum(F.size("firsts") + 2)).first()[0] or 0) // 4
+    return map_batches(listed, merge, f"doc {DOC}, spans binary")
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
