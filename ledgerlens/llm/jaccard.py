@@ -8,7 +8,7 @@ these allow is too small, or when both lie in one component already.
 
 Groups come in two steps:
 
-1. *Contraction.* Classes that share a min-hash meet, with their whole sets. Most links are
+1. *Contraction.* Classes that share a key of min-hashes meet, with their whole sets. Most links are
    found here and merged to components. A large group is dealt out in blocks, and the blocks'
    leaders meet again in the next round, so no task holds an unbounded group.
 2. *Completion.* By the prefix principle, linked sets share one of their first tokens in any
@@ -41,23 +41,36 @@ from ledgerlens.session import materialise
 
 #: Two sets link from this many hundredths of their union in common.
 PERCENT = 80
-#: Min-hashes per class, for contraction.
+#: Keys per class for contraction, and min-hashes that a key is made of: sets that only
+#: share a passage rarely share a key, near copies nearly always share one.
 KEYS = 4
+HASHES = 3
 #: Bits per token of a class's bitmap.
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 2
 #: Children of a tree node.
 FANOUT = 8
 #: Classes that meet in one task at once.
 BLOCK = 2_048
 #: Tokens sampled to find frequent ones, and occurrences from which a token is frequent.
-SAMPLE_TOKENS = 4_000_000
+SAMPLE_TOKENS = 8_000_000
 FREQUENT = 3
-#: Classes whose keys may be broadcast: 16 bytes each.
-MOST_BROADCAST = 1_000_000
+#: Rows that may be broadcast: a class and a group that it meets in, some 50 bytes each.
+MOST_BROADCAST = 400_000
 #: Classes a task remembers while it drops repeated ones.
 SEEN = 500_000
 
-_SALTS = mix(np.arange(101, 101 + KEYS, dtype=np.uint64))
+_SALTS = mix(np.arange(101, 101 + KEYS * HASHES, dtype=np.uint64))
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: six bytes a token, in order."""
+    return (tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
 
 
 def required(n: int) -> int:
@@ -83,6 +96,14 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def contraction_keys(tokens: np.ndarray) -> list[int]:
+    lowest = np.array([mix(tokens ^ salt).min() for salt in _SALTS])
+    keys = np.zeros(KEYS, np.uint64)
+    for column in lowest.reshape(KEYS, HASHES).T:
+        keys = mix(keys + column)
+    return keys.view(np.int64).tolist()
+
+
 class Node:
     """A range of a group's members, in order of size."""
 
@@ -208,15 +229,14 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             for text in texts_of(batch, "__text"):
                 s = shingle_set(text)
                 n.append(len(s))
-                tokens.append(s.tobytes())
-                bits.append(bitmap(s) if len(s) else b"")
-                whole = mix(np.array([len(s)], np.uint64))[0]
+                tokens.append(pack(s))
+                bits.append(bitmap(s >> np.uint64(16)) if len(s) else b"")
+                whole = mix(np.array([len(s)], np.uint64))
                 if len(s):
-                    whole = mix(np.array([
-                        np.bitwise_xor.reduce(mix(s + whole)) * np.uint64(3) + s.sum()]))[0]
-                k.append(int(whole.astype(np.int64)))
-                keys.append([int(mix(s ^ salt).min().astype(np.int64)) for salt in _SALTS]
-                            if len(s) else [])
+                    mixed = np.bitwise_xor.reduce(mix(s + whole), keepdims=True)
+                    whole = mix(mixed * np.uint64(3) + s.sum(keepdims=True))
+                k.append(int(whole.astype(np.int64)[0]))
+                keys.append(contraction_keys(s) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), pa.array(k, pa.int64()), pa.array(n, pa.int32()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
@@ -230,11 +250,28 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return made.select("id", F.struct("k", "n").alias("c"), "keys", "bits", "tokens")
 
 
-def _of_classes(sets: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """(c, column) of the wanted classes, each once. ``wanted`` has distinct classes."""
-    few = held_by_size(wanted.select(F.col("c").alias("w")), wanted.count(), MOST_BROADCAST)
-    chosen = sets.join(few, F.col("c") == F.col("w"), "left_semi").select("c", column)
-    return map_batches(chosen, _first_seen, f"c {CLASS}, {column} binary").dropDuplicates(["c"])
+def _distinct_groups(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of groups with more than one class, and the groups' sizes ``m``. Of groups with
+    the same classes one stays: neighbouring shingles are shared by the same texts, so most
+    groups repeat others. Groups are told apart by size and two 64-bit hashes."""
+    marked = rows.groupBy(*group).agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y")).filter("m > 1")
+    kept = marked.groupBy("m", "x", "y").agg(F.min(F.struct(*group)).alias("g"))
+    return rows.join(kept.select("g.*", "m"), group)
+
+
+def _meet(sets: DataFrame, meeting: DataFrame, column: str) -> DataFrame:
+    """The meeting's rows with a column of each class; where a class has copies, perhaps
+    several times. Sets travel once to each group that they meet in."""
+    columns = [c for c in meeting.columns if c != "c"]
+    listed = meeting.groupBy(F.col("c").alias("w")).agg(
+        F.collect_list(F.struct(*columns)).alias("groups"))
+    few = held_by_size(listed, meeting.count(), MOST_BROADCAST)
+    rows = sets.join(few, F.col("c") == F.col("w")).select("c", column, "groups")
+    kind = rows.schema["groups"].dataType.simpleString()
+    once = map_batches(rows, _first_seen, f"c {CLASS}, {column} binary, groups {kind}")
+    return once.select("c", column, F.explode("groups").alias("g")).select("c", column, "g.*")
 
 
 def _first_seen():
@@ -268,7 +305,7 @@ def _by_group(rows: DataFrame, group: list[str], tree) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            keys = list(zip(*[batch.column(g).to_pylist() for g in group]))
+            keys = list(zip(*[_keys(batch.column(g)) for g in group]))
             edge = 0
             for i, key in enumerate(keys):
                 if key != last:
@@ -284,6 +321,13 @@ def _by_group(rows: DataFrame, group: list[str], tree) -> DataFrame:
     return dealt.mapInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
+def _keys(column: pa.Array) -> list:
+    """A group column's values in a form that compares."""
+    if pa.types.is_struct(column.type):
+        return list(zip(*[column.field(k).to_pylist() for k in range(column.type.num_fields)]))
+    return column.to_pylist()
+
+
 _CLASS_TYPE = pa.struct([("k", pa.int64()), ("n", pa.int32())])
 
 
@@ -292,6 +336,13 @@ def _links(tree, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     group = pa.Table.from_batches(held).combine_chunks()
     classes = group.column("c").to_pylist()
+    # Copies of one text bring their class more than once.
+    once = {(c["k"], c["n"]): i for i, c in enumerate(classes)}
+    if len(once) < 2:
+        return
+    if len(once) < len(classes):
+        group = group.take(list(once.values()))
+        classes = group.column("c").to_pylist()
     pairs = tree(group, classes)
     if pairs:
         sides = [sorted((classes[i], classes[j]), key=lambda c: (c["k"], c["n"]))
@@ -301,7 +352,7 @@ def _links(tree, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exact_tree(group: pa.Table, classes: list[dict]):
-    tokens = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+    tokens = [unpack(t) for t in group.column("tokens").to_pylist()]
     return Tree([c["n"] for c in classes], [bitmap(t) for t in tokens],
                 list(range(len(classes))), lambda i, j: linked(tokens[i], tokens[j])).pairs
 
@@ -327,17 +378,15 @@ def contract(sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     while True:
         leaders = _labelled(keyed, labels).groupBy("r", "key", "comp").agg(F.min("c").alias("c"))
         leaders = materialise(leaders.select("r", "key", "c"), "leaders")
-        groups = leaders.groupBy("r", "key").agg(F.count("*").alias("m")).filter("m > 1")
-        groups = materialise(groups, "groups")
+        groups = materialise(_distinct_groups(leaders, ["r", "key"]), "groups")
         largest = groups.agg(F.max("m")).first()[0]
         if largest is None:
             return edges, labels
-        meeting = leaders.join(groups, ["r", "key"]).withColumn(
-            "block", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / BLOCK)))
-        tokens = _of_classes(sets, meeting.select("c").distinct(), "tokens")
+        meeting = groups.select("r", "key", "c", F.pmod(
+            F.xxhash64("c"), F.ceil(F.col("m") / BLOCK)).alias("block"))
         found = materialise(_by_group(
-            meeting.select("r", "key", "block", "c").join(tokens, "c"),
-            ["r", "key", "block"], _exact_tree).distinct(), "links")
+            _meet(sets, meeting, "tokens"), ["r", "key", "block"], _exact_tree).distinct(),
+            "links")
         if found.isEmpty():
             return edges, labels
         edges = found if edges is None else edges.unionByName(found)
@@ -359,10 +408,9 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
 
         def work(batch: pa.RecordBatch):
             for kept in seen(batch):
-                all_tokens = [np.frombuffer(t, np.int64) for t in
-                              kept.column("tokens").to_pylist()]
+                tokens = [unpack(t) for t in kept.column("tokens").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.empty(0, np.int64), *all_tokens]))], ["token"])
+                    [pa.array(np.concatenate(tokens).view(np.int64))], ["token"])
 
         return work
 
@@ -386,7 +434,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
                     part = kept.slice(lo, 64)
                     out, owner = [], []
                     for i, t in enumerate(part.column("tokens").to_pylist()):
-                        t = np.frombuffer(t, np.uint64)
+                        t = unpack(t)
                         late = np.zeros(len(t), bool)
                         if len(last):
                             at = np.searchsorted(last, t)
@@ -412,35 +460,30 @@ def complete(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
         "least": F.min("c").over(of_token), "most": F.max("c").over(of_token)}).filter(
         F.col("least") != F.col("most")).select("token", "c")
     shared = materialise(shared.distinct(), "shared")
+    shared = _distinct_groups(shared, ["token"])
     mixed = _labelled(shared, labels).withColumns({
-        "least": F.min("comp").over(of_token), "most": F.max("comp").over(of_token),
-        "m": F.count("*").over(of_token)}).filter(F.col("least") != F.col("most"))
-    mixed = materialise(mixed.select("token", "c", "comp", "m"), "mixed")
-    bits = _of_classes(sets, mixed.select("c").distinct(), "bits")
+        "low": F.min("comp").over(of_token), "high": F.max("comp").over(of_token),
+        "hub": F.min("c").over(of_token)}).filter(F.col("low") != F.col("high"))
+    # Groups with one least class are joined as one, so that a class comes to them once.
+    mixed = materialise(mixed.select("hub", "c", "comp").distinct(), "mixed")
+    sizes = mixed.groupBy("hub").agg(F.count("*").alias("m"))
     # Blocks of a large group meet two by two.
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("c"), blocks)
-    met = mixed.select("token", "c", "comp", own.alias("own"), F.explode(
+    met = mixed.join(sizes, "hub").select("hub", "c", "comp", own.alias("own"), F.explode(
         F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    met = met.select("token", "c", "comp", F.least("own", "other").alias("low"),
+    met = met.select("hub", "c", "comp", F.least("own", "other").alias("low"),
                      F.greatest("own", "other").alias("high"))
     pairs = materialise(_by_group(
-        met.join(bits, "c"), ["token", "low", "high"], _bound_tree).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(
-        pairs.select(F.col("b").alias("c"))).distinct()
-    tokens = materialise(_of_classes(sets, wanted, "tokens"), "tokens")
-    sides = pairs.join(tokens.withColumnsRenamed({"c": "a", "tokens": "x"}), "a").join(
-        tokens.withColumnsRenamed({"c": "b", "tokens": "y"}), "b")
-
-    def make():
-        def work(batch: pa.RecordBatch):
-            same = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(same))
-
-        return work
-
-    return map_batches(sides.select("a", "b", "x", "y"), make, f"a {CLASS}, b {CLASS}")
+        _meet(sets, met, "bits"), ["hub", "low", "high"], _bound_tree).distinct(), "pairs")
+    # Each class meets those paired with it; it comes along to every block of them.
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    sides = pairs.join(sizes, "a").select(
+        F.col("a").alias("hub"), F.col("b").alias("c"),
+        F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).alias("block"))
+    hubs = sides.select("hub", F.col("hub").alias("c"), "block").distinct()
+    meeting = materialise(sides.unionByName(hubs), "meeting")
+    return _by_group(_meet(sets, meeting, "tokens"), ["hub", "block"], _exact_tree)
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
