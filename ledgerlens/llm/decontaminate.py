@@ -1,13 +1,15 @@
-"""Benchmark decontamination with spaced seeds, in built-in expressions only.
+"""Benchmark decontamination with seeds that cannot miss, in built-in expressions only.
 
-A spaced seed hashes the words at fixed places of a window and ignores the others, so a
-substituted word at an ignored place does not change the hash. Seeds of all masks are taken
-at every position of test items and of documents and joined on their hash. A hit fixes how
-an item lies over a document; there the words are compared one by one, and the overlap counts
-if enough words agree in the item as a whole or in a long stretch of it.
+A seed's mask compares some words of an item and ignores the others. With ``n`` words an item
+still counts after ``e`` substitutions, so its places are parted into ``e + 1`` blocks, each the
+mask of one seed: whichever ``e`` words are changed, a block is left whole. Blocks have at most
+five words, so that a stretch that counts by itself holds a whole one too. Seeds of the block
+lengths in use are taken at every position of documents and joined on their hash. A hit fixes
+how an item lies over a document; there the words are compared one by one, and the overlap
+counts if enough words agree in the item as a whole or in a long stretch of it.
 
 Words are taken as in the contracts, lower-cased in A-Z, and without the punctuation
-around them. Items with fewer words than a mask spans are seeded by shorter masks of their own.
+around them.
 
 Cases: null, empty and very short texts (under ``LEAST_WORDS`` words) neither match nor are
 matched; several items in one document give a row each, repeated rows and equal items too;
@@ -24,9 +26,6 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import fresh, held_by_size, words
 from ledgerlens.session import materialise
 
-#: Masks by window length: 1 is compared, 0 ignored. Each has seven words.
-MASKS = ("1101011011", "1110010111", "1011101101")
-SHORT_MASK = "11111"
 #: An item counts from this share of equal words over its whole length ...
 LEAST_SHARE = 0.8
 #: ... or from so many words of which this share are equal, where only a part is there.
@@ -45,20 +44,29 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(lower), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES))))
 
 
-def seed(hashes: Column, at: Column, mask: str) -> Column:
-    """The mask's seed at a place of an array of word hashes."""
-    return F.xxhash64(F.lit(int(mask, 2)), *[
-        F.get(hashes, at + k) for k, c in enumerate(mask) if c == "1"])
+def seed(hashes: Column, at: Column, length: int) -> Column:
+    """The seed of a block of words at a place of an array of word hashes."""
+    return F.xxhash64(F.lit(length), *[F.get(hashes, at + k) for k in range(length)])
 
 
-def _seed_rows(hashed: DataFrame, keep: tuple[str, ...], masks: tuple[str, ...]) -> DataFrame:
-    """(keep..., pos, seed) for each place and mask. Places become rows first, so that seeds
-    are computed by generated code, a few array reads each; the array itself is not copied."""
-    span = min(len(m) for m in masks)
-    places = hashed.filter(F.size("h") >= span).select(
-        *keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("pos"))
-    return places.select(*keep, "pos", F.explode(F.array(*[
-        seed(F.col("h"), F.col("pos"), m) for m in masks])).alias("seed"))
+def _blocks(n: Column) -> Column:
+    """(pos, length) of the blocks of an item of ``n`` words, longer ones first."""
+    # The changes allowed are those that the comparison with LEAST_SHARE lets pass.
+    parts = n - F.ceil(LEAST_SHARE * n) + 1
+    short, longer = F.floor(n / parts), n % parts
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda k: F.struct(
+        (k * short + F.least(k, longer)).cast("int").alias("pos"),
+        (short + (k < longer).cast("int")).cast("int").alias("length")))
+
+
+def _seed_rows(hashed: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, key, pos, seed) for each place and length. Places become rows first, so that seeds
+    are computed by generated code, a few array reads each; the array itself is not copied.
+    A seed that runs over the end has fewer words than its length says and equals no other."""
+    places = hashed.filter(F.size("h") >= LEAST_WORDS).select(
+        "id", "key", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(lengths))).alias("pos"))
+    return places.select("id", "key", "pos", F.explode(F.array(*[
+        seed(F.col("h"), F.col("pos"), n) for n in lengths])).alias("seed"))
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -71,21 +79,21 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     tests = materialise(items.select(
         F.col(item_col).alias("item"), word_hashes(F.coalesce(item_text, F.lit(""))).alias("h"))
         .filter(F.size("h") >= LEAST_WORDS), "items")
-    longest = max(len(m) for m in MASKS)
-    long = _seed_rows(tests.filter(F.size("h") >= longest), ("item",), MASKS)
-    short = _seed_rows(tests.filter(F.size("h") < longest), ("item",), (SHORT_MASK,))
+    parts = tests.select("item", "h", F.inline(_blocks(F.size("h").cast("bigint"))))
+    lengths = sorted(r.length for r in parts.select("length").distinct().collect()) or [LEAST_WORDS]
+    by_length = F.coalesce(*[
+        F.when(F.col("length") == n, seed(F.col("h"), F.col("pos"), n)) for n in lengths])
     # Equal items share their seeds; a seed names the items and places it comes from.
     wanted = materialise(
-        long.unionByName(short).groupBy("seed").agg(
+        parts.withColumn("seed", by_length).groupBy("seed").agg(
             F.collect_set(F.struct("item", "pos")).alias("of")), "seeds")
     n_seeds = wanted.agg(F.sum(F.size("of"))).first()[0] or 0
-    used = MASKS if short.isEmpty() else (*MASKS, SHORT_MASK)
 
     source = docs.select(F.col(id_col).alias("id"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hashed = source.select("id", F.xxhash64("t").alias("key"), word_hashes(F.col("t")).alias("h"))
     hits = (
-        _seed_rows(hashed, ("id", "key"), used)
+        _seed_rows(hashed, lengths)
         .join(held_by_size(wanted, n_seeds, MOST_BROADCAST), "seed")
         .select("id", "key", "pos", F.explode("of").alias("o"))
         .select("id", "key", F.col("o.item").alias("item"),

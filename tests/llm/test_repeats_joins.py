@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,43 @@ def test_decontamination_tolerates_substitutions(spark, make_docs, rng, prose):
     assert decontaminate.find(docs, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(5, 6, 7, 8, 9), (10, 11, 12, 13, 14), (15, 16)])
+def test_every_placement_of_allowed_changes_is_found(spark, make_docs, sizes):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in sizes}
+    texts, held = [], []
+    for n, item in items.items():
+        for changed in itertools.combinations(range(n), n // 5):
+            held.append((n, n - len(changed)))
+            texts.append(" ".join(["a", "b", *("x" if k in changed else w for k, w in enumerate(item)), "c"]))
+    table = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], ITEMS)
+    out = {r.doc_id: (r.item_id, r.n_equal, r.start)
+           for r in decontaminate.find(make_docs(texts), table).collect()}
+    assert out == {k: (*h, 2) for k, h in enumerate(held)}
+
+
+def test_blocks_leave_no_choice_of_changes_uncovered(spark):
+    rows = spark.range(5, 2000).select("id", decontaminate._blocks(F.col("id")).alias("b")).collect()
+    for n, blocks in rows:
+        # Disjoint blocks over all places, one more than the changes that still count.
+        ends = [b.pos + b.length for b in blocks]
+        assert [b.pos for b in blocks] == [0, *ends[:-1]] and ends[-1] == n
+        assert len(blocks) == n // 5 + 1 and all(2 <= b.length <= 5 for b in blocks)
+
+
+def test_stretches_of_long_items_are_found_wherever_they_start(spark, make_docs):
+    item = [f"w{k}" for k in range(59)]
+    texts = []
+    for at in range(59 - 18 + 1):
+        texts.append(" ".join(["a", *item[at:at + 13], "b"]))
+        texts += [" ".join(["a", *item[at:at + k], "x", *item[at + k + 1:at + 18], "b"]) for k in range(1, 17)]
+    table = spark.createDataFrame([(1, " ".join(item))], ITEMS)
+    assert decontaminate.find(make_docs(texts), table).count() == len(texts)
+    # Texts under five words match nothing, though four of an item's five words are there.
+    short = spark.createDataFrame([(2, "p q r s t")], ITEMS)
+    assert [r.doc_id for r in decontaminate.find(
+        make_docs(["p q r s", "z p q r s"]), short).collect()] == [1]
+
+
 def test_pipeline_stages_and_sql(spark):
     import corpus_pipeline
 
