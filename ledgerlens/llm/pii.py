@@ -9,10 +9,10 @@ by transducers that keep, for every character written, the source span it came f
   ``@`` and ``.``.
 
 The same identifier rules then run on the rewritten text, and their spans are mapped back.
-A disguised span counts only if it overlaps no plain span of any kind.
+A disguised span is left out only if a plain span of any kind covers it. Plain patterns often
+match a fragment of a disguised identifier; then both are reported, and masking takes their union.
 
-Cases: a null or empty text has no spans; overlaps between kinds are all reported for plain
-spans; matches that fail a check are dropped without a second try; repeated rows give
+Cases: a null or empty text has no spans; overlaps are all reported; matches that fail a check are dropped without a second try; repeated rows give
 repeated results; other columns of the input are not read. Positions are code points,
 ends exclusive.
 """
@@ -120,16 +120,16 @@ _SPELLED_PART = re.compile(rf"(?i)(?P<word>{_WORDS})|(?P<digit>[0-9])|(?P<plus>p
                            r"|(?P<dot>dot|point|punkt|punto)")
 _BRACKET = re.compile(
     r"(?i)[\[({<]\s*+(?P<sign>at|ät|arroba|arobase|dot|point|punkt|punto|\.|@)\s*+[\])}>]\s*+")
-# Endings that make words around "at" and "dot" an address, and words that
-# follow an ordinary "at".
-_ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|us|de|at|ch|fr|es|it|example|test|invalid"
+# Words that follow an ordinary "at".
 _PLAIN_AT = "the|this|that|a|an|my|our|your|his|her|their|home|least|last|first|all"
 _HOST = rf"(?!(?:{_PLAIN_AT})\b)[A-Za-z0-9-]+"
+# After a spelled dot any letters may be the last label.
+_LAST = rf"(?!(?:{_PLAIN_AT}|dot|punkt|punto)\b)[A-Za-z]{{2,63}}"
 _WORDED = re.compile(
     rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]+(?P<at> (?:at|arroba|arobase) |@| @ )"
-    rf"{_HOST}(?:(?: (?:dot|punkt|punto) |\.){_HOST})*(?: (?:dot|punkt|punto) )(?:{_ENDINGS})(?!\w)")
+    rf"{_HOST}(?:(?: (?:dot|punkt|punto) |\.){_HOST})*(?: (?:dot|punkt|punto) ){_LAST}(?!\w)")
 _WORDED_SIGN = re.compile(r"(?i) (?P<dot>dot|punkt|punto) | (?P<at>at|arroba|arobase|@) ")
-_AT_DOT = re.compile(rf" (?i:dot|punkt|punto) (?i:{_ENDINGS})\b")
+_AT_DOT = re.compile(r" (?i:dot|punkt|punto) [A-Za-z]{2}")
 _ODD = re.compile("[­ɐ-￿]")
 
 
@@ -230,7 +230,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     found = []
     for kind, a, b in [*plain_spans(traced.text), *_bare_numbers(traced)]:
         a, b = traced.source(a, b)
-        if not any(a < y and x < b for _, x, y in plain):
+        if not any(x <= a and b <= y for _, x, y in plain):
             found.append((kind, a, b))
     return found
 

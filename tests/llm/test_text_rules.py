@@ -141,6 +141,29 @@ def test_disguises_are_found_at_their_source(text, kind, source):
     assert not plain and [(k, text[a:b]) for k, a, b in found] == [(kind, source)]
 
 
+@pytest.mark.parametrize("text, plain, source", [
+    ("x jоhn@example.com y", "hn@example.com", "jоhn@example.com"),
+    ("x jo\u200bhn@example.com y", "hn@example.com", "jo\u200bhn@example.com"),
+    ("x john@example.cоm y", "john@example.c", "john@example.cоm"),
+    ("x john@mail.example dot com y", "john@mail.example", "john@mail.example dot com"),
+    ("x john@example.co [dot] uk y", "john@example.co", "john@example.co [dot] uk"),
+    ("x john@mail.example dot museum y", "john@mail.example", "john@mail.example dot museum"),
+])
+def test_disguises_around_a_plain_fragment(text, plain, source):
+    base, found = pii.spans(text)
+    assert [text[a:b] for _, a, b in base] == [plain]
+    assert {text[a:b] for _, a, b in found} == {plain, source}
+    assert pii.mask(text) == "x <EMAIL> y"
+
+
+def test_worded_addresses_may_end_in_any_letters():
+    for end in ("museum", "pl", "online"):
+        text = f"ask john at example dot {end} today"
+        assert [text[a:b] for _, a, b in pii.spans(text)[1]] == [f"john at example dot {end}"]
+    for text in ("a@b.com is plain, jоhn is not", "mail a@b.com dot the rest"):
+        assert [text[a:b] for _, a, b in pii.spans(text)[1]] == ["a@b.com"]
+
+
 @pytest.mark.parametrize("text", [
     "we met at noon by the dot", "look at this dot pattern", "un un un un un un un un un",
     "at home (at last)", "", "one two buckle my shoe", "v1.2.3 of 2020-10-10"])
