@@ -75,6 +75,13 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 
     ``start`` is the place of the item's first word in the document; it is negative where
     the document begins inside the item."""
+    return _find(docs, items, id_col, text_col, item_col, item_text).drop("key").withColumnsRenamed(
+        {"id": id_col, "item": item_col})
+
+
+def _find(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str,
+          item_text: str) -> DataFrame:
+    """(id, key, item, start, n_words, n_equal); ``key`` is a hash of the text."""
     spark = docs.sparkSession
     tests = materialise(items.select(
         F.col(item_col).alias("item"), word_hashes(F.coalesce(item_text, F.lit(""))).alias("h"))
@@ -100,8 +107,7 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
                 (F.col("pos") - F.col("o.pos")).alias("start"))
         .groupBy("id", "key", "item", "start").agg(F.count("*").alias("n_hits")))
     placed = materialise(hits, "hits")
-    return _verify(spark, source, tests, placed).withColumnsRenamed(
-        {"id": id_col, "item": item_col})
+    return _verify(spark, source, tests, placed)
 
 
 def _verify(spark, source: DataFrame, tests: DataFrame, placed: DataFrame) -> DataFrame:
@@ -139,17 +145,20 @@ def _verify(spark, source: DataFrame, tests: DataFrame, placed: DataFrame) -> Da
                        | (F.col("stretch") >= LEAST_STRETCH))
     top = ok.groupBy("id", "key", "item").agg(F.max(F.struct(
         "n_equal", (-F.col("start")).alias("order"), "n_words", "copies")).alias("b"))
-    return top.select("id", "item", (-F.col("b.order")).cast("long").alias("start"),
+    return top.select("id", "key", "item", (-F.col("b.order")).cast("long").alias("start"),
                       F.col("b.n_words").cast("long").alias("n_words"),
                       F.col("b.n_equal").cast("long").alias("n_equal"),
                       F.explode(F.sequence(F.lit(1), F.col("b.copies").cast("int"))).alias("copy")
                       ).drop("copy")
 
 
-def remove(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    name = fresh(docs, "__found")
-    found = materialise(find(docs, items, id_col=id_col).select(
-        F.col(id_col).alias(name)).distinct(), "found")
+def remove(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns. Rows go by id and text, so that
+    of rows with one id, or without an id, only those that hold an item go."""
+    name, key = fresh(docs, "__found"), fresh(docs, "__key")
+    found = materialise(_find(docs, items, id_col, text_col, "item_id", "text").select(
+        F.col("id").alias(name), F.col("key").alias(key)).distinct(), "found")
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.join(held_by_size(found, found.count(), MOST_BROADCAST),
-                     F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+                     F.col(id_col).eqNullSafe(F.col(name)) & (text_key == F.col(key)), "left_anti")

@@ -201,6 +201,17 @@ def test_stretches_of_long_items_are_found_wherever_they_start(spark, make_docs)
         make_docs(["p q r s", "z p q r s"]), short).collect()] == [1]
 
 
+def test_removal_takes_only_the_rows_that_hold_an_item(spark, prose, rng):
+    item, clean, other = prose(rng, 30), prose(rng, 60, size=700), prose(rng, 60, size=700)
+    bad = f"{clean} {item} {other}"
+    rows = [(None, bad), (None, clean), (None, None), (None, bad), (7, bad), (7, other), (7, ""), (8, bad)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS key")
+    rest = decontaminate.remove(docs, spark.createDataFrame([(1, item)], ITEMS))
+    assert rest.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in rest.collect()))) == sorted(
+        str(r) for r in rows if r[1] != bad)
+
+
 def test_pipeline_stages_and_sql(spark):
     import corpus_pipeline
 
