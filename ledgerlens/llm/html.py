@@ -11,6 +11,11 @@ Where a page marks its article, that mark is the stronger evidence: blocks outsi
 and open blocks inside it look only at neighbours inside it, with the article's own edges
 counting as good. Pages without such a mark rest on the block rules alone.
 
+Words in class, id or role are weaker evidence of furniture than tags, as layouts wear them too
+(``layout has-sidebar``). Words behind "has", "no" and the like do not count. A marked article
+below such a word counts where it holds more text than the page has otherwise, and its wrappers'
+words are then void; without any text elsewhere, good blocks below the fewest such words are.
+
 Cases: a null or empty page, or one without main text, gives an empty text; broken markup is
 read as far as it goes; a tag cut off at the end of the page is dropped; repeated rows give
 repeated results; other columns of the input are not read.
@@ -19,7 +24,7 @@ repeated results; other columns of the input are not read.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -56,6 +61,8 @@ FURNITURE_WORDS = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login search "
     "pagination pager toolbar complementary contentinfo skip legal disclaimer".split())
 ARTICLE_WORDS = frozenset("article articlebody main".split())
+# Words before a furniture word that make it a trait of a layout.
+TRAIT_WORDS = frozenset("has have no not with without show hide is".split())
 
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -81,6 +88,8 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, OPEN, NEAR = "good", "bad", "open", "near good"
+#: Outside all elements.
+NOWHERE = ("", False, 0, False, 0)
 
 
 @dataclass(slots=True)
@@ -91,31 +100,47 @@ class Block:
     article: int
     listed: bool
     heading: bool
+    #: Elements around the block that only words mark as furniture.
+    worded: int = 0
     label: str = OPEN
 
 
-def _part_of(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether a tag opens page furniture, and whether it opens the article."""
-    furniture, article = name in FURNITURE_TAGS, name in ARTICLE_TAGS
+def _names_furniture(value: str) -> bool:
+    """Whether an attribute's value holds a furniture word that is not a layout's trait."""
+    for token in value.split():
+        before = ""
+        for word in [w.lower() for w in _PART.findall(_HUMP.sub(" ", token))]:
+            if word in FURNITURE_WORDS and before not in TRAIT_WORDS:
+                return True
+            before = word
+    return False
+
+
+def _part_of(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether a tag opens page furniture, by itself or by words, and whether it opens the
+    article."""
+    furniture, worded, article = name in FURNITURE_TAGS, False, name in ARTICLE_TAGS
     for key, *values in _ATTR.findall(attrs) if attrs else ():
         value, key = "".join(values), key.lower()
         if key in ("hidden", "aria-hidden"):
             furniture |= value.lower() in (("true",) if key == "aria-hidden" else ("", "hidden"))
             continue
         parts = {w.lower() for w in _PART.findall(_HUMP.sub(" ", value))} | {value.lower()}
-        furniture |= bool(parts & FURNITURE_WORDS)
+        worded |= _names_furniture(value)
         article |= bool(parts & ARTICLE_WORDS) if key in ("role", "itemprop") else False
     if name in ("html", "body"):
-        furniture = False
-    return furniture, article and not furniture
+        furniture = worded = False
+    return furniture, worded, article and not furniture
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty blocks in order."""
+    """The page's non-empty blocks in order, furniture and articles settled."""
     found: list[Block] = []
-    # Open elements that matter: (name, furniture, article number, listed).
-    stack: list[tuple[str, bool, int, bool]] = []
-    articles, links = 0, 0
+    # Open elements that matter: (name, furniture, article number, listed, worded).
+    stack: list[tuple[str, bool, int, bool, int]] = []
+    # By article number: words around it and on it, and whether some are on it.
+    articles: list[tuple[int, bool]] = [(0, False)]
+    links = 0
     buffer: list[str] = []
     linked = 0
 
@@ -123,9 +148,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(buffer)).strip()
         if text:
-            _, furniture, article, listed = stack[-1] if stack else ("", False, 0, False)
+            _, furniture, article, listed, worded = stack[-1] if stack else NOWHERE
             heading = bool(stack) and stack[-1][0] in HEADING_TAGS
-            found.append(Block(text, min(linked, len(text)), furniture, article, listed, heading))
+            found.append(Block(
+                text, min(linked, len(text)), furniture, article, listed, heading, worded))
         buffer.clear()
         linked = 0
 
@@ -179,19 +205,60 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
             stack.pop()
-        _, furniture, article, listed = stack[-1] if stack else ("", False, 0, False)
-        new_furniture, new_article = _part_of(name, m["attrs"])
-        if new_article and not furniture and not article:
-            articles += 1
-            article = articles
+        _, furniture, article, listed, worded = stack[-1] if stack else NOWHERE
+        new_furniture, new_worded, new_article = _part_of(name, m["attrs"])
         # A header inside the article holds its title, not the page's.
-        if new_furniture and not (name == "header" and article):
-            furniture = True
-        stack.append((name, furniture, article, listed or name in ("li", "menu")))
+        if not (name == "header" and article):
+            furniture |= new_furniture
+            worded += new_worded
+        # Words around an article do not hide one marked below them.
+        if new_article and not furniture and (not article or worded > articles[article][0]):
+            articles.append((worded, new_worded))
+            article = len(articles) - 1
+        stack.append((name, furniture, article, listed or name in ("li", "menu"), worded))
     close()
+    _settle(found, articles)
     return found
 
 
+def _settle(found: list[Block], articles: list[tuple[int, bool]]) -> None:
+    """Decide which words in class, id or role mark furniture, and which articles count."""
+    if not any(b.worded for b in found):
+        return
+    sizes = [0] * len(articles)
+    for b in found:
+        if b.article and not b.furniture and b.worded == articles[b.article][0]:
+            sizes[b.article] += len(b.text)
+    free = {k for k, (worded, _) in enumerate(articles) if not worded and sizes[k]}
+    # Text elsewhere counts by density: free of such words, else under the fewest of them.
+    labels = [] if free else [(b, _alone(b)) for b in found if not b.furniture]
+    good = [b for b, label in labels if label == GOOD and not b.article]
+    prose = sum(len(b.text) for b, label in labels if label in (GOOD, NEAR) and not b.worded)
+    level = 0 if prose else min((b.worded for b in good), default=0)
+    other = sum(len(b.text) for b in good if b.worded == level)
+    # Articles that wear no such word themselves come first, then those under the fewest.
+    for own in (False, True):
+        hidden = [k for k, (worded, on_it) in enumerate(articles)
+                  if worded and sizes[k] and on_it == own]
+        least = min((articles[k][0] for k in hidden), default=0)
+        chosen = {k for k in hidden if articles[k][0] == least}
+        rest = sum(sizes[k] for k in free) or (other if level <= least else 0)
+        if own:
+            rest = rest or prose
+        if sum(sizes[k] for k in chosen) > rest and not (own and (free or (other and not level))):
+            free |= chosen
+            break
+    for b in found:
+        b.furniture |= b.worded > (articles[b.article][0] if b.article in free else level)
+        if b.article not in free:
+            b.article = 0
+
+
+def _alone(block: Block) -> str:
+    """A block's label by density, wherever it stands."""
+    return first_pass(replace(block, furniture=False, article=0), False)
+
+
 def first_pass(block: Block, marked: bool) -> str:
     """A block's label by itself."""
     links = block.linked / len(block.text)

@@ -199,6 +199,32 @@ def test_pages_with_and_without_a_marked_article():
     assert html.main_text(marked) == "T\n\none\n\ntwo\n\n3 < 4"
 
 
+@pytest.mark.parametrize("wrap", [
+    "<div class='layout has-sidebar'><article>{}</article></div>",
+    "<main class='no-sidebar'>{}</main>",
+    "<article class='post with-comments'>{}</article>",
+    "<div class='layout sidebar-right'><article>{}</article></div>",
+    "<main><h1></h1><div class='side-by-side'><article>{}</article></div></main>",
+    "<article class='post social-ready'>{}</article>",
+    "<div class='header-fixed'><div class='content'>{}</div></div>",
+])
+def test_words_on_a_layout_do_not_hide_its_text(wrap):
+    nav = "<nav><a href=x>a link</a></nav>"
+    rest = f"<div class='comments'><article class='comment'><p>{P}</p></article></div><footer>f</footer>"
+    for page in (wrap.format(f"<p>{P}</p><p>{P}</p>"), nav + wrap.format(f"<p>{P}</p><p>{P}</p>") + rest):
+        assert html.main_text(page) == "\n\n".join([P.strip()] * 2), page
+    inner = wrap.format(f"<p>{P}</p><div class='share'><p>{P}</p></div>")
+    assert html.main_text(inner) == P.strip()
+
+
+def test_furniture_words_still_hide_what_stands_beside_the_text():
+    comment = f"<div class='comments'><article><p>{P}</p></article></div>"
+    assert html.main_text(f"<div><p>{P}</p><p>{P}</p></div>" + comment) == "\n\n".join([P.strip()] * 2)
+    teaser = f"<aside><article>{P}</article></aside><div class='related'><article>more</article></div>"
+    assert html.main_text(f"<main><p>{P}</p>{teaser}</main>") == P.strip()
+    assert html.main_text(f"<article><p>one</p></article><div class='sidebar'>{P}</div>") == "one"
+
+
 def test_pages_as_a_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", f"<main><p>{P}</main>"),
             (4, "u", f"<main><p>{P}</main>"), (5, "u", "<div>" * 3000 + "x"), (None, "u", "a <b")]
