@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -219,8 +219,11 @@ class Tree:
 CLASS = "struct<k:bigint,n:int>"
 
 
-def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c, keys, bits, tokens) per row; ``c`` names the class by a hash and the size."""
+def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+               carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, c, keys, bits, tokens, then ``carry``, of type bigint, as t0, t1 ...) per row; ``c``
+    names the class by a hash and the size."""
+    carried = [f"t{k}" for k in range(len(carry))]
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -240,14 +243,17 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), pa.array(k, pa.int64()), pa.array(n, pa.int32()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-                 pa.array(tokens, pa.binary())], ["id", "k", "n", "keys", "bits", "tokens"])
+                 pa.array(tokens, pa.binary()), *(batch.column(f"__{t}") for t in carried)],
+                ["id", "k", "n", "keys", "bits", "tokens", *carried])
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"),
+                       *[x.alias(f"__{t}") for t, x in zip(carried, carry)])
     made = map_batches(rows, make, f"id {id_type}, k bigint, n int, keys array<bigint>, "
-                                   "bits binary, tokens binary")
-    return made.select("id", F.struct("k", "n").alias("c"), "keys", "bits", "tokens")
+                                   "bits binary, tokens binary"
+                                   + "".join(f", {t} bigint" for t in carried))
+    return made.select("id", F.struct("k", "n").alias("c"), "keys", "bits", "tokens", *carried)
 
 
 def _distinct_groups(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -486,15 +492,20 @@ def complete(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return _by_group(_meet(sets, meeting, "tokens"), ["hub", "block"], _exact_tree)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row."""
-    sets = materialise(signatures(docs, id_col=id_col, text_col=text_col), "sets")
+def _rows(sets: DataFrame, *columns: str) -> DataFrame:
+    """(c, columns, comp) for every row of the sets."""
     edges, labels = contract(sets)
     more = materialise(complete(sets, labels), "links")
     if not more.isEmpty():
         edges = more if edges is None else edges.unionByName(more)
         labels = materialise(components(edges), "labels")
-    rows = _labelled(sets.select("id", "c"), labels)
+    return _labelled(sets.select("c", *columns), labels)
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row."""
+    sets = materialise(signatures(docs, id_col=id_col, text_col=text_col), "sets")
+    rows = _rows(sets, "id")
     named = rows.filter(F.col("c.n") > 0).groupBy("comp").agg(F.min("id").alias("component_id"))
     return rows.join(named, "comp", "left").select(
         F.col("id").alias(id_col), F.col("c.n").cast("long").alias("n_shingles"),
@@ -503,20 +514,30 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all columns: the one whose id names it. Of rows
-    that repeat an id one stays; rows with a null id stay."""
-    found = materialise(join(docs, id_col=id_col, text_col=text_col), "components")
-    found = found.filter(F.col(id_col).isNotNull())
-    name = fresh(docs, "__id")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias(name)).distinct()
-    same = F.col(id_col) == F.col(name)
+    """One document of each component, with all columns: the one with the least id, null ids
+    last. Rows are told apart by id and text: of rows that repeat both one stays, and another
+    text under the same id stays or goes by its own component. Texts without words have no
+    component; those without an id all stay."""
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    sets = materialise(
+        signatures(docs, id_col=id_col, text_col=text_col, carry=(text_key,)), "sets")
+    rows = materialise(_rows(sets, "id", "t0"), "components")
+    worded = rows.filter(F.col("c.n") > 0)
+    first = worded.groupBy("comp").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "t0")).alias("b"))
+    name, key = fresh(docs, "__id"), fresh(docs, "__key")
+    named = (F.col("id").alias(name), F.col("t0").alias(key))
+    gone = materialise(worded.join(first, "comp").filter(
+        ~(F.col("id").eqNullSafe(F.col("b.id")) & (F.col("t0") == F.col("b.t0")))).select(
+        *named).distinct(), "gone")
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (text_key == F.col(key))
     kept = docs.join(held_by_size(gone, gone.count(), MOST_BROADCAST), same, "left_anti")
-    again = found.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("m")).filter(
-        "m > 1").select(name)
+    again = rows.filter((F.col("c.n") > 0) | F.col("id").isNotNull()).groupBy(*named).agg(
+        F.count("*").alias("m")).filter("m > 1").select(name, key)
     repeated = again.count()
     if not repeated:
         return kept
     again = held_by_size(again, repeated, MOST_BROADCAST)
     return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+        kept.join(again, same, "left_semi").withColumn(key, text_key)
+        .dropDuplicates([id_col, key]).drop(key))

@@ -88,6 +88,16 @@ def test_one_document_of_each_group_stays(make_docs, rng, prose):
     assert jaccard.keep_one(make_docs([])).count() == 0
 
 
+def test_ids_on_several_texts_and_null_ids(spark, rng, prose):
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, c), (None, None), (None, None),
+            (None, "only here"), (None, "only here"), (5, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text or None) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [
+        (1, a), (2, b), (3, c), (3, d), (None, None), (None, None), (None, "only here"), (5, None)]))
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5)]
     out = dict(components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect())
