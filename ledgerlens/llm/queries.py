@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, html, jaccard, langid, pii, quality, repeats, tokens
+from ledgerlens.llm import bpe, chat, decontaminate, exact, html, jaccard, langid, pii, quality, repeats, tokens
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document without strings that occur elsewhere."""
     return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
+
+
+@query("op11_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW g AS (PARTITION BY coalesce(text, ''))
+""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document's text, and how many rows hold that text."""
+    return exact.find(table(spark, sf_dir, "documents"))
