@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontaminate, exact, html, jaccard, langid, pii, quality, repeats, tokens
+from ledgerlens.llm import (
+    bpe, chat, decontaminate, exact, html, jaccard, langid, merkle, pii, quality, repeats, tokens)
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +183,74 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document's text, and how many rows hold that text."""
     return exact.find(table(spark, sf_dir, "documents"))
+
+
+def _field_sql(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+def _leaf_sql(text: str) -> str:
+    values = [text if c == "text" else c for c in merkle.COLUMNS]
+    return "sha256(" + " || ".join(map(_field_sql, values)) + ")"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE crc_bit AS (
+  SELECT b, b AS c, 0 AS k FROM range(256) r(b)
+  UNION ALL
+  SELECT b, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM crc_bit WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_bit WHERE k = 8),
+leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf_sql("text")} AS leaf,
+         CASE WHEN (4294967295 - list_reduce(
+             list_prepend(4294967295, list_transform(
+               range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+               lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 3 = 0
+           THEN {_leaf_sql(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} END AS changed
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS r FROM leaves),
+tree AS (
+  SELECT g, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY g, level, pos // 8, n),
+subroots AS (
+  SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, pos, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM upper WHERE n > 1 GROUP BY level, pos // 8, n),
+runs AS (SELECT g, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1
+         GROUP BY g, level, pos // 8),
+upper_runs AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM upper WHERE n > 1
+               GROUP BY level, pos // 8),
+fold AS (
+  SELECT r, g, 0 AS level, pos, coalesce(changed, leaf) AS h, '' AS sib FROM placed
+  UNION ALL
+  SELECT r, f.g, f.level + 1, pos // 8,
+         sha256(array_to_string(hs[:pos % 8] || [h] || hs[pos % 8 + 2:], '')),
+         sib || array_to_string(hs[:pos % 8] || hs[pos % 8 + 2:], '')
+  FROM fold f JOIN runs u ON u.g = f.g AND u.level = f.level AND u.run = pos // 8),
+lower_top AS (SELECT r, g, h, sib FROM fold QUALIFY level = max(level) OVER (PARTITION BY r)),
+upper_fold AS (
+  SELECT r, 0 AS level, s.pos, l.h, sib FROM lower_top l JOIN subroots s USING (g)
+  UNION ALL
+  SELECT r, f.level + 1, pos // 8,
+         sha256(array_to_string(hs[:pos % 8] || [h] || hs[pos % 8 + 2:], '')),
+         sib || array_to_string(hs[:pos % 8] || hs[pos % 8 + 2:], '')
+  FROM upper_fold f JOIN upper_runs u ON u.level = f.level AND u.run = pos // 8),
+top AS (SELECT r, h, sib FROM upper_fold QUALIFY level = max(level) OVER (PARTITION BY r))
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(sib) AS proof_sha256,
+       t.h AS folded_root, t.h = u.h AS verified
+FROM placed p JOIN top t USING (r) JOIN subroots s USING (g), (SELECT h FROM upper WHERE n = 1) u
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every third one's text is tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.prove(table(spark, sf_dir, "documents"), tampered=tampered)
