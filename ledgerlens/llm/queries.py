@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    bpe, chat, decontaminate, exact, html, jaccard, langid, merkle, pii, quality, repeats, tokens)
+    align, bpe, chat, decontaminate, exact, html, jaccard, langid, merkle, pii, quality, repeats,
+    tokens)
 from ledgerlens.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +255,10 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; every third one's text is tampered with."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     return merkle.prove(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers end together in every document."""
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                       tokenizer_file("piece_bpe_32k.model"))
