@@ -55,7 +55,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     file = path(TOKENIZER)
-    return bpe.digests(bpe.encode(docs, file), file, keep=("ids",))
+    return bpe.digests(bpe.encode(docs, file, decoded=True), file, keep=("ids",))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -190,9 +190,11 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids) for every row: token ids as little-endian unsigned 32-bit integers.
 
+    With ``decoded``, column ``text`` has what the ids decode to, in the same pass.
+
     ``tokenizer`` is the path of the tokenizer file on the driver; its content, of a few
     MB whatever the data, is sent to the tasks. Texts longer than ``PART_CHARS`` are dealt
     out in parts, so that one huge text does not hold up a task."""
@@ -204,49 +206,57 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     short = rows.filter(F.char_length("text") <= PART_CHARS)
     long = rows.filter(F.char_length("text") > PART_CHARS)
 
-    def encoder(*keep: str):
+    extra = ", text string" if decoded else ""
+
+    def encoder(*keep: str, back: bool = False):
         def make():
             bpe = _bpe(source.value)
 
             def work(batch: pa.RecordBatch):
-                out = [_pack(bpe.encode(t)) for t in texts_of(batch)]
-                columns = [batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(out, pa.binary())], [*keep, "ids"])
+                ids = [bpe.encode(t) for t in texts_of(batch)]
+                columns = {c: batch.column(c) for c in keep}
+                columns["ids"] = pa.array([_pack(x) for x in ids], pa.binary())
+                if back:
+                    columns["text"] = pa.array([bpe.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
             return work
 
         return make
 
-    plain = map_batches(short.select("id", "text"), encoder("id"), f"id {id_type}, ids binary")
+    plain = map_batches(short.select("id", "text"), encoder("id", back=decoded),
+                        f"id {id_type}, ids binary{extra}")
+    # Repeated rows of a long text are encoded once.
+    once = long.groupBy("id", F.xxhash64("text").alias("h"), F.char_length("text").alias("n")).agg(
+        F.first("text").alias("text"), F.count("*").alias("copies"))
     parts = (
-        long.select("id", F.xxhash64("text").alias("h"), F.char_length("text").alias("n"), "text")
-        .select("id", "h", "n", F.explode(F.sequence(
+        once.select("id", "h", "n", "copies", F.explode(F.sequence(
             F.lit(0), F.floor((F.col("n") - 1) / PART_CHARS).cast("int"))).alias("part"), "text")
-        .select("id", "h", "n", "part",
+        .select("id", "h", "n", "copies", "part",
                 F.substring(F.col("text"), F.col("part") * PART_CHARS + 1,
                             F.lit(PART_CHARS)).alias("text"))
         .repartition(F.col("id"), F.col("h"), F.col("part")))
     encoded = map_batches(
-        parts, encoder("id", "h", "n", "part", "text"),
-        f"id {id_type}, h bigint, n int, part int, text string, ids binary")
+        parts, encoder("id", "h", "n", "copies", "part", "text"),
+        f"id {id_type}, h bigint, n int, copies bigint, part int, text string, ids binary")
 
     def join_parts(group: pa.Table) -> pa.Table:
-        """Parts of one text, and of its repeated rows, to one encoding per row."""
+        """Parts of one text to its encoding."""
         bpe = _bpe(source.value)
-        numbers = group.column("part").to_pylist()
-        where = {p: k for k, p in enumerate(numbers)}
-        nodes = [Node(group.column("text")[where[p]].as_py(),
-                      np.frombuffer(group.column("ids")[where[p]].as_py(), "<u4").tolist())
-                 for p in sorted(where)]
-        ids = _pack(bpe.join_all(nodes).ids)
-        copies = numbers.count(0)
-        return pa.table({"id": group.column("id").slice(0, 1).take([0] * copies),
-                         "ids": pa.array([ids] * copies, pa.binary())})
+        group = group.sort_by("part")
+        nodes = [Node(text, np.frombuffer(ids, "<u4").tolist()) for text, ids in zip(
+            group.column("text").to_pylist(), group.column("ids").to_pylist())]
+        ids = bpe.join_all(nodes).ids
+        columns = {"id": group.column("id").slice(0, 1), "copies": group.column("copies").slice(0, 1),
+                   "ids": pa.array([_pack(ids)], pa.binary())}
+        if decoded:
+            columns["text"] = pa.array([bpe.decode(ids)], pa.string())
+        return pa.table(columns)
 
     joined = encoded.groupBy("id", "h", "n").applyInArrow(
-        join_parts, f"id {id_type}, ids binary")
-    return plain.unionByName(joined).withColumnRenamed("id", id_col)
+        join_parts, f"id {id_type}, copies bigint, ids binary{extra}")
+    joined = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return plain.unionByName(joined.drop("copies", "_")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
@@ -275,8 +285,11 @@ def decode(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
 
 def digests(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """Token count and digests of ids and decoded text, from encoded rows."""
-    return decode(encoded, tokenizer, id_col=id_col).select(
+    """Token count and digests of ids and decoded text, from encoded rows; those that
+    :func:`encode` has decoded as well are taken as they are."""
+    if "text" not in encoded.columns:
+        encoded = decode(encoded, tokenizer, id_col=id_col)
+    return encoded.select(
         id_col, *keep,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

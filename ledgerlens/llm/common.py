@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,15 +28,28 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process waits for its next task with what
+    it holds, and one executor has several such workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it trims by itself or not at all
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``mapInArrow`` with per-task set-up: ``make()`` returns batch -> list of batches."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            work = work or make()
-            yield from work(batch)
+        try:
+            for batch in batches:
+                work = work or make()
+                yield from work(batch)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -16,12 +16,14 @@ Groups come in two steps:
    decides only the work, not the result. Where a token is shared by different components,
    bitmaps meet under it, and pairs that the trees leave are compared exactly.
 
-So every link is either found or lies within one component; none is lost.
+So every link is either found or lies within one component; none is lost. Shingles stand for
+their hashes: sizes are counted on 64 bits, sets are compared on the upper 48 of these. The
+hash has no inputs that are bound to collide, but two shingles of a pair of sets may by chance.
 
 Cases: null and blank texts have an empty set, link with nothing and form their own
 component; repeated rows belong to one class; ties are broken by the least id; a null id is
 never the name of a component unless no member has another; empty tables give an empty
-result; other columns are not read.
+result; a very long text is one set, of 6 bytes a shingle; other columns are not read.
 """
 
 from __future__ import annotations

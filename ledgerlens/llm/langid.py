@@ -61,12 +61,13 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower() for t in texts]
     points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     starts = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
-    return np.where(_letters()[points], points, 32).astype(np.uint64), starts
+    return np.where(_letters()[points], points, np.uint32(32)), starts
 
 
 def _grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code for the trigram that starts at each place, and whether it counts: it must
     have a letter in the middle, so runs of blanks count once for neither side."""
+    points = points.astype(np.uint64)
     a, b, c = points[:-2], points[1:-1], points[2:]
     return (a << np.uint64(42)) | (b << np.uint64(21)) | c, b != 32
 
@@ -165,11 +166,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 points, _ = _codes(texts)
-                grams, counts = _grams(points)
-                kinds, n = np.unique(grams[counts], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)),
-                     pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                for lo in range(0, len(points) - 2, CHUNK):
+                    grams, counts = _grams(points[lo:lo + CHUNK + 2])
+                    kinds, n = np.unique(grams[counts], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(kinds), pa.string()),
+                         pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        ["lang", "gram", "n"])
 
         return work
 

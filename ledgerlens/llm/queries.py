@@ -37,7 +37,8 @@ def tokenizer_file(name: str) -> str:
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     path = tokenizer_file("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    documents = table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode(documents, path, decoded=True), path)
 
 
 @query("op9_language_id")

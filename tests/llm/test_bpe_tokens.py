@@ -56,6 +56,8 @@ def test_round_trip_of_every_kind_of_text(spark, make_docs, library, prose, rng)
 def test_repeated_long_rows_stay(make_docs, spark):
     docs = make_docs(["ab " * 20_000])
     assert bpe.encode(docs.unionByName(docs), PATH).count() == 2
+    rows = bpe.encode(docs.unionByName(docs), PATH, decoded=True).collect()
+    assert [r.text for r in rows] == ["ab " * 20_000] * 2
     assert bpe.encode(make_docs([]), PATH).count() == 0
 
 

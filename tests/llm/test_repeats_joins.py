@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components, decontaminate, jaccard, queries, repeats
+from ledgerlens.llm import shingles as word_shingles
 
 
 def shingles(text):
@@ -250,3 +251,30 @@ def test_sql_agrees(spark, name):
     columns = ", ".join(got.columns)
     want = con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def _opposite_words(size):
+    """Two words of Thue-Morse letters, equal under every polynomial modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_of_one_polynomial_hash_stay_apart(make_docs):
+    one, two = _opposite_words(2048)
+    assert not set(word_shingles.shingle_set(one).tolist()) & set(word_shingles.shingle_set(two).tolist())
+    rows = jaccard.join(make_docs([f"one two three {one}", f"one two three {two}"])).collect()
+    assert [r.component_id for r in sorted(rows)] == [0, 1]
+
+
+def test_word_hashes_depend_on_every_byte(rng):
+    import numpy as np
+
+    words = {bytes(rng.choice(b"abcdef") for _ in range(rng.randint(1, 40))) for _ in range(3000)}
+    words |= {b"a" * k for k in range(1, 60)} | {b"\0" * k for k in range(1, 20)}
+    words = sorted(words)
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    found = word_shingles.word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(found.tolist())) == len(words)
+    again = word_shingles.word_hashes(data[3:], (ends - [len(w) for w in words])[5:] - 3, ends[5:] - 3)
+    assert (again == found[5:]).all()
