@@ -17,9 +17,11 @@ from ledgerlens import schema as S
 from ledgerlens.errors import DataContractError
 from ledgerlens.functions import parse
 from ledgerlens.operators import outcomes
+from ledgerlens.sources import records
 
 HEADER_LINES = 100
 EXTRA = "_extra"
+URI = "_uri"
 PROBES = 8
 
 
@@ -90,20 +92,24 @@ def _probe(spark: SparkSession, uri: str, required: set[str], first_lines: int)
     raise DataContractError(f"no header with the required columns in {shown(uri)}")
 
 
-def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], multi_line: bool) -> DataFrame:
-    """One scan over files that share a header; header and preamble rows removed."""
+def _scan(spark: SparkSession, layouts: Sequence[CsvLayout], spanning: bool) -> DataFrame:
+    """One scan over files that share a header; header and preamble rows removed.
+
+    Column ``uri`` names the file. Where cells may hold line ends (``spanning``), lines are
+    first put together to records, block by block."""
     header = layouts[0].header
     fields = [T.StructField(name, T.StringType()) for name in (*header, EXTRA)]
-    frame = (
-        spark.read.schema(T.StructType(fields))
-        .option("multiLine", multi_line)
-        .option("header", False)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", EXTRA)
-        .option("columnPruning", False)
-        .csv([as_path(layout.uri) for layout in layouts])
-    )
+    paths = [as_path(layout.uri) for layout in layouts]
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": EXTRA}
+    if spanning:
+        shape = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in fields)
+        found = records.records(records.lines(spark, paths, file_uri()))
+        frame = found.filter("value != ''").select("uri", F.from_csv(
+            "value", shape, options).alias("cells")).select("cells.*", F.col("uri").alias(URI))
+    else:
+        reader = spark.read.schema(T.StructType(fields)).options(**options)
+        frame = reader.option("header", False).option("columnPruning", False).csv(
+            paths).withColumn(URI, file_uri())
     is_header = F.lit(True)
     for name in header:
         is_header = is_header & F.trim(F.col(name)).eqNullSafe(F.lit(name))
@@ -157,11 +163,10 @@ def find_layouts(
 
 
 def files_with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files (as URIs) in which some line holds an odd number of quotes. Only there can
-    a record span lines; all other files split safely at line ends."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    """Files (as URIs) in which some line leaves a quoted cell open. Only there can a
+    record span lines; in all other files every line is a record."""
     rows = (
-        spark.read.text(list(paths)).filter(quotes % 2 == 1)
+        spark.read.text(list(paths)).filter(records.opens(F.col("value")))
         .select(file_uri().alias("uri")).distinct().collect()
     )
     return {row["uri"] for row in rows}
@@ -174,9 +179,10 @@ def scan_loans(
     """Read loan CSVs through the allow-list; text columns, missing tokens nulled.
     A path may be relative, a folder or a glob.
 
-    Reading quoted newlines makes a file one task, so by default (None) a splittable
-    pass first finds the files that need it; True or False skips that pass. Files
-    with one header share one scan. Over-long rows are an error
+    Records that span lines cost a shuffle of their file, so by default (None) a pass
+    first finds the files that have any; True or False skips that pass. Both ways of
+    reading split files of any size. Files with one header share one scan. Over-long rows
+    are an error
     (:func:`require_sound`).
     """
     layouts = find_layouts(spark, paths, require_target=require_target)
@@ -196,7 +202,7 @@ def scan_loans(
         columns += [parse.file_nulls(c).alias(c) for c in allowed if c in header]
         columns.append(_over_long(len(header)).alias(EXTRA))
         if with_source:
-            columns.append(file_uri().alias("source_file"))
+            columns.append(F.col(URI).alias("source_file"))
         scans.append(rows.select(*columns))
     combined = scans[0]
     for other in scans[1:]:
