@@ -252,3 +252,61 @@ def test_status_precedence(spark):
     got = [r[0] for r in frame.select(
         drift.drift_status(F.col("a"), F.col("f"), F.col("s"))).collect()]
     assert got == ["drift_detected", "drift_detected", "stable", "not_observed"]
+
+
+def by_one_walk(values, start=0):
+    """What a single detector sees: (changes, final state)."""
+    detector, changes = adwin.Detector(), []
+    for n, value in enumerate(values, 1):
+        if detector.add(value):
+            changes.append((n, detector.width))
+    return changes, detector
+
+
+@pytest.mark.parametrize("chunk", [100, 512])
+def test_chunks_walked_at_once_agree_with_one_walk(spark, chunk):
+    rng = random.Random(chunk)
+    levels = {"steady": [0.4] * 900, "steps": [0.1] * 500 + [0.8] * 300 + [0.3] * 400,
+              "short": [0.5] * 7, "drift": [k / 1500 for k in range(1500)]}
+    values = {name: [min(1.0, max(0.0, v + rng.gauss(0, 0.05))) for v in row]
+              for name, row in levels.items()}
+    rows = [(name, f"{k:06d}", k, v) for name, row in values.items() for k, v in enumerate(row)]
+    df = spark.createDataFrame(rows, "model_version string, prediction_id string, k long, "
+                                     "score double").withColumn(
+        "created_at", F.timestamp_seconds("k")).repartition(7)
+    found = adwin.walk(df, chunk=chunk).collect()
+    for name, row in values.items():
+        changes, detector = by_one_walk(row)
+        mine = [r for r in found if r.model_version == name]
+        assert sorted((r.last_change_at, r.window_width) for r in mine if not r.final) == changes
+        final, = [r for r in mine if r.final]
+        assert final.bucket_counts == [n for n, _, _ in detector.buckets]
+        assert final.bucket_means == pytest.approx([m for _, m, _ in detector.buckets], abs=1e-9)
+        assert final.bucket_squares == pytest.approx([q for *_, q in detector.buckets], abs=1e-7)
+        assert (final.score_stream_count, final.fresh) == (len(row), len(row))
+        assert final.detections == len(changes) == detector.detections
+
+
+def test_chunks_go_on_from_a_stored_state(spark):
+    rng = random.Random(5)
+    values = [min(1.0, max(0.0, 0.3 + rng.gauss(0, 0.1))) for _ in range(700)] + [
+        min(1.0, 0.7 + rng.random() / 10) for _ in range(300)]
+    first = adwin.detect(stream(spark, values[:250]), chunk=64)
+    row = adwin.detect(stream(spark, values[250:]), initial=first, chunk=64).first()
+    _, detector = by_one_walk(values)
+    assert row.bucket_counts == [n for n, _, _ in detector.buckets]
+    assert row.score_stream_count == 1000 and row.detections == detector.detections > 0
+    idle = adwin.detect(stream(spark, values[:5]).filter("false"), initial=first, chunk=64).first()
+    assert idle.bucket_counts == first.first().bucket_counts
+
+
+def test_sizes_without_scores():
+    detector = adwin.Detector()
+    sizes = {0: []}
+    for n in range(1, 700):
+        detector.buckets.insert(0, (1, 0.5, 0.0))
+        detector._compress()
+        sizes[n] = [b[0] for b in detector.buckets]
+    for start in (0, 1, 17, 300):
+        for end in range(start, 700, 13):
+            assert adwin.sizes_after(sizes[start], end - start) == sizes[end]
