@@ -20,6 +20,7 @@ from ledgerlens.operators.perturb import Shift
 from ledgerlens.operators.windows import TimeWindow
 from ledgerlens.session import SESSION_DEFAULTS
 from ledgerlens.sources import loans
+from ledgerlens.streaming import score_stream
 
 SHIFTED = {"int_rate": "int-rate", "dti": "dti"}
 
@@ -81,6 +82,13 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("bundle")
     k.add_argument("--input", action="append", required=True)
     k.add_argument("--output", required=True)
+
+    m = commands.add_parser("monitor", help="watch scores with the detector training primed")
+    m.add_argument("models", help="output folder of train-model")
+    m.add_argument("--scores", required=True, help="Parquet predictions")
+    m.add_argument("--snapshots", required=True)
+    m.add_argument("--checkpoint", required=True)
+    m.add_argument("--feature-checks", help="output of drift-check")
     return root
 
 
@@ -167,9 +175,21 @@ def _score(spark: SparkSession, args: argparse.Namespace) -> dict:
     return {"output": args.output, "model_version": bundle.version}
 
 
+def _monitor(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Snapshots of all scores that have come since the last run; the first run starts from
+    the states that training stored."""
+    kinds = spark.read.parquet(args.scores).schema
+    query = score_stream.run_monitor(
+        spark.readStream.schema(kinds).parquet(args.scores), args.snapshots, args.checkpoint,
+        primed=spark.read.parquet(f"{args.models}/detector"), feature_checks=args.feature_checks)
+    query.awaitTermination()
+    return {"snapshots": args.snapshots}
+
+
 _COMMANDS = {
     "build": _build, "simulate-drift": _simulate, "train-model": _train, "validate": _validate,
     "compare": _compare, "drift-check": _drift_check, "score": _score,
+    "monitor": _monitor,
 }
 
 

@@ -138,14 +138,14 @@ class Preprocessor:
             *[one_hot(c, v).alias(n) for n, (c, v) in self.one_hot_names.items()],
         ]
 
-    def transform(self, typed: DataFrame) -> DataFrame:
-        """The unscaled view: metadata columns, then features in fitted order."""
-        return typed.select(*self._metadata(typed), *self.feature_columns())
+    def transform(self, typed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The unscaled view: metadata and kept columns, then features in fitted order."""
+        return typed.select(*self._metadata(typed), *keep, *self.feature_columns())
 
-    def scale(self, unscaled: DataFrame) -> DataFrame:
+    def scale(self, unscaled: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """The scaled view of rows already transformed."""
         return unscaled.select(
-            *self._metadata(unscaled),
+            *self._metadata(unscaled), *keep,
             *[
                 scale(name, self.means[name], self.scales[name]).alias(name)
                 for name in self.feature_names

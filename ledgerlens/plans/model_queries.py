@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,28 +242,31 @@ def train_lr(x: Inputs) -> DataFrame:
 
 @query("temporal_cv")
 def temporal_cv(x: Inputs) -> DataFrame:
-    view, preprocessor = _training_view(x, "logistic_regression")
-    config = models.TrainingConfig(
-        candidates={"logistic_regression": ({"C": 1.0}, {"C": 0.01})})
-    return models.cross_validate(
-        "logistic_regression", view.filter(F.col(S.SPLIT) == "train"),
-        preprocessor.feature_names, config=config)
+    """Every family and candidate of the default settings, by fold."""
+    config, found = models.TrainingConfig(), []
+    for family in config.candidates:
+        view, preprocessor = _training_view(x, family)
+        found.append(models.cross_validate(
+            family, view.filter(F.col(S.SPLIT) == "train"), preprocessor.feature_names,
+            config=config).withColumn("family", F.lit(family)))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query("train_evaluate")
 def train_evaluate(x: Inputs) -> DataFrame:
-    view, preprocessor = _training_view(x, "logistic_regression")
-    config = models.TrainingConfig()
-    found = models.train_and_evaluate(
-        "logistic_regression", view, preprocessor.feature_names, config=config)
+    """Every family of the default settings, selected, fitted and measured."""
+    config, rows = models.TrainingConfig(), []
     columns = ("row_count", "true_positive", "true_negative", "false_positive", "false_negative",
                *metrics.CV_METRICS)
-    rows = [
-        (split, found.threshold, *[getattr(found, split)[c] for c in columns])
-        for split in ("validation", "shift")
-    ]
+    for family in config.candidates:
+        view, preprocessor = _training_view(x, family)
+        found = models.train_and_evaluate(
+            family, view, preprocessor.feature_names, config=config)
+        rows += [(family, split, found.threshold, *[getattr(found, split)[c] for c in columns])
+                 for split in ("validation", "shift")]
     kinds = ", ".join(f"{c} {'bigint' if i < 5 else 'double'}" for i, c in enumerate(columns))
-    return x.spark.createDataFrame(rows, f"dataset_split string, threshold double, {kinds}")
+    return x.spark.createDataFrame(
+        rows, f"family string, dataset_split string, threshold double, {kinds}")
 
 
 def _bundle(x: Inputs, family: str = "boosted_trees") -> models.ScoringModel:
@@ -323,6 +328,23 @@ def stream_adwin(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(sink).drop("batch")
 
 
+@query("stream_desk")
+def stream_desk(x: Inputs) -> DataFrame:
+    """Raw loans as a stream of applications: explained predictions, read back."""
+    from ledgerlens.streaming import score_stream
+
+    bundle = _bundle(x, "logistic_regression")
+    source, sink = scratch(x.spark, "applications"), scratch(x.spark, "desk")
+    raw = x.loans().withColumn("received_at", F.timestamp_seconds(F.col("loan_id").cast("long")))
+    raw.repartition(4).write.parquet(source)
+    stream = x.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    score_stream.run_desk(
+        stream, bundle, sink, scratch(x.spark, "desk-state"), at="received_at").awaitTermination()
+    return x.spark.read.parquet(f"{sink}/predictions").select(
+        "prediction_id", "loan_id", "risk_flag", "study_arm", "explanation_available", "narrative",
+        F.size("top_features").alias("n_top_features"))
+
+
 @query("stream_scoring")
 def stream_scoring(x: Inputs) -> DataFrame:
     """Raw loans as a stream, scored with the fitted bundle."""
