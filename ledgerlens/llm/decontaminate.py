@@ -1,12 +1,16 @@
-"""Benchmark decontamination with seeds that cannot miss, in built-in expressions only.
+"""Benchmark decontamination by spaced seeds, in built-in expressions only.
 
-A seed's mask compares some words of an item and ignores the others. With ``n`` words an item
-still counts after ``e`` substitutions, so its places are parted into ``e + 1`` blocks, each the
-mask of one seed: whichever ``e`` words are changed, a block is left whole. Blocks have at most
-five words, so that a stretch that counts by itself holds a whole one too. Seeds of the block
-lengths in use are taken at every position of documents and joined on their hash. A hit fixes
-how an item lies over a document; there the words are compared one by one, and the overlap
-counts if enough words agree in the item as a whole or in a long stretch of it.
+A seed is a fixed mask over consecutive words: it compares some places and ignores the others.
+An item of ``n`` words still counts after ``n // 5`` substitutions. Its words are cut into
+``n // 5`` stretches of five, of which one at least then has no more than one change; the five
+masks of a stretch each ignore one place and compare the other four, so one of them hits. Every
+position of every document is looked up with the same masks.
+
+Hits are summed by how an item would lie over a document. A stretch without a change is hit five
+times, with one change once, so a placement that counts has ``n // 5`` hits, or five where only a
+long stretch of it is there (see ``least_hits``); placements with fewer go unread. The rest are
+compared word by word: the overlap counts if enough words agree in the item as a whole or in a
+long stretch of it.
 
 Words are taken as in the contracts, lower-cased in A-Z, and without the punctuation
 around them.
@@ -14,8 +18,9 @@ around them.
 Cases: null, empty and very short texts (under ``LEAST_WORDS`` words) neither match nor are
 matched; several items in one document give a row each, repeated rows and equal items too;
 of several placements of an item in a document the one with most equal words counts, then the
-first; empty tables give an empty result; other columns are not read. A null id matches like
-any other.
+first; very long texts are looked up at every position, and only those with a placement are
+compared whole; empty tables give an empty result; other columns are not read. A null id matches
+like any other.
 """
 
 from __future__ import annotations
@@ -31,6 +36,13 @@ LEAST_SHARE = 0.8
 #: ... or from so many words of which this share are equal, where only a part is there.
 LEAST_STRETCH = 13
 LEAST_WORDS = 5
+#: Words of a stretch of an item; one of them may be changed.
+SPAN = 5
+#: Offsets that a mask compares, from its first one. Ignoring the first or the last place of a
+#: stretch is one mask at two positions.
+MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
+#: (position in a stretch, mask): the five ways to ignore one place of it.
+PLACES = ((1, 0), (0, 1), (0, 2), (0, 3), (0, 0))
 #: Places of seeds that may be broadcast: about 32 bytes each, so at most 64 MB.
 MOST_BROADCAST = 2_000_000
 
@@ -44,29 +56,36 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(lower), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES))))
 
 
-def seed(hashes: Column, at: Column, length: int) -> Column:
-    """The seed of a block of words at a place of an array of word hashes."""
-    return F.xxhash64(F.lit(length), *[F.get(hashes, at + k) for k in range(length)])
+def seed(hashes: Column, at: Column, mask: int) -> Column:
+    """The seed of a mask at a place of an array of word hashes."""
+    return F.xxhash64(F.lit(mask), *[F.get(hashes, at + k) for k in MASKS[mask]])
+
+
+def item_seeds(tests: DataFrame) -> DataFrame:
+    """(item, pos, seed) of every mask on every stretch of every item."""
+    stretches = tests.select("item", "h", F.explode(F.sequence(
+        F.lit(0), F.floor(F.size("h") / SPAN).cast("int") - 1)).alias("k"))
+    return stretches.select("item", F.inline(F.array(*[
+        F.struct((F.col("k") * SPAN + at).alias("pos"),
+                 seed(F.col("h"), F.col("k") * SPAN + at, mask).alias("seed"))
+        for at, mask in PLACES])))
 
 
-def _blocks(n: Column) -> Column:
-    """(pos, length) of the blocks of an item of ``n`` words, longer ones first."""
-    # The changes allowed are those that the comparison with LEAST_SHARE lets pass.
-    parts = n - F.ceil(LEAST_SHARE * n) + 1
-    short, longer = F.floor(n / parts), n % parts
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda k: F.struct(
-        (k * short + F.least(k, longer)).cast("int").alias("pos"),
-        (short + (k < longer).cast("int")).cast("int").alias("length")))
+def least_hits(n_words: Column) -> Column:
+    """Fewest hits of a placement that counts. As a whole: ``n // 5`` stretches with at most as
+    many changes. In part: a stretch of ``LEAST_STRETCH`` + 5 c words with c changes holds c + 1
+    whole stretches of five, and b of them with c changes are hit at least 5 b - 4 c times."""
+    return F.least(F.floor(n_words / SPAN), F.lit(len(PLACES)))
 
 
-def _seed_rows(hashed: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, key, pos, seed) for each place and length. Places become rows first, so that seeds
+def _seed_rows(hashed: DataFrame) -> DataFrame:
+    """(id, key, pos, seed) for each place and mask. Places become rows first, so that seeds
     are computed by generated code, a few array reads each; the array itself is not copied.
-    A seed that runs over the end has fewer words than its length says and equals no other."""
+    A seed that runs over the end has fewer words than its mask and equals no other."""
     places = hashed.filter(F.size("h") >= LEAST_WORDS).select(
-        "id", "key", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(lengths))).alias("pos"))
+        "id", "key", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN + 1)).alias("pos"))
     return places.select("id", "key", "pos", F.explode(F.array(*[
-        seed(F.col("h"), F.col("pos"), n) for n in lengths])).alias("seed"))
+        seed(F.col("h"), F.col("pos"), m) for m in range(len(MASKS))])).alias("seed"))
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -86,26 +105,25 @@ def _find(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     tests = materialise(items.select(
         F.col(item_col).alias("item"), word_hashes(F.coalesce(item_text, F.lit(""))).alias("h"))
         .filter(F.size("h") >= LEAST_WORDS), "items")
-    parts = tests.select("item", "h", F.inline(_blocks(F.size("h").cast("bigint"))))
-    lengths = sorted(r.length for r in parts.select("length").distinct().collect()) or [LEAST_WORDS]
-    by_length = F.coalesce(*[
-        F.when(F.col("length") == n, seed(F.col("h"), F.col("pos"), n)) for n in lengths])
     # Equal items share their seeds; a seed names the items and places it comes from.
-    wanted = materialise(
-        parts.withColumn("seed", by_length).groupBy("seed").agg(
-            F.collect_set(F.struct("item", "pos")).alias("of")), "seeds")
+    wanted = materialise(item_seeds(tests).groupBy("seed").agg(
+        F.collect_set(F.struct("item", "pos")).alias("of")), "seeds")
     n_seeds = wanted.agg(F.sum(F.size("of"))).first()[0] or 0
+    needed = tests.groupBy("item").agg(F.min(least_hits(F.size("h"))).alias("needed"))
+    n_items = tests.count()
 
     source = docs.select(F.col(id_col).alias("id"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hashed = source.select("id", F.xxhash64("t").alias("key"), word_hashes(F.col("t")).alias("h"))
     hits = (
-        _seed_rows(hashed, lengths)
+        _seed_rows(hashed)
         .join(held_by_size(wanted, n_seeds, MOST_BROADCAST), "seed")
         .select("id", "key", "pos", F.explode("of").alias("o"))
         .select("id", "key", F.col("o.item").alias("item"),
                 (F.col("pos") - F.col("o.pos")).alias("start"))
-        .groupBy("id", "key", "item", "start").agg(F.count("*").alias("n_hits")))
+        .groupBy("id", "key", "item", "start").agg(F.count("*").alias("n_hits"))
+        .join(held_by_size(needed, n_items, MOST_BROADCAST), "item")
+        .filter(F.col("n_hits") >= F.col("needed")).drop("needed"))
     placed = materialise(hits, "hits")
     return _verify(spark, source, tests, placed)
 
@@ -113,7 +131,9 @@ def _find(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
 def _verify(spark, source: DataFrame, tests: DataFrame, placed: DataFrame) -> DataFrame:
     """Compare words around each hit."""
     n_placed = placed.count()
-    sides = placed.join(held_by_size(tests, tests.count(), MOST_BROADCAST // 100), "item")
+    # Items have any length, so their words are counted, not their rows.
+    n_words = tests.agg(F.sum(F.size("h"))).first()[0] or 0
+    sides = placed.join(held_by_size(tests, n_words, MOST_BROADCAST), "item")
     # Word hashes are taken again only for the few documents with a hit.
     keys = placed.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).distinct()
     chosen = source.withColumn("key", F.xxhash64("t")).join(

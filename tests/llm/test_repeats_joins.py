@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,13 +190,63 @@ def test_every_placement_of_allowed_changes_is_found(spark, make_docs, sizes):
     assert out == {k: (*h, 2) for k, h in enumerate(held)}
 
 
-def test_blocks_leave_no_choice_of_changes_uncovered(spark):
-    rows = spark.range(5, 2000).select("id", decontaminate._blocks(F.col("id")).alias("b")).collect()
-    for n, blocks in rows:
-        # Disjoint blocks over all places, one more than the changes that still count.
-        ends = [b.pos + b.length for b in blocks]
-        assert [b.pos for b in blocks] == [0, *ends[:-1]] and ends[-1] == n
-        assert len(blocks) == n // 5 + 1 and all(2 <= b.length <= 5 for b in blocks)
+def test_masks_leave_no_allowed_choice_of_changes_uncovered():
+    kept = [{at + k for k in decontaminate.MASKS[m]} for at, m in decontaminate.PLACES]
+    assert all(len(k) == 4 and k < set(range(5)) for k in kept)
+    assert {5 * 4 // 2 - sum(k) for k in kept} == set(range(5))
+    for n in range(5, 18):
+        for changed in itertools.combinations(range(n), n // 5):
+            hits = sum(not any(5 * s + k in changed for k in mask)
+                       for s in range(n // 5) for mask in kept)
+            assert hits >= min(n // 5, 5)
+
+
+def brute_items(texts, items):
+    """Best placement of every item in every text, by laying it at every offset."""
+    def plain(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return [w.strip(decontaminate.EDGES) for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+
+    found = set()
+    for d, text in enumerate(map(plain, texts)):
+        for i, item in enumerate(map(plain, items)):
+            best = None
+            for start in range(1 - len(item), len(text)):
+                if min(len(item), len(text)) < decontaminate.LEAST_WORDS:
+                    break
+                same = [0 <= start + k < len(text) and text[start + k] == w
+                        for k, w in enumerate(item)]
+                run = top = 0
+                for x in same:
+                    run = max(run + (1 if x else -4), 0)
+                    top = max(top, run)
+                if (sum(same) >= decontaminate.LEAST_SHARE * len(item)
+                        or top >= decontaminate.LEAST_STRETCH):
+                    best = max(best or (0, 0), (sum(same), -start))
+            if best:
+                found.add((d, i, -best[1], len(item), best[0]))
+    return found
+
+
+def test_decontamination_equals_a_scan_of_every_placement(spark, make_docs, rng, prose):
+    """Few different words, so that chance overlaps just above and below the limits abound."""
+    items = [prose(rng, n, size=4) for n in (4, 5, 6, 9, 10, 14, 21, 33)] + ["a a a a a a a", None]
+    texts = [None, "", "a", "a " * 40]
+    for _ in range(60):
+        parts = [prose(rng, rng.randint(0, 12), size=4)]
+        for item in rng.sample(items[:-1], 2):
+            w = item.split()
+            cut = w[rng.randint(0, 4):len(w) - rng.randint(0, 4)]
+            for at in rng.sample(range(len(cut)), min(len(cut), rng.randint(0, len(w) // 4))):
+                cut[at] = "other"
+            parts += [" ".join(cut), prose(rng, rng.randint(0, 12), size=4)]
+        texts.append(" ".join(parts))
+    long_text = prose(rng, 3000, size=40)
+    texts.append(f"{long_text} {items[7]}, {long_text}")
+    table = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    out = decontaminate.find(make_docs(texts), table).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_words, r.n_equal) for r in out} == brute_items(
+        texts, items)
 
 
 def test_stretches_of_long_items_are_found_wherever_they_start(spark, make_docs):
