@@ -15,6 +15,7 @@ from ledgerlens import schema as S
 from ledgerlens.errors import DataContractError
 from ledgerlens.functions import parse
 from ledgerlens.operators.ranking import TASK_ROWS, running_totals
+from ledgerlens.session import materialise
 
 METADATA = (S.TARGET, S.ISSUE_DATE, S.QUARTER, S.SPLIT)
 EXACT_LIMIT = 20_000
@@ -88,7 +89,8 @@ def ks_statistics(
 ) -> DataFrame:
     """Per comparable feature: largest gap between the two empirical
     distributions, with both counts."""
-    stacked = stacked_cohorts(reference, current)
+    # Written once: the totals, the curve and its ranges all read it.
+    stacked = materialise(stacked_cohorts(reference, current), "stacked")
     curve = running_totals(
         stacked, ["feature"], "value",
         {"in_reference": "below_reference", "in_current": "below_current"},

@@ -220,15 +220,17 @@ def vocabulary_rows(typed: DataFrame) -> DataFrame:
     return typed.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
-def fit_vocabulary(typed: DataFrame, limit: int = S.MAX_VOCABULARY) -> dict[str, list[str]]:
-    """Sorted vocabulary per column; a column with more than ``limit`` values is
-    an error, since each value becomes a feature column."""
-    rows = vocabulary_rows(typed).limit(limit * len(S.CATEGORIES) + 1).collect()
+def fit_vocabulary(typed: DataFrame, limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted vocabulary per column. Each value becomes a feature column; a caller that
+    wants no more than ``limit`` of them per column gets an error instead."""
+    rows = vocabulary_rows(typed)
+    if limit is not None:
+        rows = rows.limit(limit * len(S.CATEGORIES) + 1)
     found: dict[str, list[str]] = {c: [] for c in S.CATEGORIES}
-    for row in rows:
+    for row in rows.collect():
         found[row["column_name"]].append(row["category"])
     for column, values in found.items():
-        if len(values) > limit:
+        if limit is not None and len(values) > limit:
             raise DataContractError(f"{column!r} has more than {limit} training categories")
     return {column: sorted(values) for column, values in found.items()}
 

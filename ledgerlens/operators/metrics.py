@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.errors import DataContractError
 from ledgerlens.operators.ranking import TASK_ROWS, running_totals
+from ledgerlens.session import materialise
 
 CV_METRICS = ("accuracy", "roc_auc", "pr_auc", "f1", "ks", "brier")
 
@@ -124,7 +125,8 @@ def evaluate(
     keys = list(by) or ["_all"]
     frame = df if by else df.withColumn("_all", F.lit(1))
     points = at_threshold(frame, threshold, by=keys, score=score, target=target)
-    curve = score_curve(frame, by=keys, score=score, target=target)
+    # One sort serves the ranking, the KS totals and the KS gaps.
+    curve = materialise(score_curve(frame, by=keys, score=score, target=target), "curve")
     ranked = ranking_metrics(curve, keys).drop("positive_count", "negative_count")
     result = points.join(ranked, keys, "left").join(score_ks(curve, keys), keys, "left")
     return result.withColumn("threshold", F.lit(float(threshold))).drop("_all")
@@ -145,9 +147,8 @@ def f1_threshold(
 ) -> DataFrame:
     """One row: the F1-optimal score; among near ties the one closest to 0.5, then
     the lower. Near means within 1e-8 + 1e-5 of the best, relative."""
-    candidates = threshold_candidates(
-        score_curve(df, score=score, target=target, task_rows=task_rows)
-    )
+    curve = score_curve(df, score=score, target=target, task_rows=task_rows)
+    candidates = threshold_candidates(materialise(curve, "curve"))
     best = candidates.agg(F.max("f1").alias("b")).first()["b"]
     near = F.abs(F.col("f1") - F.lit(best)) <= F.lit(1e-8 + 1e-5 * abs(best))
     return (

@@ -9,6 +9,9 @@ from ledgerlens import schema as S
 from ledgerlens.functions import parse
 from ledgerlens.operators.ranking import latest_by, numbered
 
+#: When a rule is broken, the field it names, and its message.
+Rule = tuple[Column, str, str]
+
 # Fixed values: (lowest, highest) accepted number per field.
 RANGES = {
     "annual_inc": (0, 1_000_000_000),
@@ -32,8 +35,11 @@ MESSAGES = {
     "term": "term must be 36, 60, '36 months', or '60 months'",
     "emp_length_text": "emp_length must be a number of years",
     "emp_length_range": "emp_length must be between 0 and 100 years",
+    "int_rate_text": "int_rate must be a number or percentage",
+    "int_rate_range": "int_rate must be between 0 and 1000",
     "int_rate": "int_rate must be between 0 and 100",
-    "revol_util": "revol_util must be between 0 and 1000",
+    "revol_util_text": "revol_util must be a number or percentage",
+    "revol_util_range": "revol_util must be between 0 and 1000",
     "grade": "grade must be A through G",
     "sub_grade": "sub_grade must be A1 through G5",
     "purpose": "purpose is not allowed",
@@ -43,6 +49,7 @@ MESSAGES = {
     "date_order": "earliest_cr_line must not be after issue_d",
     "grade_order": "sub_grade must belong to grade",
 }
+# Warnings, and messages of decision intake.
 WARNINGS = {
     "dti": "Debt-to-income ratio is above 100%; verify that the value is intentional.",
     "int_rate":
@@ -55,7 +62,8 @@ OVERRIDE_NEEDS_NOTE = "A note is required when overriding the model"
 UNKNOWN_PREDICTION = "Prediction not found"
 
 
-def _violation(broken: Column, field: str, message: str) -> Column:
+def _note(rule: Rule) -> Column:
+    broken, field, message = rule
     return F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
 
 
@@ -64,8 +72,7 @@ def _outside(number: Column, low: float, high: float) -> Column:
 
 
 def _rule_inputs(df: DataFrame) -> DataFrame:
-    """Cleaned texts, then numbers and dates, under ``_t_`` and ``_n_`` names. Two
-    projections, so that no rule re-evaluates a cleaning."""
+    """Cleaned texts, then numbers and dates, under ``_t_`` and ``_n_`` names."""
     texts = df.select(
         *df.columns,
         *[parse.strip(c).alias(f"_t_{c}") for c in (*RANGES, "revol_util", "int_rate")],
@@ -95,49 +102,55 @@ def _rule_inputs(df: DataFrame) -> DataFrame:
     )
 
 
-def _violations() -> Column:
-    rules: list[Column] = []
+def _rules() -> list[Rule]:
+    """All rules, in their order."""
+    rules: list[Rule] = []
     for name, (low, high) in RANGES.items():
         number = F.col(f"_n_{name}")
         broken = F.col(f"_t_{name}").isNotNull() & _outside(number, low, high)
         if name == "loan_amnt":  # an amount of zero is no loan
             broken = broken | F.coalesce(number == 0, F.lit(False))
-        rules.append(_violation(broken, name, MESSAGES["number"]))
+        rules.append((broken, name, MESSAGES["number"]))
 
-    for name, high in (("revol_util", 1_000), ("int_rate", 100)):
-        broken = F.col(f"_t_{name}").isNotNull() & _outside(F.col(f"_n_{name}"), 0, high)
-        rules.append(_violation(broken, name, MESSAGES[name]))
+    for name in ("revol_util", "int_rate"):
+        number = F.col(f"_n_{name}")
+        unread = F.col(f"_t_{name}").isNotNull() & number.isNull()
+        rules.append((unread, name, MESSAGES[f"{name}_text"]))
+        rules.append(((number < 0) | (number > 1_000), name, MESSAGES[f"{name}_range"]))
+    # Rates over 1000 have broken the rule before.
+    rate = F.col("_n_int_rate")
+    rules.append(((rate > 100) & (rate <= 1_000), "int_rate", MESSAGES["int_rate"]))
 
-    rules.append(_violation(~F.col("_t_term").isin(*TERMS), "term", MESSAGES["term"]))
+    rules.append((~F.col("_t_term").isin(*TERMS), "term", MESSAGES["term"]))
 
     text, years = F.col("_t_emp_length"), F.col("_n_emp_length")
     stated = text.isNotNull() & ~text.isin(*NO_EMPLOYMENT, *UNDER_ONE_YEAR)
-    rules.append(_violation(stated & years.isNull(), "emp_length", MESSAGES["emp_length_text"]))
-    rules.append(_violation(
+    rules.append((stated & years.isNull(), "emp_length", MESSAGES["emp_length_text"]))
+    rules.append((
         stated & years.isNotNull() & _outside(years, 0, 100),
         "emp_length", MESSAGES["emp_length_range"]))
 
     grade, sub_grade = F.col("_t_grade"), F.col("_t_sub_grade")
-    rules.append(_violation(~grade.rlike(f"^[{S.GRADES}]$"), "grade", MESSAGES["grade"]))
-    rules.append(_violation(
+    rules.append((~grade.rlike(f"^[{S.GRADES}]$"), "grade", MESSAGES["grade"]))
+    rules.append((
         ~sub_grade.rlike(f"^[{S.GRADES}][1-5]$"), "sub_grade", MESSAGES["sub_grade"]))
-    rules.append(_violation(
+    rules.append((
         ~F.col("_t_purpose").isin(*S.PURPOSES), "purpose", MESSAGES["purpose"]))
-    rules.append(_violation(
+    rules.append((
         ~F.col("_t_home_ownership").isin(*S.HOME_OWNERSHIP),
         "home_ownership", MESSAGES["home_ownership"]))
 
     issued, earliest = F.col("_d_issued"), F.col("_d_earliest")
-    rules.append(_violation(issued.isNull(), "issue_d", MESSAGES["issue_d"]))
-    rules.append(_violation(
+    rules.append((issued.isNull(), "issue_d", MESSAGES["issue_d"]))
+    rules.append((
         ~F.col("_t_earliest").isin(*NO_EMPLOYMENT) & earliest.isNull(),
         "earliest_cr_line", MESSAGES["earliest_cr_line"]))
-    rules.append(_violation(earliest > issued, "earliest_cr_line", MESSAGES["date_order"]))
-    rules.append(_violation(
+    rules.append((earliest > issued, "earliest_cr_line", MESSAGES["date_order"]))
+    rules.append((
         (F.length(grade) > 0) & (F.length(sub_grade) > 0)
         & (grade != F.substring(sub_grade, 1, 1)),
         "sub_grade", MESSAGES["grade_order"]))
-    return F.array_compact(F.array(*rules))
+    return rules
 
 
 def _warnings() -> Column:
@@ -154,7 +167,7 @@ def _warnings() -> Column:
 def check_applications(df: DataFrame) -> DataFrame:
     """Add ``violations``, in rule order, and ``warnings``: unusual but accepted."""
     return _rule_inputs(df).select(
-        *df.columns, _violations().alias("violations"), _warnings().alias("warnings")
+        *df.columns, F.array_compact(F.array(*map(_note, _rules()))).alias("violations"), _warnings().alias("warnings")
     )
 
 
@@ -168,11 +181,15 @@ def soft_warnings(df: DataFrame) -> DataFrame:
 
 
 def violation_counts(df: DataFrame) -> DataFrame:
-    return (
-        check_applications(df).select(F.explode("violations").alias("v"))
-        .groupBy(F.col("v.field").alias("field"), F.col("v.message").alias("message"))
-        .agg(F.count(F.lit(1)).alias("violations"))
-    )
+    """Broken rows per rule. One counter a rule over inputs cleaned once: the rules never
+    become arrays, whose explosion would have the optimiser copy every rule into a filter."""
+    rules = _rules()
+    counts = _rule_inputs(df).agg(
+        *[F.count_if(broken).alias(f"_{k}") for k, (broken, _, _) in enumerate(rules)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"),
+                 F.col(f"_{k}").alias("violations"))
+        for k, (_, field, message) in enumerate(rules)]))).filter("violations > 0")
 
 
 def warning_counts(df: DataFrame) -> DataFrame:

@@ -205,9 +205,11 @@ def _rules_sql() -> str:
         if c == "loan_amnt":
             test = f"({test}) OR {plain(text(c))} = 0"
         rule(test, c, rules.MESSAGES["number"])
-    for c, high in (("revol_util", 1000), ("int_rate", 100)):
-        bare = f"trim(rtrim({text(c)}, '%'))"
-        rule(f"{c} IS NOT NULL AND {outside(bare, 0, high)}", c, rules.MESSAGES[c])
+    for c in ("revol_util", "int_rate"):
+        bare = plain(f"trim(rtrim({text(c)}, '%'))")
+        rule(f"{c} IS NOT NULL AND {bare} IS NULL", c, rules.MESSAGES[f"{c}_text"])
+        rule(f"{bare} < 0 OR {bare} > 1000", c, rules.MESSAGES[f"{c}_range"])
+    rule(f"{bare} > 100 AND {bare} <= 1000", "int_rate", rules.MESSAGES["int_rate"])
     rule(f"lower(trim(term)) NOT IN {O.quoted(rules.TERMS)}", "term", rules.MESSAGES["term"])
     stated = ("emp_length IS NOT NULL AND lower(trim(emp_length)) NOT IN "
               + O.quoted(rules.NO_EMPLOYMENT + rules.UNDER_ONE_YEAR))

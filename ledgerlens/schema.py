@@ -101,7 +101,6 @@ UNKNOWN_ORDINAL = -1
 MISSING_CATEGORY = "__MISSING__"
 MISSING_FLAG_SUFFIX = "_was_missing"
 DAYS_PER_YEAR = 365.25
-MAX_VOCABULARY = 1000
 
 # Serving domains.
 PURPOSES = (

@@ -181,6 +181,15 @@ def test_contract_errors(raw_loans):
         features.fit_vocabulary(labelled(raw_loans), limit=1)
 
 
+def test_vocabulary_has_no_bound_of_its_own(spark):
+    typed = spark.range(1500).select(*[
+        F.concat(F.lit("V"), F.col("id") % (1500 if c == S.CATEGORIES[0] else 2)).alias(c)
+        for c in S.CATEGORIES])
+    found = features.fit_vocabulary(typed)
+    assert len(found[S.CATEGORIES[0]]) == 1500
+    assert all(found[c] == ["V0", "V1"] for c in S.CATEGORIES[1:])
+
+
 def test_allow_list_ignores_the_rest(raw_loans):
     kept = outcomes.select_allowed(raw_loans)
     assert kept.columns == ["loan_id", *sorted(S.ALLOWED)]

@@ -2,6 +2,8 @@
 
 import random
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,33 @@ def test_application_rules(spark, changes, expected):
     assert broken_fields(spark, **changes) == expected
 
 
+@pytest.mark.parametrize("value, expected", [
+    ("n.a.", "must be a number or percentage"), ("", "must be a number or percentage"),
+    ("-1%", "must be between 0 and 1000"), ("1000.5", "must be between 0 and 1000"),
+    ("100.5", "must be between 0 and 100"), ("1000 %", "must be between 0 and 100"),
+    ("100", None), (None, None),
+])
+def test_percent_messages_and_counts(spark, value, expected):
+    row = {**SAMPLE, "int_rate": value}
+    schema = ", ".join(f"{c} string" for c in row)
+    broken = {**row, "loan_amnt": "0"}
+    frame = spark.createDataFrame([tuple(row.values()), tuple(broken.values())], schema)
+    found = [v for r in rules.check_applications(frame).collect() for v in r["violations"]]
+    assert [v["message"] for v in found if v["field"] == "int_rate"] == (
+        [f"int_rate {expected}"] * 2 if expected else [])
+    counts = {(r["field"], r["message"]): r["violations"]
+              for r in rules.violation_counts(frame).collect()}
+    assert counts == Counter((v["field"], v["message"]) for v in found)
+
+
+def test_counts_clean_each_text_once_and_read_once(spark):
+    frame = spark.createDataFrame([tuple(SAMPLE.values())], ", ".join(f"{c} string" for c in SAMPLE))
+    assert rules.violation_counts(frame).collect() == []
+    assert rules.violation_counts(frame.limit(0)).collect() == []
+    plan = rules.violation_counts(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "size(array" not in plan
+
+
 def test_warnings(spark):
     frame = spark.createDataFrame(
         [("150", "11.2%", "about half")], "dti string, int_rate string, revol_util string")
