@@ -16,7 +16,8 @@ rows whose digit occurs once are dropped; the rest is left open for the next pas
 settled row of each kind as a witness. Groups of equal windows are exactly the repeated
 strings. All their bytes are removed. Windows are compared by two 64-bit hashes.
 
-Cases: null and empty texts have no bytes; texts shorter than ``DEPTH`` lose nothing;
+Cases: null and empty texts have no bytes; texts shorter than ``DEPTH`` lose nothing; very
+long texts are handled in overlapping pieces of ``PIECE`` bytes;
 overlapping strings and repeats within one document count; repeated rows are documents that
 repeat each other; an empty table gives an empty result; other columns are not read.
 """
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import held_by_size, map_batches, texts_of
 from ledgerlens.llm.shingles import mix, prefix_sums, substring_hashes
@@ -196,21 +196,31 @@ PASS = f"doc {DOC}, " + ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
 def _sift(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(settled, open) rows of a pass. One shuffle, by digit, serves all windows below."""
-    digit = Window.partitionBy("digit")
-    alike = Window.partitionBy("digit", "whole")
-    met = rows.repartition("digit").withColumn("all", F.count("*").over(digit)).filter(
-        "all > 1").dropDuplicates(["digit", "whole", "doc", "first"])
-    marked = met.withColumns({
-        "all": F.count("*").over(digit), "m": F.count("*").over(alike)}).filter("all > 1")
-    marked = marked.withColumns({
-        "some_open": F.min("m").over(digit) == 1,
-        "rank": F.row_number().over(alike.orderBy("doc", "first"))})
-    sifted = materialise(marked.select(
-        "doc", "first", "last", "at", (F.col("m") > 1).alias("settled"),
-        ((F.col("m") == 1) | (F.col("some_open") & (F.col("rank") == 1))).alias("open")), name)
-    return (sifted.filter("settled").select("doc", "first", "last"),
-            sifted.filter("open").select("doc", "first", "last", "at"))
+    """(settled, open) rows of a pass. Digits, and what is alike under one, are found by
+    aggregates that combine before their shuffle; rows only look up the result. So no digit's
+    rows meet in one task, however many texts share it."""
+    place = F.xxhash64("doc.h", "doc.n", "first")
+    rows = materialise(rows, name)
+    digits = materialise(rows.groupBy("digit").agg(
+        F.min(place).alias("low"), F.max(place).alias("high"),
+        F.min("whole").alias("least"), F.max("whole").alias("most")).filter(
+        "low < high").select("digit", (F.col("least") == F.col("most")).alias("settled")),
+        f"{name}_digits")
+    shared = materialise(rows.join(held_by_size(digits, digits.count(), MOST_BROADCAST), "digit"),
+                         f"{name}_shared")
+    mixed = shared.filter(~F.col("settled"))
+    kinds = materialise(mixed.groupBy("digit", "whole").agg(
+        (F.min(place) < F.max(place)).alias("repeated"),
+        F.min(F.struct("doc", "first", "last", "at")).alias("row")), f"{name}_kinds")
+    repeated = kinds.filter("repeated").select("digit", "whole")
+    alike = mixed.join(held_by_size(repeated, repeated.count(), MOST_BROADCAST),
+                       ["digit", "whole"], "left_semi")
+    # A kind found once stays open; of any other under its digit, one row is a witness.
+    unsure = kinds.filter(~F.col("repeated")).select("digit").distinct()
+    opened = kinds.join(held_by_size(unsure, kinds.count(), MOST_BROADCAST), "digit", "left_semi")
+    columns = ["doc", "first", "last"]
+    return (shared.filter("settled").select(columns).unionByName(alike.select(columns)),
+            opened.select("row.*"))
 
 
 def _next_pass(rows: DataFrame, opened: DataFrame, make) -> DataFrame:
@@ -238,8 +248,9 @@ def spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     more, opened = _sift(_next_pass(rows, opened, _blocks), "blocks")
     last, _ = _sift(_next_pass(rows, opened, _windows), "windows")
     ranges = copied.unionByName(settled).unionByName(more).unionByName(last)
-    listed = ranges.groupBy("doc").agg(F.collect_list("first").alias("first"),
-                                       F.collect_list("last").alias("last"))
+    # Copies of a text in several tasks bring the same ranges: sets take them once.
+    listed = ranges.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("r")).select(
+        "doc", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
 
     def merge():
         def work(batch: pa.RecordBatch):
@@ -258,7 +269,9 @@ def spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept, n_bytes, n_removed, n_spans) for every row; ``kept`` holds the bytes left."""
     found = materialise(spans(docs, text_col=text_col), "spans")
-    few = held_by_size(found, found.count(), MOST_BROADCAST)
+    # A text has any number of spans, so their bytes are counted, not its rows.
+    weight = found.agg(F.sum(F.octet_length("spans") + 32)).first()[0] or 0
+    few = held_by_size(found, weight, 32 * MOST_BROADCAST)
     rows = docs.select(F.col(id_col).alias("__id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.struct(

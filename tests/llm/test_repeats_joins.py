@@ -143,6 +143,15 @@ def test_repeated_bytes_against_brute_force(make_docs, rng, prose, monkeypatch,
     assert repeats.remove(make_docs([])).count() == 0
 
 
+def test_a_string_that_very_many_texts_share(spark, make_docs, rng, prose):
+    line = prose(rng, 60)
+    texts = [f"{prose(rng, rng.randint(0, 30))} {line} {prose(rng, rng.randint(0, 30))}"
+             for _ in range(300)] + [line] * 40
+    removed = repeats.digests(repeats.remove(make_docs(texts).repartition(16)))
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed.collect()}
+    assert [out[k] for k in range(len(texts))] == brute_repeats(texts)
+
+
 ITEMS = "item_id bigint, text string"
 
 
