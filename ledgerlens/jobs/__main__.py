@@ -144,12 +144,7 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 
 def _validate(spark: SparkSession, args: argparse.Namespace) -> dict:
-    _, scaled, manifest = store.load_views(spark, args.feature_store)
-    facts = store.store_validation(scaled).first().asDict()
-    counts = {s: facts[f"{s}_rows"] for s in manifest["row_counts"]}
-    if counts != manifest["row_counts"] or facts["quarters_crossing"]:
-        raise SystemExit(f"store differs from its manifest: {facts}")
-    return {"status": "passed", **facts}
+    return {"status": "passed", **store.validate_store(spark, args.feature_store)}
 
 
 def _compare(spark: SparkSession, args: argparse.Namespace) -> dict:

@@ -53,10 +53,9 @@ def build(
         train, row_bound=plan.train_rows, quarters=plan.by_split["train"])
     # A dirty status column has any number of values: the inventory is a table of its own.
     statuses = materialise(outcomes.status_inventory(raw), "statuses")
-    statuses.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(
-        f"{root}/status_inventory")
     return store.write_store(
         labelled, preprocessor, root, overwrite=overwrite, raw=resolved.drop(S.TARGET),
+        statuses=statuses,
         extra={
             "random_seed": seed,
             "split": {k: list(v) for k, v in plan.by_split.items()},

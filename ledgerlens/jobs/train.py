@@ -29,7 +29,7 @@ def train(
     params = {name: e.params for name, e in found.items()}
     version = models.model_version(
         preprocessor.schema_digest, config.seed, preprocessor.training_quarters, params,
-        manifest)
+        store.content_fields(manifest))
     for name, result in found.items():
         bundle = models.ScoringModel(
             preprocessor, result.model, result.threshold, version, models.FAMILIES[name].view)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,12 @@ from pyspark.sql import types as T
 from ledgerlens import schema as S
 from ledgerlens.errors import DataContractError
 from ledgerlens.functions import derive
-from ledgerlens.operators import dictionary, splits
+from ledgerlens.operators import dictionary, evidence, splits
 from ledgerlens.operators.features import Preprocessor
 from ledgerlens.operators.windows import TimeWindow, require_times, select_window
 
+# Everything a store consists of; the manifest comes last and marks a complete store.
+PARTS = ("unscaled", "scaled", "files", "artifacts", "data_dictionary", "status_inventory")
 METADATA = (S.LOAN_ID, S.ISSUE_DATE, S.QUARTER, S.SPLIT, S.TARGET)
 # Manifest fields that must agree between two builds.
 STABLE_FIELDS = (
@@ -163,35 +167,84 @@ def write_store(
     overwrite: bool = False,
     raw: DataFrame | None = None,
     extra: dict | None = None,
+    statuses: DataFrame | None = None,
 ) -> dict:
-    """Write both views, the preprocessor, the dictionary, and last the manifest,
-    whose presence marks a complete store. ``typed`` carries split and target.
+    """Write both views, the facts of their files, the preprocessor and the dictionary, and
+    last the manifest, whose presence marks a complete store. ``typed`` carries split and target.
 
+    Everything is written to a folder inside ``root`` that readers pass over, and proven there.
+    Only then do its parts move to their places: a store that is overwritten stays whole until
+    the new one is known to be sound. Moves are renames of folders; where a file system copies
+    instead, a broken move leaves no manifest, so no reader takes the store for complete.
     The scaled view is derived from the unscaled files, so raw parsing runs once.
     """
     spark = typed.sparkSession
-    mode = "overwrite" if overwrite else "errorifexists"
-    if overwrite:  # a store being rewritten is not complete
-        spark.createDataFrame([], "value string").write.mode(mode).text(f"{root}/manifest")
-    write_view(preprocessor.transform(typed), f"{root}/unscaled", mode)
-    unscaled = read_store(spark, root)
+    root = root.rstrip("/")
+    taken = [p for p in (*PARTS, "manifest") if _exists(spark, f"{root}/{p}")]
+    if taken and not overwrite:
+        raise DataContractError(f"store {root} already exists: {taken}")
+    stage = f"{root}/_staged-{uuid.uuid4().hex}"
+    try:
+        manifest = _write_parts(typed, preprocessor, stage, raw, extra, statuses)
+        if taken:  # from here to the new manifest the store is not complete
+            _remove(spark, f"{root}/manifest")
+        for part in PARTS:
+            _remove(spark, f"{root}/{part}")
+            if _exists(spark, f"{stage}/{part}"):
+                _move(spark, f"{stage}/{part}", f"{root}/{part}")
+        _move(spark, f"{stage}/manifest", f"{root}/manifest")
+    finally:
+        _remove(spark, stage)
+    return manifest
+
+
+def _write_parts(
+    typed: DataFrame, preprocessor: Preprocessor, root: str, raw: DataFrame | None,
+    extra: dict | None, statuses: DataFrame | None,
+) -> dict:
+    spark = typed.sparkSession
+    write_view(preprocessor.transform(typed), f"{root}/unscaled", "errorifexists")
+    unscaled = _view(spark, root, "unscaled")
     require_contract(unscaled)
-    write_view(preprocessor.scale(unscaled), f"{root}/scaled", mode)
-    preprocessor.save(spark, f"{root}/artifacts/preprocessor", mode)
+    write_view(preprocessor.scale(unscaled), f"{root}/scaled", "errorifexists")
+    for view in S.VIEWS:
+        evidence.file_facts(spark, f"{root}/{view}").write.parquet(f"{root}/files/{view}")
+    preprocessor.save(spark, f"{root}/artifacts/preprocessor", "errorifexists")
     rows: list = []
     if raw is not None:
         described = dictionary.data_dictionary(raw, typed, preprocessor)
         rows = sorted(tuple(r) for r in described.collect())
-        spark.createDataFrame(rows, described.schema).coalesce(1).write.mode(mode).option(
+        spark.createDataFrame(rows, described.schema).coalesce(1).write.option(
             "header", True
         ).csv(f"{root}/data_dictionary")
+    if statuses is not None:
+        statuses.coalesce(1).write.parquet(f"{root}/status_inventory")
     manifest = build_manifest(unscaled, preprocessor, data_dictionary=rows, extra=extra)
+    manifest["artifact_sha256"] = {"preprocessor": preprocessor_digest(preprocessor)}
+    manifest["quarter_digests"] = {
+        view: evidence.as_mapping(evidence.quarter_digests(
+            spark.read.parquet(f"{root}/files/{view}")))
+        for view in S.VIEWS
+    }
     frame = spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
-    frame.coalesce(1).write.mode(mode).text(f"{root}/manifest")
+    frame.coalesce(1).write.text(f"{root}/manifest")
     return manifest
 
 
+def content_fields(manifest: Mapping) -> dict:
+    """The manifest without digests of fitted values and what they scale: their last digits
+    may differ between two builds of the same rows."""
+    kept = {k: v for k, v in manifest.items() if k not in ("artifact_sha256", "quarter_digests")}
+    return {**kept, "quarter_digests": manifest.get("quarter_digests", {}).get("unscaled", {})}
+
+
+def preprocessor_digest(preprocessor: Preprocessor) -> str:
+    return hashlib.sha256(preprocessor.to_json().encode()).hexdigest()
+
+
 def read_manifest(spark: SparkSession, root: str) -> dict:
+    if not _exists(spark, f"{root}/manifest"):
+        raise DataContractError(f"store {root} is incomplete: it has no manifest")
     row = spark.read.text(f"{root}/manifest").first()
     if row is None:
         raise DataContractError(f"store {root} is incomplete: its manifest is empty")
@@ -206,11 +259,23 @@ def read_store(
     *,
     ordered: bool = False,
 ) -> DataFrame:
-    """A lazy view scan; column and partition pruning are Catalyst's. The total
-    order by (issue_d, dataset_split, loan_id) costs a range shuffle, so it is
+    """A lazy view scan of a complete store; column and partition pruning are Catalyst's.
+    The total order by (issue_d, dataset_split, loan_id) costs a range shuffle, so it is
     only done on request."""
     if view not in S.VIEWS:
         raise DataContractError(f"view must be one of {S.VIEWS}")
+    if not _exists(spark, f"{root}/manifest"):
+        raise DataContractError(f"store {root} is incomplete: it has no manifest")
+    frame = _view(spark, root, view, columns)
+    if ordered:
+        keys = [c for c in (S.ISSUE_DATE, S.SPLIT, S.LOAN_ID) if c in frame.columns]
+        frame = frame.orderBy(*keys)
+    return frame
+
+
+def _view(
+    spark: SparkSession, root: str, view: str, columns: Sequence[str] | None = None,
+) -> DataFrame:
     frame = spark.read.parquet(f"{root}/{view}")
     # Partition folders are read back as text even where type inference is on.
     frame = frame.withColumn(S.QUARTER, F.col(S.QUARTER).cast("string"))
@@ -219,9 +284,6 @@ def read_store(
     else:
         lead = [c for c in METADATA if c in frame.columns]
         frame = frame.select(*lead, *feature_columns(frame))
-    if ordered:
-        keys = [c for c in (S.ISSUE_DATE, S.SPLIT, S.LOAN_ID) if c in frame.columns]
-        frame = frame.orderBy(*keys)
     return frame
 
 
@@ -240,20 +302,68 @@ def read_window(
     time_column: str = S.ISSUE_DATE,
     view: str | None = "unscaled",
 ) -> WindowRead:
-    """Read a window from a Parquet file, a dataset folder or a store root (whose
-    ``unscaled`` view is the default). Missing times are an error."""
+    """Read a window from a Parquet file, a dataset folder or a complete store (whose
+    ``unscaled`` view is the default). Missing times are an error.
+
+    A store knows the times of its files: missing ones are counted there, and files of the
+    window's first and last quarter that hold none of its rows are not opened. If the files
+    are not those the store was written with, the rows are read as in any other folder.
+    """
+    window = window or TimeWindow()
     source, chosen = path, None
     if view is not None and _exists(spark, f"{path}/{view}"):
         source, chosen = f"{path}/{view}", view
+        if not _exists(spark, f"{path}/manifest"):
+            raise DataContractError(f"store {path} is incomplete: it has no manifest")
     frame = spark.read.parquet(source)
-    require_times(frame, time_column)
-    return WindowRead(select_window(frame, window or TimeWindow(), time_column), chosen, source)
+    facts = None
+    if chosen and time_column == S.ISSUE_DATE:
+        facts = _known_files(spark, path, chosen, frame)
+    if facts is None:
+        require_times(frame, time_column)
+        return WindowRead(select_window(frame, window, time_column), chosen, source)
+    missing = facts.agg(F.sum("missing_times").alias("n")).first()["n"]
+    if missing:
+        raise DataContractError(f"time column {time_column!r} has {missing} missing values")
+    skipped = [r["file"] for r in evidence.outside(facts, window).collect()]
+    if skipped:
+        frame = frame.filter(~evidence.file_name().isin(skipped))
+    return WindowRead(select_window(frame, window, time_column), chosen, source)
+
+
+def _known_files(
+    spark: SparkSession, root: str, view: str, frame: DataFrame,
+) -> DataFrame | None:
+    """The facts of a view's files, or nothing where they are not about the files it has.
+    Names are compared on the driver, where Spark's own listing of the folder is."""
+    if not _exists(spark, f"{root}/files/{view}"):
+        return None
+    facts = spark.read.parquet(f"{root}/files/{view}")
+    listed = {"/".join(name.rsplit("/", 2)[-2:]) for name in frame.inputFiles()}
+    return facts if listed == {r["file"] for r in facts.select("file").collect()} else None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark can list the path; works on any file system it can read."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    if system.exists(place) and not system.delete(place, True):
+        raise DataContractError(f"cannot replace {path}")
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    place, system = _place(spark, source)
+    if not system.rename(place, _place(spark, target)[0]):
+        raise DataContractError(f"cannot move {source} to {target}")
 
 
 def views_agree(unscaled: DataFrame, scaled: DataFrame) -> DataFrame:
@@ -318,15 +428,82 @@ def compare_stores(spark: SparkSession, left: str, right: str) -> dict:
     fitted = [Preprocessor.load(spark, f"{root}/artifacts/preprocessor") for root in (left, right)]
     if not fitted[0].matches(fitted[1]):
         raise DataContractError("fitted preprocessing state differs")
-    changed = content_difference(read_store(spark, left), read_store(spark, right))
-    sides = changed.groupBy("side").agg(F.sum("copies").alias("rows")).collect()
-    if sides:
-        raise DataContractError(f"unscaled rows differ: { {r['side']: r['rows'] for r in sides} }")
-    apart = rows_apart(
-        read_store(spark, left, "scaled"), read_store(spark, right, "scaled")).first()
-    if apart["rows_apart"]:
-        raise DataContractError(f"scaled rows differ: {apart['rows_apart']}")
-    return {"status": "passed", "stable_manifest_fields_verified": len(STABLE_FIELDS)}
+    sides = [
+        {v: proven_digests(spark, root, manifest, v) for v in S.VIEWS}
+        for root, manifest in ((left, a), (right, b))
+    ]
+    quarters = {v: evidence.differing(sides[0][v], sides[1][v]) for v in S.VIEWS}
+
+    def apart(view: str) -> list[DataFrame]:
+        return [read_store(spark, root, view).filter(F.col(S.QUARTER).isin(quarters[view]))
+                for root in (left, right)]
+
+    if quarters["unscaled"]:
+        changed = content_difference(*apart("unscaled"))
+        rows = changed.groupBy("side").agg(F.sum("copies").alias("rows")).collect()
+        if rows:
+            raise DataContractError(
+                f"unscaled rows differ: { {r['side']: r['rows'] for r in rows} }, "
+                f"quarters {quarters['unscaled']}")
+    if quarters["scaled"]:
+        found = rows_apart(*apart("scaled")).first()["rows_apart"]
+        if found:
+            raise DataContractError(
+                f"scaled rows differ: {found}, quarters {quarters['scaled']}")
+    return {"status": "passed", "stable_manifest_fields_verified": len(STABLE_FIELDS),
+            "quarters_compared_by_row": {v: len(q) for v, q in quarters.items()}}
+
+
+def proven_digests(
+    spark: SparkSession, root: str, manifest: Mapping, view: str,
+) -> dict[str, str]:
+    """The digests of a view's rows as they are now, which must be those of its manifest."""
+    found = evidence.as_mapping(
+        evidence.quarter_digests(evidence.file_facts(spark, f"{root}/{view}")))
+    stated = manifest.get("quarter_digests", {}).get(view, found)
+    changed = evidence.differing(found, stated)
+    if changed:
+        raise DataContractError(
+            f"{view} rows of {root} differ from its manifest in quarters {changed}")
+    return found
+
+
+def validate_store(spark: SparkSession, root: str) -> dict:
+    """All proofs of a written store, the cheap ones first, or an error that names the first
+    that fails: no leaking feature, quarters in order, fitted state and dictionary as stated,
+    quarters and rows of both views those of the manifest by their digests, the proofs of
+    ``load_views``, one split per quarter, and counts. Returns the facts of the scaled view."""
+    manifest = read_manifest(spark, root)
+    leaking = sorted(set(manifest["feature_names"]) & set(S.POST_ORIGINATION))
+    if leaking:
+        raise DataContractError(f"features known only after origination: {leaking}")
+    quarters = manifest["partitions"]
+    if quarters != sorted(set(quarters)):
+        raise DataContractError("manifest quarters are not in order")
+    fitted = Preprocessor.load(spark, f"{root}/artifacts/preprocessor")
+    stated = manifest.get("artifact_sha256", {}).get("preprocessor")
+    if stated and preprocessor_digest(fitted) != stated:
+        raise DataContractError("the stored preprocessor differs from the manifest")
+    if fitted.feature_names != manifest["feature_names"]:
+        raise DataContractError("the stored preprocessor makes other features than the manifest")
+    if manifest["data_dictionary"]:
+        described = {row[0] for row in manifest["data_dictionary"] if not row[5]}
+        if described != set(manifest["feature_names"]):
+            raise DataContractError("the data dictionary describes other features")
+    for view in S.VIEWS:
+        if sorted(proven_digests(spark, root, manifest, view)) != quarters:
+            raise DataContractError(f"quarters of the {view} view differ from the manifest")
+    unscaled, scaled, _ = load_views(spark, root)
+    assigned = {r[S.QUARTER]: (r[S.SPLIT], r["last_split"])
+                for r in quarter_profile(unscaled).collect()}
+    wrong = [q for q in quarters if assigned[q] != (manifest["quarter_to_split"][q],) * 2]
+    if wrong:
+        raise DataContractError(f"splits differ from the manifest in quarters {wrong}")
+    facts = store_validation(scaled).first().asDict()
+    counts = {s: facts[f"{s}_rows"] for s in manifest["row_counts"]}
+    if (counts, facts["total_rows"]) != (manifest["row_counts"], manifest["total_rows"]):
+        raise DataContractError(f"row counts differ from the manifest: {counts}")
+    return facts
 
 
 def store_validation(scaled: DataFrame) -> DataFrame:

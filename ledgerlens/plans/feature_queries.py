@@ -9,6 +9,7 @@ from ledgerlens import schema as S
 from ledgerlens.functions import derive, parse
 from ledgerlens.operators import (
     dictionary,
+    evidence,
     features,
     outcomes,
     perturb,
@@ -489,13 +490,48 @@ def store_diff(x: Inputs) -> DataFrame:
     """Difference between a view and a copy that lacks loans of unknown grade and
     states another income for new employees."""
     unscaled, _, _ = x.views()
-    other = unscaled.filter("grade >= 0").withColumn(
+    return store.content_difference(unscaled, _altered(unscaled)).groupBy("side").agg(
+        F.sum("copies").alias("differing_rows"),
+        F.sum(F.col("loan_id") * F.col("copies")).alias("id_sum"))
+
+
+def _altered(unscaled: DataFrame) -> DataFrame:
+    return unscaled.filter("grade >= 0").withColumn(
         "annual_inc",
         F.when((F.col("emp_length") == 0) & (F.col(S.missing_flag("emp_length")) == 0),
                F.col("annual_inc") + 1).otherwise(F.col("annual_inc")))
-    return store.content_difference(unscaled, other).groupBy("side").agg(
-        F.sum("copies").alias("differing_rows"),
-        F.sum(F.col("loan_id") * F.col("copies")).alias("id_sum"))
+
+
+@query("quarter_digests", """
+SELECT issue_quarter, count(*) AS left_rows, count(*) FILTER (grade >= 0) AS right_rows,
+  NOT bool_or(grade < 0 OR coalesce(emp_length = 0, false)) AS same_rows
+FROM labelled GROUP BY issue_quarter""")
+def quarter_digests(x: Inputs) -> DataFrame:
+    """The views of ``store_diff`` by digests: which quarters differ, without their rows."""
+    unscaled, _, _ = x.views()
+    sides = [
+        evidence.content_digests(view, S.QUARTER).select(
+            S.QUARTER, F.col("rows").alias(f"{side}_rows"), F.col("digest").alias(side))
+        for side, view in (("left", unscaled), ("right", _altered(unscaled)))
+    ]
+    both = sides[0].join(sides[1], S.QUARTER, "full_outer")
+    return both.select(
+        S.QUARTER, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("left_rows", "right_rows")],
+        F.col("left").eqNullSafe(F.col("right")).alias("same_rows"))
+
+
+@query("file_zones", """
+SELECT issue_quarter, count(*) AS rows, CAST(0 AS BIGINT) AS missing_times,
+  strftime(min(issue_d), '%Y-%m-%d %H:%M:%S') AS first_time,
+  strftime(max(issue_d), '%Y-%m-%d %H:%M:%S') AS last_time
+FROM labelled GROUP BY issue_quarter""")
+def file_zones(x: Inputs) -> DataFrame:
+    """The facts that a written store keeps of its files, by quarter."""
+    facts = x.spark.read.parquet(f"{x.written_store()}/files/unscaled")
+    return facts.groupBy(S.QUARTER).agg(
+        F.sum("rows").alias("rows"), F.sum("missing_times").alias("missing_times"),
+        F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"),
+    ).select(S.QUARTER, "rows", "missing_times", text_time("first_time"), text_time("last_time"))
 
 
 _WINDOW = TimeWindow("1998-02-01", "1999-07-01")

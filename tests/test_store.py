@@ -1,7 +1,10 @@
 """Feature store, windows and perturbation."""
 
 import datetime as dt
+import json
 import math
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens import schema as S
 from ledgerlens.errors import DataContractError
 from ledgerlens.jobs import simulate
-from ledgerlens.operators import features, outcomes, perturb, splits, store
+from ledgerlens.operators import evidence, features, outcomes, perturb, splits, store
 from ledgerlens.operators.windows import TimeWindow, select_window
 
 
@@ -76,6 +79,140 @@ def test_store_refuses_overwrite_and_compares(spark, written, tmp_path):
         store.compare_stores(spark, again, third)
 
 
+def test_overwrite_keeps_the_old_store_until_the_new_one_is_proven(spark, written):
+    root, manifest, frame, fitted = written
+    rows = store.read_store(spark, root).count()
+    with pytest.raises(DataContractError, match="contract"):
+        store.write_store(frame.filter("dataset_split <> 'shift'"), fitted, root, overwrite=True)
+    assert store.read_manifest(spark, root) == manifest
+    assert store.read_store(spark, root).count() == rows
+    store.write_store(frame, fitted, root, overwrite=True)
+    names = {p.name for p in Path(root).iterdir()}
+    assert names == {"unscaled", "scaled", "files", "artifacts", "manifest"}
+
+
+def test_readers_refuse_a_store_without_manifest(spark, written):
+    root, *_ = written
+    (Path(root) / "manifest").rename(Path(root) / "_manifest")
+    for read in (store.read_store, store.read_window, store.read_manifest, store.validate_store):
+        with pytest.raises(DataContractError, match="no manifest"):
+            read(spark, root)
+
+
+def test_validation_names_what_differs(spark, written, tmp_path):
+    root, manifest, *_ = written
+    assert store.validate_store(spark, root)["total_rows"] == 8
+
+    def with_manifest(**fields):
+        copy = tmp_path / f"copy{len(list(tmp_path.iterdir()))}"
+        shutil.copytree(root, copy)
+        text = json.dumps({**manifest, **fields})
+        spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(
+            f"{copy}/manifest")
+        return str(copy)
+
+    digests = manifest["quarter_digests"]
+    for fields, message in (
+        ({"partitions": manifest["partitions"][::-1]}, "in order"),
+        ({"partitions": manifest["partitions"][1:]}, "quarters of"),
+        ({"quarter_to_split": dict.fromkeys(manifest["partitions"], "train")}, "splits differ"),
+        ({"row_counts": {**manifest["row_counts"], "train": 5}}, "row counts"),
+        ({"artifact_sha256": {"preprocessor": "0"}}, "preprocessor differs"),
+        ({"data_dictionary": manifest["data_dictionary"][1:]}, "dictionary"),
+        ({"quarter_digests": {**digests, "scaled": {**digests["scaled"], "2016Q1": "1:0"}}},
+         "scaled rows .*2016Q1"),
+    ):
+        with pytest.raises(DataContractError, match=message):
+            store.validate_store(spark, with_manifest(**fields))
+
+
+def test_digests_count_copies_and_nulls(spark):
+    kinds = "q string, a int, b int"
+    rows = [("x", 1, None), ("x", None, 1), ("x", 1, None), ("y", 2, 3)]
+    table = spark.createDataFrame(rows, kinds)
+
+    def of(frame):
+        return {r["q"]: (r["rows"], r["digest"])
+                for r in evidence.content_digests(frame, "q").collect()}
+
+    assert of(table) == of(table.repartition(3).select("b", "q", "a"))
+    changed = (
+        [("x", 1, None), ("x", None, 1), ("x", None, 1), ("y", 2, 3)],
+        [("x", 1, None), ("x", None, 1), ("y", 2, 3)],
+        [("x", 1, None), ("x", 1, None), ("x", 1, None), ("y", 2, 3)],
+    )
+    for other in changed:
+        found = of(spark.createDataFrame(other, kinds))
+        assert found["x"] != of(table)["x"] and found["y"] == of(table)["y"]
+    assert of(table.limit(0)) == {}
+    assert evidence.content_digests(table.limit(0)).count() == 0
+    assert evidence.content_digests(table).first()["rows"] == 4
+
+
+def test_facts_of_files_add_up_to_the_rows(spark, written):
+    root, manifest, *_ = written
+    for view in S.VIEWS:
+        stored = spark.read.parquet(f"{root}/files/{view}")
+        whole = evidence.content_digests(store.read_store(spark, root, view), S.QUARTER)
+        assert evidence.as_mapping(whole) == evidence.as_mapping(evidence.quarter_digests(stored))
+        assert evidence.as_mapping(whole) == manifest["quarter_digests"][view]
+
+
+def test_equal_stores_compare_without_shuffling_rows(spark, written, tmp_path, monkeypatch):
+    root, _, frame, fitted = written
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    store.write_store(frame, fitted, a)
+    store.write_store(frame.repartition(5), fitted, b)
+
+    def refuse(*_):
+        raise AssertionError("rows were compared")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "content_difference", refuse)
+        m.setattr(store, "rows_apart", refuse)
+        assert store.compare_stores(spark, a, b)["quarters_compared_by_row"] == {
+            "unscaled": 0, "scaled": 0}
+    plan = evidence.file_facts(spark, f"{a}/unscaled")._jdf.queryExecution().executedPlan()
+    assert "partial_sum" in plan.toString()
+
+
+def test_window_skips_files_and_counts_missing_times_from_facts(spark, written, tmp_path):
+    root, *_ = written
+    # A quarter of several files: one a month, with facts of its own.
+    many = str(tmp_path / "many")
+    days = [(dt.datetime(2016, m, d), "2016Q1", m * 100 + d) for m in (1, 2, 3) for d in (1, 20)]
+    view = spark.createDataFrame(days, "issue_d timestamp, issue_quarter string, loan_id int")
+    view.repartitionByRange(3, "issue_d").write.partitionBy(S.QUARTER).parquet(f"{many}/unscaled")
+    facts = evidence.file_facts(spark, f"{many}/unscaled")
+    facts.write.parquet(f"{many}/files/unscaled")
+    spark.createDataFrame([("{}",)], "value string").write.text(f"{many}/manifest")
+    for window, ids, opened in (
+        (TimeWindow("2016-02-01", "2016-03-01"), [201, 220], 1),
+        (TimeWindow("2016-01-20", "2016-02-01", include_end=True), [120, 201], 2),
+        (TimeWindow("2016-01-20", "2016-03-01", include_start=False), [201, 220], 1),
+        (TimeWindow("2017-01-01"), [], 0), (TimeWindow(), [101, 120, 201, 220, 301, 320], 3),
+    ):
+        frame = store.read_window(spark, many, window).frame
+        assert sorted(r["loan_id"] for r in frame.collect()) == ids
+        skipped = {r["file"] for r in evidence.outside(facts, window).collect()}
+        inside = facts.filter(window.partition_predicate()).count()
+        assert inside - len(skipped) == opened
+    # A file of the same quarter without rows of the window is not opened.
+    last = facts.orderBy(F.desc("first_time")).first()["file"]
+    march = Path(many) / "unscaled" / last
+    sound = march.read_bytes()
+    (march.parent / f".{march.name}.crc").unlink()
+    march.write_bytes(b"x" * len(sound))
+    january = store.read_window(spark, many, TimeWindow("2016-01-01", "2016-02-01")).frame
+    assert sorted(r["loan_id"] for r in january.collect()) == [101, 120]
+    march.write_bytes(sound)
+    # A file the facts do not know: rows are read, and its missing time is an error.
+    extra = spark.createDataFrame([(None, "2016Q1", 9)], view.schema)
+    extra.write.mode("append").partitionBy(S.QUARTER).parquet(f"{many}/unscaled")
+    with pytest.raises(DataContractError, match="missing values"):
+        store.read_window(spark, many, TimeWindow("2016-02-01", "2016-03-01"))
+
+
 def test_content_difference_counts_copies(spark):
     left = spark.createDataFrame([(1,), (1,), (2,)], "a int")
     right = spark.createDataFrame([(1,), (3,)], "a int")
