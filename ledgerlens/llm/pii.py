@@ -3,8 +3,9 @@
 Plain identifiers are found in the text itself. For disguised ones the text is rewritten
 by transducers that keep, for every character written, the source span it came from:
 
-* look-alike letters, full-width forms and invisible characters become plain ones;
-* spelled digits become digits, ``plus`` before them a plus sign;
+* look-alike letters, full-width forms, digits of all scripts and invisible characters become
+  plain ones;
+* spelled digits, on one line or over line ends, become digits, ``plus`` before them a plus sign;
 * ``at`` and ``dot`` in brackets, or as words between the parts of a host name, become
   ``@`` and ``.``.
 
@@ -12,9 +13,10 @@ The same identifier rules then run on the rewritten text, and their spans are ma
 A disguised span is left out only if a plain span of any kind covers it. Plain patterns often
 match a fragment of a disguised identifier; then both are reported, and masking takes their union.
 
-Cases: a null or empty text has no spans; overlaps are all reported; matches that fail a check are dropped without a second try; repeated rows give
-repeated results; other columns of the input are not read. Positions are code points,
-ends exclusive.
+Cases: a null or empty text has no spans, an empty table no rows; texts of any length are read
+whole; overlaps are all reported; matches that fail a check are dropped without a second try;
+repeated rows give repeated results; other columns of the input are not read. Positions are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -114,7 +116,8 @@ LEAST_DIFFERENT = 2
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _ONE = rf"(?:{_WORDS}|[0-9])"
 _SPELLED = re.compile(
-    rf"(?i)(?<!\w)(?:plus[ -]?|\+ ?)?(?:{_ONE}(?:[ ,-]{{1,2}}| ?(?:dot|point|punkt|punto) )){{3,}}"
+    rf"(?i)(?<!\w)(?:plus[ -]?|\+ ?)?"
+    rf"(?:{_ONE}(?:[ ,-]{{1,2}}| ?,? ?\r?\n ?| ?(?:dot|point|punkt|punto) )){{3,}}"
     rf"{_ONE}(?!\w)")
 _SPELLED_PART = re.compile(rf"(?i)(?P<word>{_WORDS})|(?P<digit>[0-9])|(?P<plus>plus|\+)"
                            r"|(?P<dot>dot|point|punkt|punto)")
@@ -130,7 +133,7 @@ _WORDED = re.compile(
     rf"{_HOST}(?:(?: (?:dot|punkt|punto) |\.){_HOST})*(?: (?:dot|punkt|punto) ){_LAST}(?!\w)")
 _WORDED_SIGN = re.compile(r"(?i) (?P<dot>dot|punkt|punto) | (?P<at>at|arroba|arobase|@) ")
 _AT_DOT = re.compile(r" (?i:dot|punkt|punto) [A-Za-z]{2}")
-_ODD = re.compile("[­ɐ-￿]")
+_ODD = re.compile("[­ɐ-\U0010ffff]")
 
 
 class Traced:
@@ -177,6 +180,8 @@ def _look_alikes(t: Traced) -> Traced:
             edits.append((*m.span(), LOOK_ALIKES[c]))
         elif "！" <= c <= "～" or c == "。":
             edits.append((*m.span(), "." if c == "。" else unicodedata.normalize("NFKC", c)))
+        elif c.isdecimal():
+            edits.append((*m.span(), str(unicodedata.decimal(c))))
     return t.rewrite(edits)
 
 

@@ -156,6 +156,23 @@ def test_disguises_around_a_plain_fragment(text, plain, source):
     assert pii.mask(text) == "x <EMAIL> y"
 
 
+@pytest.mark.parametrize("kind, hidden", [
+    ("phone", "+\u0664\u0669 \u0661\u0665\u0661 \u0662\u0663\u0664\u0665\u0666\u0667\u0668"),
+    ("phone", "+\U0001d7d2\U0001d7d7 151 2345678"),
+    ("card", "\u096a111 1111 1111 111\u0967"),
+    ("ip", "\u06f1\u06f0.0.0.\u06f7"),
+    ("phone", "four nine one five one\ntwo three four five six"),
+    ("phone", "plus four nine one,\r\nfive one two three four five six"),
+])
+def test_digits_of_other_scripts_and_over_line_ends(kind, hidden):
+    text = f"tel {hidden} now"
+    base, found = pii.spans(text)
+    start = text.index(hidden)
+    assert (kind, start, start + len(hidden)) in found
+    assert (kind, start, start + len(hidden)) not in base
+    assert pii.mask(text) == f"tel <{kind.upper()}> now"
+
+
 def test_worded_addresses_may_end_in_any_letters():
     for end in ("museum", "pl", "online"):
         text = f"ask john at example dot {end} today"
@@ -166,7 +183,8 @@ def test_worded_addresses_may_end_in_any_letters():
 
 @pytest.mark.parametrize("text", [
     "we met at noon by the dot", "look at this dot pattern", "un un un un un un un un un",
-    "at home (at last)", "", "one two buckle my shoe", "v1.2.3 of 2020-10-10"])
+    "at home (at last)", "", "\u0661\u0662 \u0645\u0646 \u0662\u0660\u0662\u0664",
+    "one\ntwo\nthree", "one two buckle my shoe", "v1.2.3 of 2020-10-10"])
 def test_ordinary_text_has_no_spans(text):
     assert pii.spans(text) == ([], [])
 
