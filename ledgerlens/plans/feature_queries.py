@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -633,12 +635,31 @@ def drift_simulation(x: Inputs) -> DataFrame:
     ).select(S.QUARTER, "loans", *rounded("dti"))
 
 
-def _csv_loans(x: Inputs, name: str, parts: int = 4) -> list[str]:
-    """The loans as headed CSV files in the shared folder."""
+# Stored pieces from which one file of a fixed number is written.
+_PIECES = 8
+
+
+def _csv_loans(x: Inputs, name: str, files: int | None = None) -> list[str]:
+    """The loans as headed CSV files in the shared folder: as many as the rows have
+    partitions, or a fixed number. One task writes a file; where their number is fixed, its
+    rows come from stored columns, which are narrower than shuffled texts."""
     root = scratch(x.spark, name)
-    x.loans().withColumn("recoveries", F.lit("0")).repartition(parts).write.option(
-        "header", True).option("quoteAll", True).csv(root)
-    names = x.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root)
+    rows = x.loans().withColumn("recoveries", F.lit("0"))
+
+    def write(part: DataFrame, folder: str) -> None:
+        part.write.option("header", True).option("quoteAll", True).csv(f"{root}/{folder}")
+
+    if files is None:
+        write(rows, "0")
+    else:
+        pieces = sorted(materialise(rows.repartition(files * _PIECES), name).inputFiles())
+        dealt = [[loans.as_path(p) for p in pieces[k::files]] for k in range(files)]
+        with ThreadPoolExecutor(files) as pool:
+            list(pool.map(lambda k: write(
+                x.spark.read.schema(rows.schema).parquet(*dealt[k]).coalesce(1), str(k)),
+                [k for k in range(files) if dealt[k]]))
+    names = x.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
+        "recursiveFileLookup", True).load(root)
     return [r["path"] for r in names.select("path").orderBy("path").collect()]
 
 
@@ -661,7 +682,7 @@ SELECT CAST(4 AS BIGINT) AS files, count(*) AS rows_read, CAST(4 AS BIGINT) AS d
   CAST(20 AS BIGINT) AS columns_loaded, 'recoveries' AS ignored_columns FROM loans_raw""")
 def source_inventory(x: Inputs) -> DataFrame:
     """Inventory of the loans written as four CSV files, summed up."""
-    listed = loans.source_inventory(x.spark, _csv_loans(x, "inventory"))
+    listed = loans.source_inventory(x.spark, _csv_loans(x, "inventory", files=4))
     return listed.groupBy("ignored_columns").agg(
         F.count(F.lit(1)).alias("files"), F.sum("rows_read").alias("rows_read"),
         F.count_distinct("sha256").alias("digests"),

@@ -18,6 +18,7 @@ from ledgerlens.errors import DataContractError
 from ledgerlens.functions import parse
 from ledgerlens.operators import outcomes
 from ledgerlens.sources import records
+from ledgerlens.sources.digests import digests, file_uri, literal
 
 HEADER_LINES = 100
 EXTRA = "_extra"
@@ -39,14 +40,9 @@ def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return sorted(found)
 
 
-def file_uri() -> Column:
-    """The file that a row was read from, as in :func:`input_files`."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
-
-
 def as_path(uri: str) -> str:
     """A file's URI as a path that readers take literally."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+    return literal(unquote(uri))
 
 
 def shown(uri: str) -> str:
@@ -232,10 +228,7 @@ def source_inventory(spark: SparkSession, paths: Sequence[str], **options) -> Da
     layouts = find_layouts(spark, paths)
     rows = scan_loans(spark, paths, with_source=True, **options).groupBy(
         F.col("source_file").alias("uri")).agg(F.count(F.lit(1)).alias("rows_read"))
-    files = spark.read.format("binaryFile").load([as_path(x.uri) for x in layouts]).select(
-        file_uri().alias("uri"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-    )
+    files = digests(spark.read.format("binaryFile").load([as_path(x.uri) for x in layouts]))
     facts = spark.createDataFrame(
         [(x.uri, shown(x.uri), x.header_line, len(set(x.header) & set(S.ALLOWED)),
           ",".join(x.ignored)) for x in layouts],
@@ -243,7 +236,7 @@ def source_inventory(spark: SparkSession, paths: Sequence[str], **options) -> Da
         "ignored_columns string",
     )
     # From the facts outwards: a file that another read misses shows up with nulls.
-    found = facts.join(files, "uri", "left").join(rows, "uri", "left")
+    found = facts.join(files.drop("path"), "uri", "left").join(rows, "uri", "left")
     return found.select("file", "bytes", "sha256", F.coalesce("rows_read", F.lit(0)).alias(
         "rows_read"), "header_rows_skipped", "columns_loaded", "ignored_columns")
 
