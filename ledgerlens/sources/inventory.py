@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.errors import DataContractError
+from ledgerlens.sources import digests
 
 # Columns an acquisition manifest must have.
 MANIFEST_COLUMNS = (
@@ -25,17 +26,15 @@ EXPORT_ORDER = (
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) below ``root``. Each file is hashed in its own task;
-    the source holds a file in memory, so it suits files below 2 GB."""
+    """(name, bytes, sha256) below ``root``. Large files are hashed in segments, one task
+    each (:mod:`digests`)."""
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).load(root)
     )
     prefix = root.rstrip("/").split(":")[-1] + "/"
-    return raw.select(
-        F.substring_index(F.col("path"), prefix, -1).alias("name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    return digests.digests(raw).select(
+        F.substring_index(F.col("path"), prefix, -1).alias("name"), "bytes", "sha256",
     )
 
 
