@@ -15,8 +15,8 @@ from ledgerlens.functions import derive
 from ledgerlens.session import scratch
 
 TOP = 5
-#: Path features up to which a leaf's values are tabulated by pattern.
-TABLE_FEATURES = 10
+#: Comparisons up to which the values of a group of leaves are tabulated by outcome.
+TABLE_CUTS = 10
 ATTRIBUTION = "struct<feature:string,contribution:double,feature_value:double>"
 
 
@@ -116,43 +116,87 @@ def _game(on: np.ndarray, shares: Sequence[float]) -> np.ndarray:
     return out
 
 
-def _tables(paths: list[tuple]) -> list[np.ndarray | None]:
-    """Each leaf's values for every pattern of presences, where these are few."""
-    tables: list[np.ndarray | None] = []
-    for leaf_value, path in paths:
-        d = len(path)
-        if not 0 < d <= TABLE_FEATURES:
-            tables.append(None)
+def _cuts(path: list[tuple]) -> set[tuple]:
+    """The comparisons ``value > cut``, by feature, that decide a leaf's conditions."""
+    return {(f, cut) for f, lo, hi, _ in path for cut in (lo, hi) if np.isfinite(cut)}
+
+
+def _presences(path: list[tuple], above: dict[tuple, np.ndarray]) -> np.ndarray:
+    """Which of a leaf's conditions are met, from the comparisons' outcomes."""
+    met = []
+    for f, lo, hi, _ in path:
+        on = np.ones(len(next(iter(above.values()))), bool)
+        if np.isfinite(lo):
+            on = on & above[f, lo]
+        if np.isfinite(hi):
+            on = on & ~above[f, hi]
+        met.append(on)
+    return np.stack(met, axis=1).astype(float)
+
+
+def _tables(paths: list[tuple]) -> list[tuple]:
+    """Leaves in groups of neighbours that few comparisons decide: (cuts, features, table).
+    The table has the sum of the leaves' values of each feature for every outcome of the
+    cuts. A leaf with too many cuts has (cuts, its path, nothing)."""
+    groups: list[tuple[set, list]] = []
+    for leaf in paths:
+        cuts = _cuts(leaf[1])
+        if groups and len(groups[-1][0] | cuts) <= TABLE_CUTS:
+            groups[-1][0].update(cuts)
+            groups[-1][1].append(leaf)
+        elif cuts:
+            groups.append((set(cuts), [leaf]))
+    tables = []
+    for cuts, leaves in groups:
+        order = sorted(cuts)
+        if len(order) > TABLE_CUTS:
+            tables.append((order, leaves[0], None))
             continue
-        patterns = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
-        tables.append(leaf_value * _game(patterns, [p[3] for p in path]))
+        outcomes = np.arange(1 << len(order))
+        above = {c: (outcomes >> k & 1).astype(bool) for k, c in enumerate(order)}
+        found = sorted({p[0] for _, path in leaves for p in path})
+        table = np.zeros((len(found), len(outcomes)))
+        for leaf_value, path in leaves:
+            if path:
+                values = leaf_value * _game(_presences(path, above), [p[3] for p in path])
+                for j, p in enumerate(path):
+                    table[found.index(p[0])] += values[:, j]
+        tables.append((order, found, table))
     return tables
 
 
-def _shapley(
-    matrix: np.ndarray, paths: list[tuple], tables: list[np.ndarray | None] | None = None,
-) -> tuple[np.ndarray, float]:
-    """Path-dependent Shapley values of all rows, leaf by leaf. A row's values in a
-    leaf depend only on which path conditions it meets, so they are looked up."""
-    phi = np.zeros((matrix.shape[1], len(matrix)))
-    columns = np.ascontiguousarray(matrix.T)
+def _base(paths: list[tuple]) -> float:
+    """The ensemble's mean value over its training weight."""
     base = 0.0
-    for (leaf_value, path), table in zip(paths, tables or _tables(paths)):
+    for leaf_value, path in paths:
         base += leaf_value * float(np.prod([p[3] for p in path])) if path else leaf_value
-        if not path:
-            continue
-        on = [(columns[f] > lo) & (columns[f] <= hi) for f, lo, hi, _ in path]
+    return base
+
+
+def _shapley(matrix: np.ndarray, paths: list[tuple]) -> tuple[np.ndarray, float]:
+    return _looked_up(matrix, _tables(paths)), _base(paths)
+
+
+def _looked_up(matrix: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    """Path-dependent Shapley values of all rows. A row's values in a group of leaves depend
+    only on the outcomes of its comparisons, so they are looked up."""
+    phi = np.zeros((matrix.shape[1], len(matrix)))
+    columns = np.ascontiguousarray(matrix.T)
+    for cuts, features, table in tables:
         if table is None:
-            values = leaf_value * _game(
-                np.stack(on, axis=1).astype(float), [p[3] for p in path])
-        else:
-            pattern = np.zeros(len(matrix), np.int64)
-            for k, met in enumerate(on):
-                pattern |= met.astype(np.int64) << k
-            values = table[pattern]
-        for j, (feature, *_rest) in enumerate(path):
-            phi[feature] += values[:, j]
-    return np.ascontiguousarray(phi.T), base
+            leaf_value, path = features
+            on = _presences(path, {(f, cut): columns[f] > cut for f, cut in cuts})
+            values = leaf_value * _game(on, [p[3] for p in path])
+            for j, p in enumerate(path):
+                phi[p[0]] += values[:, j]
+            continue
+        outcome = np.zeros(len(matrix), np.uint16)
+        for k, (f, cut) in enumerate(cuts):
+            outcome |= np.left_shift((columns[f] > cut).view(np.uint8), k, dtype=np.uint16)
+        places = outcome.astype(np.intp)
+        for feature, values in zip(features, table):
+            phi[feature] += values.take(places, mode="clip")
+    return np.ascontiguousarray(phi.T)
 
 
 def tree_attributions(
@@ -161,8 +205,8 @@ def tree_attributions(
 ) -> DataFrame:
     """Path-dependent tree Shapley values of each row's log-odds (boosted trees) or
     mean class-1 probability (forest, a share from 0 to 1): ``keep`` columns, ``base_value`` and
-    ``attributions`` in feature order. The node table is the only thing shipped to
-    tasks; rows stream through in Arrow batches."""
+    ``attributions`` in feature order. Tables bounded by the model's leaves are all that is
+    shipped to tasks; rows stream through in Arrow batches."""
     spark = unscaled.sparkSession
     kind = "regression" if type(model.stages[-1]).__name__.startswith("GBT") else "gini"
     nodes, weights = tree_nodes(spark, model)
@@ -170,14 +214,15 @@ def tree_attributions(
         weights = [2.0 * w for w in weights]
     else:  # a forest averages its trees
         weights = [1.0 / len(weights)] * len(weights)
-    shipped = spark.sparkContext.broadcast(_leaf_paths(nodes, weights, kind))
+    paths = _leaf_paths(nodes, weights, kind)
+    # Tables of hundreds of trees take seconds: they are made once, not in every task.
+    shipped, base = spark.sparkContext.broadcast(_tables(paths)), _base(paths)
     names, kept = list(features), list(keep)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _tables(shipped.value)
         for batch in batches:
             matrix = batch[names].to_numpy(dtype=float)
-            phi, base = _shapley(matrix, shipped.value, tables)
+            phi = _looked_up(matrix, shipped.value)
             out = batch[kept].copy()
             out["base_value"] = base
             out["contributions"] = list(phi)
