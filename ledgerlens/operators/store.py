@@ -42,11 +42,12 @@ def contract_counts(view: DataFrame) -> DataFrame:
         c for c in features
         if isinstance(view.schema[c].dataType, (T.DoubleType, T.FloatType))
     ]
-    bad_value = F.lit(False)
-    for c in features:
-        bad_value = bad_value | F.col(c).isNull()
-    for c in numeric:
-        bad_value = bad_value | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    # Spark makes one method of a chain of conditions, and the JVM does not compile one that
+    # long; ``greatest`` is cut into short ones. NaN is greater than infinity.
+    bad_value = F.greatest(F.lit(False), F.lit(False), *[F.col(c).isNull() for c in features])
+    if numeric:
+        largest = F.greatest(F.lit(0.0), F.lit(0.0), *[F.abs(F.col(c)) for c in numeric])
+        bad_value = bad_value | (largest >= float("inf"))
     return view.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(S.TARGET).isNull() | ~F.col(S.TARGET).isin(0, 1)).alias("bad_target"),
@@ -145,12 +146,13 @@ def build_manifest(
     }
 
 
-def write_view(view: DataFrame, path: str, mode: str) -> None:
+def write_view(view: DataFrame, path: str, mode: str, *, placed: bool = False) -> None:
     """One folder per quarter. The rebalance hint lets adaptive execution split a
     hot quarter over many files and merge tiny ones; sorting by date inside each
-    file keeps min/max statistics useful for window reads."""
+    file keeps min/max statistics useful for window reads. Rows read from a view's
+    files are ``placed`` by quarter already, so they need no second shuffle."""
     (
-        view.hint("rebalance", S.QUARTER)
+        (view if placed else view.hint("rebalance", S.QUARTER))
         .sortWithinPartitions(S.QUARTER, S.ISSUE_DATE, S.LOAN_ID)
         .write.mode(mode)
         .option("compression", "snappy")
@@ -206,7 +208,7 @@ def _write_parts(
     write_view(preprocessor.transform(typed), f"{root}/unscaled", "errorifexists")
     unscaled = _view(spark, root, "unscaled")
     require_contract(unscaled)
-    write_view(preprocessor.scale(unscaled), f"{root}/scaled", "errorifexists")
+    write_view(preprocessor.scale(unscaled), f"{root}/scaled", "errorifexists", placed=True)
     for view in S.VIEWS:
         evidence.file_facts(spark, f"{root}/{view}").write.parquet(f"{root}/files/{view}")
     preprocessor.save(spark, f"{root}/artifacts/preprocessor", "errorifexists")

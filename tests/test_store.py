@@ -333,3 +333,24 @@ def test_simulation_end_to_end(spark, written, tmp_path):
         F.sum("int_rate")).first()[0]
     after = spark.read.parquet(out).agg(F.sum("int_rate")).first()[0]
     assert after == pytest.approx(before + 4)
+
+
+def test_contract_finds_each_bad_feature(spark):
+    rows = [(1.0, 1), (None, 1), (1.0, None), (float("nan"), 1), (float("-inf"), None)]
+    view = spark.createDataFrame(rows, "f double, g int").selectExpr(
+        "1L AS loan_id", "timestamp '2018-02-01' AS issue_d", "'2018Q1' AS issue_quarter",
+        "'train' AS dataset_split", "1 AS target", "f", "g")
+    assert store.contract_counts(view).first()["bad_feature"] == 4
+
+
+def test_scaled_rows_are_written_without_a_shuffle(spark, tmp_path):
+    view = spark.range(1000).selectExpr(
+        "id AS loan_id", "timestamp '2018-02-01' AS issue_d",
+        "concat('2018Q', 1 + id % 4) AS issue_quarter", "'train' AS dataset_split",
+        "1 AS target", "id * 0.5 AS f")
+    store.write_view(view, f"{tmp_path}/first", "errorifexists")
+    read = spark.read.parquet(f"{tmp_path}/first")
+    store.write_view(read, f"{tmp_path}/second", "errorifexists", placed=True)
+    again = spark.read.parquet(f"{tmp_path}/second")
+    assert store.content_difference(read, again).isEmpty()
+    assert len(again.inputFiles()) == len(read.inputFiles()) == 4
