@@ -225,3 +225,14 @@ def test_labels(spark):
     assert (row["q"], row["m"]) == ("2018Q2", "2018-05")
     assert one(spark, "int_rate_was_missing", derive.display_name) == "int rate missingness"
     assert one(spark, "dti", derive.display_name) == "debt-to-income ratio"
+
+
+def test_numbers_are_read_without_looking_up_each_character(spark):
+    texts = [" $1,234.5 ", "$ 12", "1e3", "12d", "NaN", "1\n", "$", "-+", "5 %", "٣", " 7\t", "1,0%"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse.parse_number("t")).collect()]
+    assert got == [1234.5, 12.0, 1000.0, None, None, 1.0, None, None, None, None, 7.0, None]
+    got = [r[0] for r in df.select(parse.parse_percent("t")).collect()]
+    assert got == [1234.5, 12.0, 1000.0, None, None, 1.0, None, None, 5.0, None, 7.0, 10.0]
+    plan = df.select(parse.parse_number("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" in plan.lower()

@@ -87,3 +87,23 @@ def test_latest_by_limits_before_the_shuffle(spark, skewed):
     latest = ranking.latest_by(df, ["k"], [F.col("id").desc()])
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_brackets_of_a_median_need_no_estimate(spark, monkeypatch):
+    """Both middle ranks share one histogram, and a bin of one repeated value is not sorted."""
+    def refuse(*_):
+        raise AssertionError("approximate percentiles or sorted values are not needed here")
+
+    monkeypatch.setattr(ranking.F, "percentile_approx", refuse)
+    df = spark.range(40_000).select(
+        (F.col("id") % 4).cast("double").alias("few"), (F.col("id") * 0.37).alias("many"))
+    found = ranking.exact_percentiles(df, ["few", "many"], [0.5], task_rows=500)
+    assert found["few"] == [1.5]
+    assert found["many"][0] == pytest.approx(19_999.5 * 0.37, abs=1e-9)
+
+
+def test_percentiles_beside_outliers_and_nan(spark):
+    rows = [(float(i), float(i)) for i in range(999)] + [(1e300, float("nan"))]
+    df = spark.createDataFrame(rows, "far double, broken double")
+    found = ranking.exact_percentiles(df, ["far", "broken"], [0.0, 0.5], task_rows=10)
+    assert found == {"far": [0.0, 499.5], "broken": [0.0, 499.5]}
