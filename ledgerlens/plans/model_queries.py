@@ -217,14 +217,14 @@ def _trained(x: Inputs, family: str):
     return view, preprocessor, model
 
 
-def _scored(x: Inputs, family: str) -> DataFrame:
-    view, _, model = _trained(x, family)
+def _scored(view: DataFrame, model: models.PipelineModel) -> DataFrame:
     return materialise(
         models.positive_probability(model, view).select(S.SPLIT, S.TARGET, "score"))
 
 
 def _quality(x: Inputs, family: str) -> DataFrame:
-    return metrics.evaluate(_scored(x, family), 0.5, by=[S.SPLIT])
+    view, _, model = _trained(x, family)
+    return metrics.evaluate(_scored(view, model), 0.5, by=[S.SPLIT])
 
 
 @query("train_gbt")
@@ -285,8 +285,8 @@ def train_evaluate(x: Inputs) -> DataFrame:
 
 def _bundle(x: Inputs, family: str = "boosted_trees") -> models.ScoringModel:
     """The fitted model with the threshold that is best on validation."""
-    _, preprocessor, model = _trained(x, family)
-    validation = _scored(x, family).filter(F.col(S.SPLIT) == "validation")
+    view, preprocessor, model = _trained(x, family)
+    validation = _scored(view.filter(F.col(S.SPLIT) == "validation"), model)
     threshold = metrics.f1_threshold(validation).first()["threshold"]
     version = models.model_version(
         preprocessor.schema_digest, models.SEED, preprocessor.training_quarters, {})
